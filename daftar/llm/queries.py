@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, dedup, packing, sharding, urls
+from . import bpe, dedup, lm, neardup, packing, sharding, toxicity, urls
 from .shared import table
 
 
@@ -12,10 +12,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return neardup.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,10 @@ def op8_stratified_shards(spark, sf_dir):
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_sum_of_squares_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
