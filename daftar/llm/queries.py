@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, dedup, lm, neardup, packing, sharding, toxicity, urls
+from . import ann, bpe, dedup, html, lm, neardup, packing, sharding, toxicity, urls
 from .shared import table
 
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_nearest_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_stratified_shards(spark, sf_dir):
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
