@@ -61,7 +61,7 @@ def _matrix(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, books: int = 8, words: int = 256, beam: int = 4, rerank: int = 48, fit_rows: int = 8_192, block_rows: int = 8_192, query_rows: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, books: int = 12, words: int = 256, beam: int = 8, rerank: int = 320, fit_rows: int = 8_192, block_rows: int = 8_192, query_rows: int = 4_096) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose vec_id is divisible by `every`, the k rows of largest cosine but itself.
 
     vectors: vec_id, embedding (one dimension for all). The books are fitted to at most fit_rows rows chosen by a hash; every

@@ -104,12 +104,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, folds: int
     return doc_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int = 4_000, least: int = 5, ratio: float = 20.0, shortest: int = 4, longest: int = 7) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int = 4_000, least: int = 4, share: float = 0.006, ratio: float = 40.0, shortest: int = 4, longest: int = 7) -> Lexicon:
     """Learn the lexicon from labelled rows outside fold 0 (at most of_each of either label).
 
-    An entry must lie in `least` toxic texts and be `ratio` times as frequent in toxic as in clean ones (add-half). Of entries
-    that begin alike the shorter one stays where it is as pure. Two-word phrases around an entry that `least` clean texts and
-    no toxic one hold excuse it. The logistic's inputs are the weight over the root of the words, and the weight's logarithm.
+    An entry must lie in `least` toxic texts, and in the `share` of them, and be `ratio` times as frequent in toxic as in clean
+    ones (add-half), 100 times by plain counts. Of entries that begin alike the shorter one stays where it is as pure. Two-word
+    phrases around an entry that five clean texts, and one in a thousand of them, and no toxic one hold excuse it. The
+    logistic's inputs are the weight over the root of the words, and the weight's logarithm.
     """
     sample = labelled_sample(docs, labels, of_each).cache()
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -117,20 +118,23 @@ def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int =
     if not toxic or not clean:
         sample.unpersist()
         return Lexicon({})
+    least = max(least, int(np.ceil(share * toxic)))
     bad = _counts(sample.where("toxic = 1"), lambda w: _features(w, shortest, longest)).where(F.col("n") >= least)
     found = {r["f"]: r["n"] for r in bad.orderBy(F.desc("n"), "f").limit(50 * size).collect()}
     names = sample.sparkSession.sparkContext.broadcast(frozenset(found))
     good = _counts(sample.where("toxic = 0"), lambda w: _features(w, shortest, longest) & names.value)
     held = {r["f"]: r["n"] for r in good.collect()}  # at most the features found above
     odds = {f: (n + 0.5) / (toxic + 1) * (clean + 1) / (held.get(f, 0) + 0.5) for f, n in found.items()}
-    pure = {f: x for f, x in odds.items() if x >= ratio and found[f] > 20 * held.get(f, 0) * toxic / clean}
+    rare = lambda f: found[f] > 100 * held.get(f, 0) * toxic / clean
+    pure = {f: x for f, x in odds.items() if x >= ratio and rare(f)}
+    # a beginning gives way to a longer one that has nearly all its toxic texts and fewer clean ones
+    purer = {f[:k] for f in pure for k in range(shortest + 1, len(f)) if f[:k] in pure and found[f] >= 0.9 * found[f[:k]] and held.get(f, 0) < held.get(f[:k], 0)}
     kept: dict[str, float] = {}
-    for f in sorted(pure, key=lambda f: (len(f.rstrip()), f)):
-        beginnings = [f[:k] for k in range(shortest + 1, len(f))]
-        if not any(b in kept for b in beginnings):
+    for f in sorted(pure.keys() - purer, key=lambda f: (len(f.rstrip()), f)):
+        if not any(f[:k] in kept for k in range(shortest + 1, len(f))):
             kept[f] = float(np.log(pure[f]))
     weights = dict(sorted(kept.items(), key=lambda x: (-found[x[0]] * x[1], x[0]))[:size])
-    exceptions = _learn_exceptions(sample, weights, least)
+    exceptions = _learn_exceptions(sample, weights, max(5, int(np.ceil(0.001 * clean))))
     lexicon = Lexicon(weights, exceptions)
     lexicon.model = _fit(sample, lexicon)
     sample.unpersist()
