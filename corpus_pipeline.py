@@ -1 +1,46 @@
-"""The training-data pipeline over documents: stages that each take and return a table of documents."""
+"""The training-data pipeline over documents: toxic documents go, then exact copies, then near copies; the rest is packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's docs. All but
+the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from daftar.llm import dedup, neardup, packing, toxicity
+from daftar.llm.queries import vocabulary
+from daftar.llm.shared import materialise, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the lexicon, learned from labels outside the held-out fold, does not predict toxic."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, white space aside, keeps the one with the smallest doc_id."""
+    return dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similarity 0.8 over five-word shingles connect, keeps the one with the smallest doc_id."""
+    return neardup.keep_first_of_class(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 1024 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies), ("packing", pack)]
+
+#: The learned lexicon, shingle hashing and token ids are beyond SQL; tests hold each stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return docs
