@@ -15,13 +15,13 @@ from .queries_text import RAW
 LAWS = """SELECT CAST(174 AS INT) AS law_number, CAST(2025 AS INT) AS law_year, 'قانون الإجراءات الجنائية' AS law_name, 'feminine_ordinal' AS issuance_style
   UNION ALL SELECT 131, 1948, 'القانون المدني', 'cardinal'"""
 ARTICLES = """SELECT CAST(CASE WHEN lang = 'en' THEN 174 ELSE 131 END AS INT) AS law_number, CASE WHEN doc_id % 50 = 0 THEN 'issuance' ELSE 'substantive' END AS article_type,
-  CASE WHEN doc_id % 50 = 0 OR doc_id % 47 = 1 THEN NULL ELSE CAST(doc_id AS INT) END AS article_number, CASE WHEN doc_id % 50 = 0 THEN CAST(doc_id % 9 + 1 AS INT) END AS issuance_number, substring(text, 1, 400) AS body,
+  CASE WHEN doc_id % 50 = 0 OR doc_id % 47 = 1 THEN NULL ELSE CAST(doc_id AS INT) END AS article_number, CASE WHEN doc_id % 50 = 0 THEN CAST(doc_id % 9 + 1 AS INT) END AS issuance_number, text AS body,
   CASE WHEN doc_id % 47 = 1 AND doc_id % 50 <> 0 THEN 'repealed' ELSE 'active' END AS article_status, CASE WHEN doc_id % 47 = 1 AND doc_id % 50 <> 0 THEN concat(CAST(doc_id * 20 AS STRING), '-', CAST(doc_id * 20 + 5 AS STRING)) END AS repealed_range,
   CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 4 AS INT) END AS division_number, CASE WHEN doc_id % 3 = 0 THEN concat('division ', lang) END AS division_title, CAST(doc_id % 22 AS INT) AS book_number, concat('book ', source) AS book_title,
   CASE WHEN doc_id % 23 = 0 THEN NULL ELSE CAST(doc_id % 5 + 1 AS INT) END AS part_number, concat('part ', lang) AS part_title, CASE WHEN doc_id % 23 = 0 THEN 'preamble' ELSE 'normal' END AS part_kind,
   CASE WHEN doc_id % 7 < 4 THEN CAST(doc_id % 7 + 1 AS INT) END AS chapter_number, CASE WHEN doc_id % 7 < 4 THEN 'chapter' END AS chapter_title, CASE WHEN doc_id % 11 = 0 THEN CAST(doc_id % 13 + 1 AS INT) END AS section_number,
   CASE WHEN doc_id % 11 = 0 THEN 'section' END AS section_title, CASE WHEN doc_id % 13 = 0 THEN 'label' END AS subsection_title, CAST(doc_id % 30 AS INT) AS page_start, CAST(doc_id % 30 + doc_id % 3 AS INT) AS page_end,
-  CAST(length(substring(text, 1, 400)) AS INT) AS char_count FROM {documents}"""
+  CAST(length(text) AS INT) AS char_count FROM {documents}"""
 _AR = D.ascii_to_arabic
 _LOW, _HIGH = "CAST(split_part(repealed_range, '-', 1) AS INT)", "CAST(split_part(repealed_range, '-', 2) AS INT)"
 _RANGE_BODY = f"concat('ملغاة (ضمن المواد من ', {_AR(_LOW)}, ' إلى ', {_AR(_HIGH)}, ')')"

@@ -21,8 +21,8 @@ CHUNKS = """SELECT doc_id, concat('c', lpad(CAST(doc_id AS STRING), 9, '0')) AS
   CASE WHEN doc_id % 19 = 0 THEN NULL ELSE concat(source, ' ', text) END AS text_for_display
   FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM {documents})"""
 POINTS = f"SELECT c.*, e.embedding AS dense FROM ({CHUNKS}) c JOIN {{embeddings}} e ON c.doc_id = e.vec_id"
-QUERIES = f"""SELECT doc_id AS query_id, dense, substring(text, 1, 200) AS text, CASE WHEN doc_id % 100 = 0 THEN law_number END AS law_number, CAST(NULL AS INT) AS law_year, CAST(NULL AS INT) AS book_number,
-  CAST(NULL AS INT) AS article_number, CAST(NULL AS STRING) AS article_type FROM ({POINTS}) WHERE doc_id % 50 = 0"""
+QUERIES = f"""SELECT doc_id AS query_id, dense, text, CASE WHEN doc_id % 40 = 0 THEN law_number END AS law_number, CAST(NULL AS INT) AS law_year, CAST(NULL AS INT) AS book_number,
+  CAST(NULL AS INT) AS article_number, CAST(NULL AS STRING) AS article_type FROM ({POINTS}) WHERE doc_id % 20 = 0"""
 _PASS = "(q.law_number IS NULL OR q.law_number = p.law_number)"
 _COS = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) / sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
 
@@ -162,9 +162,9 @@ def v12_article_by_number(t):
     return R.article_by_number(t.sql(RAW_NUMBERS), t.sql(CHUNKS)).withColumn("rank", F.col("rank").cast("long"))
 
 
-ASKED = """SELECT doc_id AS query_id, CASE doc_id % 8 WHEN 0 THEN concat('ما نص المادة رقم ', CAST(doc_id % 40 AS STRING), ' من قانون العمل رقم ', CAST(doc_id % 5 + 170 AS STRING), ' لسنة 2025')
+ASKED = """SELECT doc_id AS query_id, CASE doc_id % 7 WHEN 0 THEN concat('ما نص المادة رقم ', CAST(doc_id % 40 AS STRING), ' من قانون العمل رقم ', CAST(doc_id % 5 + 170 AS STRING), ' لسنة 2025')
   WHEN 1 THEN concat('مادة (', translate(CAST(doc_id % 40 AS STRING), '0123456789', '٠١٢٣٤٥٦٧٨٩'), ') من القانون المدني') WHEN 2 THEN 'المادة الثانية من قانون الإجراءات الجنائية' WHEN 3 THEN 'المادة الأولى' WHEN 4 THEN 'ماده ٧'
-  WHEN 5 THEN 'القانون المدني لسنة ١٩٩٩ المادة 3' ELSE substring(text, 1, 80) END AS text FROM {documents}"""
+  WHEN 5 THEN 'القانون المدني لسنة ١٩٩٩ المادة 3' ELSE text END AS text FROM {documents}"""
 _ORDINAL = "CASE " + " ".join(f"WHEN ord = '{w}' THEN {n}" for w, n in FEMININE_NUMBERS.items()) + " END"
 _ALT = "|".join(sorted(FEMININE_NUMBERS, key=lambda w: (-len(w), w)))
 
@@ -185,7 +185,7 @@ def v13_article_reference(t):
     return t.sql(ASKED).select("query_id", R.article_reference(F.col("text")).alias("r")).select("query_id", "r.*")
 
 
-SMART = f"SELECT a.query_id, a.text, q.dense, CASE WHEN a.query_id % 7 = 0 THEN 131 END AS law_number, CAST(NULL AS INT) AS law_year, CAST(NULL AS INT) AS book_number, CASE WHEN a.query_id % 35 = 0 THEN 4 END AS article_number, CAST(NULL AS STRING) AS article_type FROM ({ASKED}) a JOIN ({POINTS}) q ON a.query_id = q.doc_id WHERE a.query_id % 5 = 0"
+SMART = f"SELECT a.query_id, a.text, q.dense, CASE WHEN a.query_id % 7 = 0 THEN 131 END AS law_number, CAST(NULL AS INT) AS law_year, CAST(NULL AS INT) AS book_number, CASE WHEN a.query_id % 60 = 0 THEN 4 END AS article_number, CAST(NULL AS STRING) AS article_type FROM ({ASKED}) a JOIN ({POINTS}) q ON a.query_id = q.doc_id WHERE a.query_id % 20 = 0"
 _ROUTED = f"SELECT s.*, r.number, r.article_type AS ref_type, r.law_number AS ref_law, r.law_year AS ref_year, CASE WHEN s.article_number IS NOT NULL OR r.number IS NULL THEN 'ranked' ELSE 'lookup' END AS route FROM ({SMART}) s JOIN ({reference(SMART)}) r USING (query_id)"
 _SMART_LOOKUP = LOOKUP % (f"SELECT query_id, number, coalesce(article_type, ref_type) AS article_type, coalesce(law_number, ref_law) AS law_number, coalesce(law_year, ref_year) AS law_year, book_number FROM ({_ROUTED}) WHERE route = 'lookup'", CHUNKS, 10)
 _ALL = " AND ".join(f"(q.{c} IS NULL OR q.{c} = p.{c})" for c in R.FILTERS)
@@ -235,11 +235,11 @@ def v19_cosine(t):
     return t.sql(NEIGHBOURS).select("vec_id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
-OVERLAPS = "SELECT doc_id, split(lower(text), ' ') AS a, split(lower(substring(text, 1, 100)), ' ') AS b FROM {documents}"
+OVERLAPS = "SELECT doc_id, split(lower(text), ' ') AS a, split(lower(replace(text, 'e', 'a')), ' ') AS b FROM {documents}"
 
 
 @query(
-    "SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS overlap FROM (SELECT doc_id, string_split(lower(text), ' ') AS a, string_split(lower(substring(text, 1, 100)), ' ') AS b FROM {documents})"
+    "SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS overlap FROM (SELECT doc_id, string_split(lower(text), ' ') AS a, string_split(lower(replace(text, 'e', 'a')), ' ') AS b FROM {documents})"
 )
 def v20_sparse_overlap(t):
     """Jaccard similarity of index lists."""
