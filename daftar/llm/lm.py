@@ -41,7 +41,7 @@ def _bigram_keys(words: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(x.tobytes())
 
 
 def _unpack(x: bytes, kind: str) -> np.ndarray:
@@ -78,7 +78,7 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         class Memo(dict):
             def __missing__(self, word):
                 key = xxhash.xxh3_64_intdigest(word)
-                if len(self) < 1_000_000:
+                if len(self) < 400_000:
                     self[word] = key
                 return key
 
@@ -144,7 +144,8 @@ ANSWER = "kind int, range int, block string, counts binary, seen binary, types l
 
 
 def _answer(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up a key range and answers each of its cells."""
+    """Adds up a key range and answers each of its cells: `counts` without what was set aside, only for keys that the cell's block
+    has among its set-aside tokens, and `seen` with it, for all."""
     names, keys, counts = [], [], []
     for b in groups:
         names += b.column("block").to_pylist()
@@ -154,10 +155,10 @@ def _answer(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Ite
     total = np.stack([np.bincount(at, np.concatenate([c[p] for c in counts]), len(every)).astype("<u8") for p in (0, 1)])
     types, start = (int((total.sum(0) > 0).sum()), int((total[0] > 0).sum())), 0
     for i, (name, k) in enumerate(zip(names, keys, strict=True)):
-        own = total[:, at[start : start + len(k)]]
+        own, aside = total[:, at[start : start + len(k)]], counts[i][1] > 0
         start += len(k)
         first = types if i == 0 else (0, 0)
-        row = [key[0].as_py(), key[1].as_py(), name, _pack(own[0]), _pack(own.sum(0)), *first]
+        row = [key[0].as_py(), key[1].as_py(), name, _pack(own[0][aside]), _pack(own.sum(0)), *first]
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in ANSWER.split(", ")])
 
@@ -179,6 +180,24 @@ def _step(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.clip(1 + np.round(-4 * np.log2(np.where(p > 0, p, 1))), 1, STEPS - 1), 0).astype(np.int64)
 
 
+def set_aside(table: DataFrame) -> DataFrame:
+    """block, words, pairs, end: each block's set-aside tokens, numbered among its set-aside words and pairs. END's number is end."""
+
+    def run(it):
+        for b in it:
+            for row in b.to_pylist():
+                block = _Block(row)
+                use = block.token_part == 1
+                if use.any():
+                    vocabulary, words = np.unique(block.numbers[use], return_inverse=True)
+                    pairs = np.unique(block.pair_numbers[use], return_inverse=True)[1]
+                    end = int(np.searchsorted(vocabulary, block.before[0]))
+                    columns = [pa.array([row["block"]]), pa.array([_pack(words.astype("<u4"))], pa.binary()), pa.array([_pack(pairs.astype("<u4"))], pa.binary()), pa.array([end], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "words", "pairs", "end"])
+
+    return table.mapInArrow(run, "block string, words binary, pairs binary, end long")
+
+
 def histogram(table: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:
     """Events set aside by (context bucket, step of the bigram estimate, step of the unigram estimate), from counts without them."""
 
@@ -187,17 +206,18 @@ def histogram(table: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:
         kinds = [("bucket", pa.int64()), ("two", pa.int64()), ("one", pa.int64()), ("n", pa.int64())]
         found = np.empty((0, 2), np.int64)
         if rows:
-            block = _Block(rows[0])
+            words, pairs = _unpack(rows[0]["words"], "<u4"), _unpack(rows[0]["pairs"], "<u4")
             word, pair = _counts_of(right, "counts")
-            use = block.token_part == 1
-            c, h, n = word[block.numbers[use]], word[block.before[use]], pair[block.pair_numbers[use]]
+            c, n = word[words], pair[pairs]
+            h = word[np.concatenate([[rows[0]["end"]], words[:-1]])]  # every text ends in END, so the one before begins it
             code = (_bucket(h) * STEPS + _step(n / np.maximum(h, 1))) * STEPS + _step(c / max(tokens, 1))
             found = np.column_stack(np.unique(code, return_counts=True))
         code = found[:, 0]
         columns = (code // STEPS**2, code // STEPS % STEPS, code % STEPS, found[:, 1])
         return pa.table({k: pa.array(v, t) for (k, t), v in zip(kinds, columns, strict=True)})
 
-    cogrouped = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "bucket long, two long, one long, n long")
+    asked = answers.select("kind", "range", "block", "counts")
+    cogrouped = set_aside(table).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, "bucket long, two long, one long, n long")
     return cogrouped.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
 
 
@@ -266,5 +286,5 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         columns = (ids, block.part.astype(np.int32), np.diff(block.ends, prepend=0), over((c > 0).astype(np.int64)), over(base), over(np.log10(p)))
         return pa.table({k: pa.array(v, t) if not isinstance(v, pa.Array) else v for (k, t), v in zip(kinds, columns, strict=True)})
 
-    scored = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, out)
+    scored = table.groupBy("block").cogroup(answers.select("kind", "range", "block", "seen").groupBy("block")).applyInArrow(run, out)
     return scored.select("doc_id", (F.col("part") == 2).alias("held_out"), "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
