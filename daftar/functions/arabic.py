@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code points that a cleaned text must not hold, and what stands for them.
 PUA_MARKS = {"\ue823": "\u064b", "\ue821": "\u064f", "\ue825": "\u0651", "\ue82c": "\u0651", "\ue820": "\u0651"}
@@ -41,7 +42,7 @@ def repair_pua(c: Column) -> Column:
     return F.regexp_replace(c, f"[{PUA_RANGE}]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
