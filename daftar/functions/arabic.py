@@ -18,6 +18,7 @@ ARABIC_DIGITS, EASTERN_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳
 #: White space as Python's strip sees it, without and with the newline.
 BLANKS = " \t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = BLANKS + "\n"
+_BLANK_SIGNS = " \t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LETTERS = "\u0621-\u064a"
 #: Letters that make up one token of the glyph repair.
 TOKEN_LETTERS = "\u0621-\u063a\u0640-\u064a\u0671-\u06d3"
@@ -32,7 +33,8 @@ CLAUSE_ORDINALS = "أولا ثانيا ثالثا رابعا خامسا سادس
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    """Trims by a set of signs: no regular expression looks at the text between the ends."""
+    return F.btrim(c, F.lit(_BLANK_SIGNS + "\n"))
 
 
 def repair_pua(c: Column) -> Column:
@@ -59,20 +61,25 @@ def strip_directional(c: Column) -> Column:
 
 def reattach(c: Column) -> Column:
     """T4: no space before a combining mark or before Arabic punctuation."""
-    return F.regexp_replace(F.regexp_replace(c, f"[ \t]+([{MARKS}])", "$1"), "[ \t]+([،؛؟])", "$1")
+    return F.regexp_replace(c, f"[ \t]+([{MARKS}،؛؟])", "$1")
 
 
 def space_boundaries(c: Column) -> Column:
     """T5: a space between Arabic digits and letters, and after a comma or semicolon glued to a letter."""
-    c = F.regexp_replace(c, f"(?<=[٠-٩])(?=[{LETTERS}])", " ")
-    c = F.regexp_replace(c, f"(?<=[{LETTERS}])(?=[٠-٩])", " ")
+    c = F.regexp_replace(c, f"([٠-٩])([{LETTERS}])", "$1 $2")
+    c = F.regexp_replace(c, f"([{LETTERS}])([٠-٩])", "$1 $2")
     return F.regexp_replace(c, f"([،؛])(?=[{LETTERS}])", "$1 ")
 
 
+def one_space(c: Column) -> Column:
+    """Runs of spaces and tabs become one space; single spaces are not touched."""
+    return F.regexp_replace(c, "[ \t]{2,}|\t", " ")
+
+
 def collapse(c: Column) -> Column:
     """Runs of blanks, runs of newlines, then each line's ends."""
-    c = F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n")
-    return strip(F.regexp_replace(c, f"(?dm)^[{BLANKS}]+|[{BLANKS}]+$", ""))
+    c = F.regexp_replace(one_space(c), "\n{3,}", "\n\n")
+    return strip(F.array_join(F.transform(F.split(c, "\n"), lambda line: F.btrim(line, F.lit(_BLANK_SIGNS))), "\n"))
 
 
 def clean_text(c: Column, with_nfkc: bool = True) -> Column:
@@ -91,7 +98,7 @@ def normalize_for_embedding(c: Column, fold_alef=True, fold_yaa=True, fold_taa_m
     if fold_taa_marbuta:
         pairs |= {"ة": "ه"}
     gone = "ـ" + (MARKS if strip_harakat else "")
-    return strip(F.regexp_replace(F.translate(c, "".join(pairs) + gone, "".join(pairs.values())), "[ \t]+", " "))
+    return strip(one_space(F.translate(c, "".join(pairs) + gone, "".join(pairs.values()))))
 
 
 def normalize_for_match(c: Column) -> Column:

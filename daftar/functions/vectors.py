@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def token_vector(token: Column, size: int = 8) -> Column:
-    """The default token encoder of late interaction: the digest's first hexadecimal digits around their middle."""
-    digest = F.md5(token.cast("binary"))
-    return F.array(*(F.conv(F.substring(digest, i + 1, 1), 16, 10).cast("double") - 7.5 for i in range(size)))
+def hashed_token_vectors(tokens: list[str], size: int = 8) -> np.ndarray:
+    """The default token encoder of late interaction: the digest's first hexadecimal digits around their middle, of unit length."""
+    digits = np.array([[int(x, 16) for x in hashlib.md5(t.encode()).hexdigest()[:size]] for t in tokens], np.float64).reshape(-1, size) - 7.5
+    return digits / np.sqrt((digits * digits).sum(1, keepdims=True))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daftar.functions import arabic as A
 from daftar.functions import vectors as V
@@ -126,20 +127,29 @@ def hybrid_search(queries: DataFrame, points: DataFrame, limit: int = 10, prefet
     return rrf([dense, ranked(met.select("query_id", "chunk_id", "score"), prefetch)], limit)
 
 
-def late_interaction(pairs: DataFrame, query_text: str, passage_text: str, cap: int = 256) -> DataFrame:
+def late_interaction(pairs: DataFrame, query_text: str, passage_text: str, cap: int = 256, encoder=V.hashed_token_vectors) -> DataFrame:
     """V7: query_id, chunk_id, score: for each of a query's tokens (first `cap`) the best cosine among the passage's, averaged.
 
-    Only for the few candidates of each query: tokens of both sides are set beside each other per pair.
+    Only for the few candidates of each query. Each pair is one product of two small matrices, in Arrow batches; `encoder` makes
+    unit vectors of a list of tokens and may hold a model.
     """
     tokens = lambda c: F.slice(F.filter(F.split(A.normalize_for_embedding(F.lower(c)), "[ \n]+"), lambda t: t != ""), 1, cap)
-    unit = lambda t: F.transform(V.token_vector(t), lambda x: x / V.norm(V.token_vector(t)))
-    asked = pairs.select("query_id", query_text).distinct().select("query_id", F.posexplode(tokens(F.col(query_text))).alias("pos", "token"))
-    asked = asked.select("query_id", "pos", unit(F.col("token")).alias("qv"))
-    held = pairs.select("chunk_id", passage_text).distinct().select("chunk_id", F.explode(F.array_distinct(tokens(F.col(passage_text)))).alias("token"))
-    held = held.groupBy("chunk_id").agg(F.collect_list(unit(F.col("token"))).alias("vs"))
-    best = F.array_max(F.transform("vs", lambda v: V.dot(F.col("qv"), v)))
-    scored = pairs.select("query_id", "chunk_id").distinct().join(asked, "query_id").join(held, "chunk_id").select("query_id", "chunk_id", best.alias("best"))
-    return scored.groupBy("query_id", "chunk_id").agg(F.avg("best").alias("score"))
+
+    @F.pandas_udf(T.DoubleType())
+    def best_match(asked: pd.Series, held: pd.Series) -> pd.Series:
+        made: dict[tuple, np.ndarray] = {}
+
+        def matrix(words) -> np.ndarray:
+            key = tuple(words)
+            if key not in made:
+                made[key] = encoder(list(words))
+            return made[key]
+
+        return pd.Series([float((matrix(a) @ matrix(b).T).max(1).mean()) if len(a) and len(b) else None for a, b in zip(asked, held, strict=True)], dtype="float64")
+
+    once = best_match.asNondeterministic()  # else the filter below would run it again
+    scored = pairs.select("query_id", "chunk_id", once(tokens(F.col(query_text)), tokens(F.col(passage_text))).alias("score"))
+    return scored.where("score is not null")
 
 
 def rerank(scores: DataFrame, top_k: int, cap: int = 50) -> DataFrame:
