@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import doc_columns
+from .shared import doc_columns, materialise
 
 #: The pattern that parts a text into words before byte-level merges (a fixed value of this kind of vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -298,8 +298,16 @@ def frequent_words(docs: DataFrame, size: int, least: int = 8) -> list[str]:
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
     texts = docs.select(F.col("text")).where(F.length("text") > 0)
-    found = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in found.orderBy(F.desc("n"), "word").limit(size).collect()]
+    found = materialise(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # a histogram of counts tells from which count on at most `size` words remain, so only those come to the driver
+    step = F.floor(F.log2("n") * 8).cast("int")
+    kept, least_step = 0, None
+    for s, n in sorted(found.groupBy(step.alias("s")).agg(F.count("*")).collect(), reverse=True):
+        kept += n
+        if kept > size:
+            break
+        least_step = s
+    return [] if least_step is None else [r[0] for r in found.where(step >= least_step).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = 32_768) -> Lexicon:
