@@ -54,8 +54,9 @@ def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters=()) -> Da
     blocks, parts = max(1, -(-n_points // POINT_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = points.select("chunk_id", "dense", *filters).withColumn("_b", deal("chunk_id", blocks)).withColumn("_p", spread(parts))
-    right = queries.select("query_id", "dense", *filters).withColumn("_p", deal("query_id", parts)).withColumn("_b", spread(blocks))
+    fresh = lambda df, *names: df.select(*(F.col(c).alias(c) for c in names))  # noqa: E731  queries may come from points themselves
+    left = fresh(points, "chunk_id", "dense", *filters).withColumn("_b", deal("chunk_id", blocks)).withColumn("_p", spread(parts))
+    right = fresh(queries, "query_id", "dense", *filters).withColumn("_p", deal("query_id", parts)).withColumn("_b", spread(blocks))
 
     def unit(rows: pd.Series) -> np.ndarray:
         x = np.stack(rows.to_numpy()).astype(np.float64)
@@ -255,7 +256,10 @@ def context_block(ancestry: bool) -> Column:
 def encode(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
     """V1: key, dense: the default encoder, a hashed bag of terms with unit length, in the JVM. Another encoder (a model held by
     each Python worker) goes in by mapInPandas with the same columns."""
-    terms = postings(texts, key, text).withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(size))).withColumn("sign", F.when(F.pmod(F.xxhash64("term", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+    digest = F.md5(F.col("term").cast("binary"))
+    slot = F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") % size
+    sign = F.when(F.substring(digest, 5, 1) < "8", 1.0).otherwise(-1.0)
+    terms = postings(texts, key, text).withColumn("slot", slot).withColumn("sign", sign)
     slots = terms.groupBy(key, "slot").agg(F.sum(F.col("weight") * F.col("sign")).alias("x"))
     filled = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), F.lit(0.0)) / F.greatest(F.col("n"), F.lit(1e-300))).alias("dense"))

@@ -246,7 +246,26 @@ def v20_sparse_overlap(t):
     return t.sql(OVERLAPS).select("doc_id", F.round(V.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-@query()
+_SLOTS = f"SELECT chunk_id, CAST('0x' || substr(md5(term), 1, 4) AS BIGINT) % 64 AS slot, sum(weight * CASE WHEN substr(md5(term), 5, 1) < '8' THEN 1.0 ELSE -1.0 END) AS x FROM ({terms(CHUNKS, 'chunk_id')}) GROUP BY ALL"
+ENCODED = f"SELECT chunk_id, list_transform(range(64), lambda i: coalesce(m[i], 0.0) / greatest(n, 1e-300)) AS dense FROM (SELECT chunk_id, map_from_entries(list((slot, x))) AS m, sqrt(sum(x * x)) AS n FROM ({_SLOTS}) GROUP BY chunk_id)"
+
+
+@query(f"SELECT chunk_id, array_to_string(list_transform(dense, lambda x: CAST(CAST(round(x * 100000) AS BIGINT) AS VARCHAR)), ',') AS dense FROM ({ENCODED})")
 def v1_encode(t):
-    """V1: the default hashed encoder over every chunk; hash functions differ between engines, so only rows are compared."""
-    return R.encode(t.sql(CHUNKS), "chunk_id", "text")
+    """V1: the default hashed encoder over every chunk."""
+    vectors = R.encode(t.sql(CHUNKS), "chunk_id", "text")
+    return vectors.select("chunk_id", F.array_join(F.transform("dense", lambda x: F.round(x * 100000).cast("long").cast("string")), ",").alias("dense"))
+
+
+_V15_POINTS = f"SELECT c.chunk_id, c.doc_id, c.text, c.law_number, e.dense FROM ({CHUNKS}) c JOIN ({ENCODED}) e USING (chunk_id)"
+_V15_QUERIES = f"SELECT doc_id AS query_id, dense, text, CASE WHEN doc_id % 40 = 0 THEN law_number END AS law_number FROM ({_V15_POINTS}) WHERE doc_id % 20 = 0"
+
+
+@query(published_sql(top(f"SELECT q.query_id, p.chunk_id, list_dot_product(q.dense, p.dense) AS score FROM ({_V15_QUERIES}) q JOIN ({_V15_POINTS}) p ON {_PASS}", 10)))
+def v15_encoded_search(t):
+    """Texts normalised and encoded alike on both sides, then searched with each query's filter."""
+    chunks = t.sql(CHUNKS)
+    points = chunks.select("chunk_id", "doc_id", "text", "law_number").join(R.encode(chunks, "chunk_id", "text"), "chunk_id")
+    law = F.when(F.col("doc_id") % 40 == 0, F.col("law_number"))
+    queries = points.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "dense", "text", law.alias("law_number"))
+    return published(R.dense_top_k(queries, points, 10, ("law_number",)))

@@ -199,3 +199,35 @@ def l21_diagnostics(t):
 def l22_slice_articles(t):
     """Article records."""
     return articles_of(t)
+
+
+def _of_kinds(name: str, doc: str, kinds: tuple[str, ...], columns: str):
+    """A query of the classified lines of some kinds."""
+
+    def run(t):
+        return _classified(t).where(F.col("kind").isin(*kinds)).select(*columns.split(", "))
+
+    run.__name__, run.__doc__ = name, doc
+    query(f"{CTES.rstrip().rstrip(',')} SELECT {columns} FROM classified WHERE {_any('kind', kinds)}")(run)
+
+
+_of_kinds("l3_structural_headers", "L3, L4, L5: headers of every level with their ordinals as numbers.", S.STRUCTURAL, "doc_id, pos, kind, number, number2")
+_of_kinds("l6_article_headers", "L6, L18: article headers alone or glued to their text, with the text that follows.", ("article",), "doc_id, pos, number, seed")
+_of_kinds("l7_issuance_headers", "L7: enacting articles, before the first structural header.", ("issuance",), "doc_id, pos, number, seed")
+_of_kinds("l8_range_lines", "L8: repealed ranges.", ("range",), "doc_id, pos, number, number2")
+_of_kinds("l9_sections", "L9: sections and labels before articles.", ("section", "subsection"), "doc_id, pos, kind, number, title")
+_of_kinds("l10_labels", "L10: labels before repealed ranges.", ("label",), "doc_id, pos, title")
+_of_kinds("l12_titles", "L12, L13: titles of headers, from the lines below or the line itself.", S.STRUCTURAL, "doc_id, pos, title")
+
+
+@query(f"SELECT doc_id, pos, body, char_count FROM ({ARTICLES})")
+def l19_bodies(t):
+    """Bodies with their clauses on lines of their own."""
+    return articles_of(t).select("doc_id", "pos", "body", "char_count")
+
+
+@query(f"SELECT doc_id, session, coalesce(bool_or(flagged), false) AS open_list FROM (SELECT doc_id, session, kind = 'body' AND NOT closed AND {_m(_asc('line'), S.SECTION)} AS flagged FROM ({CTES.rstrip().rstrip(',')} SELECT * FROM classified) WHERE session > 0) GROUP BY ALL")
+def l17_open_lists(t):
+    """Articles whose opening sentence announces a list, as seen from section-shaped lines that stay theirs."""
+    kept = (F.col("kind") == "body") & ~F.col("closed") & A.arabic_to_ascii(F.col("line")).rlike(S.SECTION)
+    return _classified(t).where("session > 0").groupBy("doc_id", "session").agg(F.bool_or(kept).alias("open_list"))
