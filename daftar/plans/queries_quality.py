@@ -75,7 +75,7 @@ _NUMS_D = "SELECT law_number, article_number, count(*) AS n FROM (" + _NUM + ")
 
 @query(
     f"""SELECT law_number, total, distinct_numbers, least, largest, coalesce(missing, '') AS missing, coalesce(repeated, '') AS repeated, missing IS NULL AND repeated IS NULL AS is_complete FROM (
-    SELECT law_number, sum(n) AS total, count(*) AS distinct_numbers, min(article_number) AS least, max(article_number) AS largest, string_agg(CAST(article_number AS VARCHAR), ',' ORDER BY article_number) FILTER (n > 1) AS repeated FROM ({_NUMS_D}) GROUP BY law_number)
+    SELECT law_number, CAST(sum(n) AS BIGINT) AS total, count(*) AS distinct_numbers, min(article_number) AS least, max(article_number) AS largest, string_agg(CAST(article_number AS VARCHAR), ',' ORDER BY article_number) FILTER (n > 1) AS repeated FROM ({_NUMS_D}) GROUP BY law_number)
     LEFT JOIN (SELECT law_number, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS missing FROM (SELECT law_number, unnest(range(min(article_number), max(article_number) + 1)) AS x FROM ({_NUM}) GROUP BY law_number) r WHERE NOT EXISTS (SELECT 1 FROM ({_NUM}) m WHERE m.law_number = r.law_number AND m.article_number = r.x) GROUP BY law_number) USING (law_number)"""
 )
 def q6_article_integrity(t):

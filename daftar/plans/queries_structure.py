@@ -78,7 +78,7 @@ l7 AS (SELECT *, CASE WHEN kind IN ('division', 'book', 'banner', 'part', 'chapt
   CASE WHEN bare THEN below WHEN kind = 'banner' THEN trim({_tail("2", "0")}) WHEN kind = 'chapter' THEN trim({_tail("1", "(1 + len(string_split(word, ' ')))")}) WHEN kind = 'preamble' THEN trim({_tail("1", "2")}) WHEN {_any("kind", S.STRUCTURAL)} THEN trim({_tail("1", "0")})
    WHEN kind = 'section' THEN trim({_g("al", S.SECTION, 3)}) WHEN kind = 'subsection' THEN trim({_g("line", S.LABEL)}) WHEN kind = 'label' THEN line END AS title,
   nullif(CASE WHEN kind IN ('article', 'issuance') AND {_m("na", S.GLUED)} THEN trim(CASE WHEN {_g("line", S.RAW_GLUED)} <> '' THEN '(' || {_g("line", S.RAW_GLUED)} || ') ' || ltrim({_g("line", S.RAW_GLUED, 2)}) ELSE {_g("line", S.RAW_GLUED, 2)} END) END, '') AS seed,
-  sum(CAST(kind IN ('article', 'issuance') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS session FROM l6),
+  CAST(sum(CAST(kind IN ('article', 'issuance') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM l6),
 l8 AS (SELECT *, CASE WHEN kind = 'body' THEN line WHEN kind IN ('article', 'issuance') THEN seed END AS txt FROM l7),
 l9 AS (SELECT *, min(CASE WHEN {_m("rtrim(txt)", "[.:：؟]$")} THEN pos END) OVER s AS e, min(CASE WHEN {_any("kind", S.CLOSING)} THEN pos END) OVER s AS c,
   arg_min({_m("rtrim(txt)", "[:：]$")} AND coalesce({_m(_asc("following"), S.SECTION)}, false), CASE WHEN {_m("rtrim(txt)", "[.:：؟]$")} THEN pos END) OVER s AS opens FROM l8 WINDOW s AS (PARTITION BY doc_id, session)),
