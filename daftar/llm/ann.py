@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import hash_sample, materialise
 
 
 def fit_codebooks(sample: np.ndarray, books: int, words: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -74,7 +74,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, books: int = 12, wor
     spark = vectors.sparkSession
     rows = usable(vectors).dropDuplicates(["vec_id"])
     schema = "query_id long, rank int, vec_id long, score double"
-    sample = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toPandas()
+    sample = hash_sample(usable(vectors), fit_rows, "vec_id").toPandas()
     if not len(sample):
         return spark.createDataFrame([], schema)
     fitted = np.stack(sample["v"].to_numpy())
