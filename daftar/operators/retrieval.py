@@ -197,7 +197,7 @@ def article_reference(c: Column) -> Column:
     text = A.arabic_to_ascii(A.normalize_for_match(c))
     found = lambda pattern: F.regexp_extract(text, pattern, 1)
     number = lambda pattern: found(pattern).try_cast("int")
-    named = [(A_name, n, y) for A_name, n, y, _ in LAWS]
+    named = [law[:3] for law in LAWS]
     folded = lambda s: s.translate(str.maketrans("أإآٱى", "ااااي"))
     by_name = lambda i: F.coalesce(*(F.when(text.contains(folded(x[0])), x[i]) for x in named))
     ordinal = lookup(found(f"(?:ال)?ماد[ةه]\\s+({alternation(FEMININE_NUMBERS)})(?![ء-ي0-9])"), FEMININE_NUMBERS)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from daftar.operators import chunks as C
 from daftar.operators.laws import FEMININE, ORDINALS

@@ -44,7 +44,6 @@ _TESTS, _LINES = (" ".join(f"WHEN {p[0]} THEN {p[i]}" for p in _PARTS) for i in
 RAW_LINES = f"SELECT c, n, k, 0 AS j, CASE k {_LINES} END AS line FROM ({_N}), ({_KS}) WHERE CASE k {_TESTS} END"
 RAW_LINES += f" UNION ALL SELECT c, n, 100 AS k, CAST(dense_rank() OVER (PARTITION BY c, n ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice) AS INT) AS j, {_BODY} AS line FROM ({_N}) x JOIN {{lineitem}} l ON l.l_orderkey = x.o"
 LAW_LINES = f"SELECT c AS doc_id, CAST(floor((n + 3) / 4) AS INT) AS page_number, n * 1000000 + k * 1000 + j AS pos, line FROM (SELECT DISTINCT c, n, k, j, line FROM ({RAW_LINES}))"
-FOLD = {f: D.normalize(f) for f in ("line", "following", "title0")}
 _x = D.q
 _ord = lambda w: "CASE " + w + " " + " ".join(f"WHEN {_x(k)} THEN {v}" for k, v in ORDINAL_NUMBERS.items()) + " END"
 _fem = lambda w: "CASE " + w + " " + " ".join(f"WHEN {_x(k)} THEN {v}" for k, v in FEMININE_NUMBERS.items()) + " END"
