@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches
-from .shared import doc_columns, fold
+from .shared import doc_columns, fold, hash_sample
 
 # Letters of other alphabets that look like Latin ones, digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏԛԝαορτυνικɑɡ", "aeopcyxijsdhlqwaoptuvikag", strict=True))
@@ -99,7 +99,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, folds: int
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold("doc_id", folds) != 0).dropna().distinct()
     chosen = None
     for label in (0, 1):
-        part = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(of_each)
+        part = hash_sample(usable.where(F.col("toxic") == label), of_each, "doc_id")
         chosen = part if chosen is None else chosen.unionByName(part)
     return doc_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
