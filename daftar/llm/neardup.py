@@ -23,8 +23,8 @@ from .shared import doc_columns, materialise
 #: Members of a family whose texts one task holds; of a trie node whose signatures one task holds. Larger ones are cut into
 #: blocks, and each pair of blocks is a piece of work.
 FAMILY_BLOCK, NODE_BLOCK = 2_048, 16_384
-#: Family members up to which their ids are broadcast (16 MB); beyond it texts and families meet by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Family members up to which they are broadcast (under 80 bytes each, so 20 MB); beyond it texts and families meet by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -139,7 +139,7 @@ def _runs(it, key_columns: list[str]) -> Iterator[pa.Table]:
 
 
 def blocked(rows: DataFrame, group: str, size: str, block: int, by: str) -> DataFrame:
-    """Columns i, j and side: a group of at most `block` rows is one piece (0, 0); a larger one is cut into blocks, and each row goes to
+    """Columns own, i and j: a group of at most `block` rows is one piece (0, 0); a larger one is cut into blocks, and each row goes to
     every pair of blocks that holds its own. A piece with i < j compares only across its two blocks."""
     m = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64(by), m.cast("long")).cast("int")
@@ -213,7 +213,7 @@ def candidate_edges(nodes: DataFrame, trees: int, depth: int, stop: int, near: f
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["a", "b"])
 
-    sorted_pieces = pieces.repartition("at", "i", "j").sortWithinPartitions("at", "i", "j", F.hex("sig"))
+    sorted_pieces = pieces.repartition("at", "i", "j").sortWithinPartitions("at", "i", "j", "sig")
     return sorted_pieces.mapInArrow(run, "a long, b long").distinct()
 
 
