@@ -255,18 +255,9 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 6, recall: float = 0.9999, margin: float = 0.15) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, copies, first_copy.
-
-    Texts are sets of hashes of n successive words (lower case, parted by white space; all words if fewer than n). Two rows link
-    if their sets' Jaccard similarity is at least `threshold`, or if they have the same words (so also without any word: null
-    and empty texts are one class). n_links counts the other rows that a row links to, copies included; class_id is the
-    smallest doc_id of all rows that links connect, copies counts the rows with the same words, first_copy is their smallest
-    doc_id. Similarities are verified exactly; a pair at the threshold is found with the target recall, in theory, pairs above
-    it with a higher one, and within a family all pairs are. Repeated rows are copies. An empty table gives no rows; null doc_ids
-    count last.
-    """
-    spark = docs.sparkSession
+def _classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 6, recall: float = 0.9999, margin: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (doc_id, key) and one row per key, the digest of the words: key, class_id, n_links, copies, first_copy, and
+    class_key, the key of its class's first row by (doc_id is null, doc_id, key)."""
     size, stop = trees * depth, stop_depth(threshold, trees, depth, recall)
     rows = materialise(signatures(docs, n, size))
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first_copy"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
@@ -307,14 +298,44 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     roots = components(verified.select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = nodes.select("node", "key", "first_copy", "copies").join(links, "node", "left").join(roots, "node", "left")
     classes = materialise(classes.withColumn("root", F.coalesce("root", "node")))
-    of_class = classes.groupBy("root").agg(F.min("first_copy").alias("class_id"))
-    per_key = classes.join(of_class, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", "first_copy")
-    return rows.select("doc_id", "key").join(per_key, "key").select("doc_id", "class_id", "n_links", "copies", "first_copy")
+    first = F.min(F.struct(F.col("first_copy").isNull().alias("none"), "first_copy", "key"))
+    of_class = classes.groupBy("root").agg(first.alias("first")).select("root", F.col("first.first_copy").alias("class_id"), F.col("first.key").alias("class_key"))
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return rows.select("doc_id", "key"), classes.join(of_class, "root").select("key", "class_id", links, "copies", "first_copy", "class_key")
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 6, recall: float = 0.9999, margin: float = 0.15) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, n_links, copies, first_copy.
+
+    Texts are sets of hashes of n successive words (lower case, parted by white space; all words if fewer than n). Two rows link
+    if their sets' Jaccard similarity is at least `threshold`, or if they have the same words (so also without any word: null
+    and empty texts are one class). n_links counts the other rows that a row links to, copies included; class_id is the
+    smallest doc_id of all rows that links connect, copies counts the rows with the same words, first_copy is their smallest
+    doc_id. Similarities are verified exactly; a pair at the threshold is found with the target recall, in theory, pairs above
+    it with a higher one, and within a family all pairs are. Repeated rows are copies. An empty table gives no rows; null doc_ids
+    count last.
+    """
+    rows, per_key = _classes(docs, n, threshold, trees, depth, recall, margin)
+    return rows.join(per_key, "key").select("doc_id", "class_id", "n_links", "copies", "first_copy")
 
 
 def keep_first_of_class(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs whose doc_id is their class's smallest, with all their columns; rows of one doc_id stay or go together."""
-    gone = materialise(jaccard_classes(docs, **parameters).where("not (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """Of each class of jaccard_classes exactly one row of docs, the first by (doc_id is null, doc_id, digest of the words), with all
+    its columns. Rows are told apart by their words, not by doc_id, so repeated and null doc_ids do no harm.
+
+    A row whose words no other row has, first of its class, passes straight through. Of rows that repeat the words of a class's
+    first one, the aggregation keeps one before and after the shuffle, so a hot group costs one row a task.
+    """
+    _, per_key = _classes(docs, **parameters)
+    touched = materialise(per_key.where("copies > 1 or key <> class_key").select(F.col("key").alias("_key"), (F.col("key") == F.col("class_key")).alias("_first")))
+    if touched.count() <= BROADCAST_ROWS:
+        touched = F.broadcast(touched)
+
+    @F.pandas_udf("binary")
+    def digest(text):
+        return text.map(lambda t: xxhash.xxh3_128_digest(" ".join(words_of(t))))
+
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_whole"), docs["doc_id"].alias("_id"), digest(docs["text"]).alias("_key"))
+    marked = rows.join(touched, "_key", "left")
+    repeated = marked.where("_first").groupBy("_key").agg(F.min_by("_whole", F.struct(F.col("_id").isNull(), "_id")).alias("_whole"))
+    return marked.where("_first is null").select("_whole.*").unionByName(repeated.select("_whole.*"))

@@ -95,6 +95,16 @@ def test_jaccard_cuts_large_families_and_nodes(spark, monkeypatch):
     assert joined(docs(spark, *rows)) == jaccard_by_force([r[:2] for r in rows])
 
 
+def test_one_row_of_each_class_stays_under_shared_and_null_ids(spark):
+    def text(k, swap=None):
+        return " ".join("swapped" if i == swap else f"k{k}w{i}" for i in range(80))
+
+    rows = [(3, text(0), "a"), (None, text(0, 40), "a"), (None, text(1), "a"), (None, text(2), "a"), (None, text(2, 40), "a"), (5, text(3), "a"), (5, text(0, 20), "a"), (5, text(4), "a"), (6, text(4, 40), "a"), (None, text(5), "a"), (None, text(5).upper(), "a"), (7, text(6), "x"), (7, text(6), "x")]
+    kept = neardup.keep_first_of_class(docs(spark, *rows)).collect()
+    topics = sorted(((r.text.lower()[: r.text.index("w" if r.text.islower() else "W")], r.doc_id) for r in kept), key=str)
+    assert topics == [("k0", 3), ("k1", None), ("k2", None), ("k3", 5), ("k4", 5), ("k5", None), ("k6", 7)]
+
+
 def test_stop_depth_and_components(spark):
     d = neardup.stop_depth(0.8, 20, 6, 0.9999)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
