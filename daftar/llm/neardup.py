@@ -32,6 +32,16 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def digest_of(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words))
+
+
+def _with_key(it):
+    for b in batches(it, 256):
+        keys = [digest_of(words_of(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), b.column(1).cast(pa.string())], ["id", "key", "text"])
+
+
 class Shingles:
     """64-bit hashes of the runs of n words of a text (of all words, if fewer; none, if there is none), with a memo of words."""
 
@@ -85,7 +95,7 @@ def signatures(docs: DataFrame, n: int, size: int) -> DataFrame:
             keys, sets, sigs = [], [], [None] * b.num_rows
             for text in b.column(1).to_pylist():
                 words = words_of(text)
-                keys.append(xxhash.xxh3_128_digest(" ".join(words)))
+                keys.append(digest_of(words))
                 sets.append(shingles(words))
             at, held, n_held = [], [], 0
             for i, s in enumerate([*sets, None]):
@@ -266,11 +276,14 @@ def _classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 2
     families = materialise(components(edges).join(nodes.select("node", "key", "first_copy", "copies"), "node"))
     sizes = families.groupBy("root").agg(F.count("*").alias("n"))
     members = families.join(sizes, "root").select("root", "n", "node", "key", "first_copy", "copies")
-    texts = docs.select(docs["doc_id"].cast("long").alias("first_copy"), docs["text"])
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"])
     if families.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(members.select("first_copy").distinct())
+        texts = texts.join(ids, F.expr("id <=> first_copy"), "left_semi")
         members = F.broadcast(members)
-    found = texts.alias("t").join(members.alias("m"), F.expr("t.first_copy <=> m.first_copy")).select("m.root", "m.n", "m.node", "m.key", "m.copies", "t.text")
-    pieces = blocked(found, "root", "n", FAMILY_BLOCK, "node").select("root", "i", "j", "own", "node", "key", "copies", "text")
+    keyed = texts.mapInArrow(_with_key, "id long, key binary, text string")  # ids repeat, so a text meets its family by its words
+    found = keyed.alias("t").join(members.alias("m"), F.expr("t.key = m.key AND t.id <=> m.first_copy")).select("m.root", "m.n", "m.node", "m.copies", "t.text")
+    pieces = blocked(found, "root", "n", FAMILY_BLOCK, "node").select("root", "i", "j", "own", "node", "copies", "text")
 
     def verify(it):
         shingles = Shingles(n)
@@ -281,10 +294,9 @@ def _classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 2
                 part = t.slice(a, b - a)
                 sets: dict[int, np.ndarray] = {}
                 info: dict[int, tuple[int, int]] = {}
-                for node, key, text, own, copies in zip(*(part.column(c).to_pylist() for c in ("node", "key", "text", "own", "copies")), strict=True):
-                    words = words_of(text)
-                    if node not in sets and xxhash.xxh3_128_digest(" ".join(words)) == key:  # a doc_id may come with other texts
-                        sets[node], info[node] = np.unique(shingles(words)), (own, copies)
+                for node, text, own, copies in zip(*(part.column(c).to_pylist() for c in ("node", "text", "own", "copies")), strict=True):
+                    if node not in sets:  # rows of one doc_id may have the same words
+                        sets[node], info[node] = np.unique(shingles(words_of(text))), (own, copies)
                 linked = _links(list(sets.values()), threshold)
                 own, copies = np.array(list(info.values()), np.int64).T
                 if part.column("i")[0].as_py() != part.column("j")[0].as_py():
@@ -333,7 +345,7 @@ def keep_first_of_class(docs: DataFrame, **parameters) -> DataFrame:
 
     @F.pandas_udf("binary")
     def digest(text):
-        return text.map(lambda t: xxhash.xxh3_128_digest(" ".join(words_of(t))))
+        return text.map(lambda t: digest_of(words_of(t)))
 
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_whole"), docs["doc_id"].alias("_id"), digest(docs["text"]).alias("_key"))
     marked = rows.join(touched, "_key", "left")

@@ -105,6 +105,22 @@ def test_one_row_of_each_class_stays_under_shared_and_null_ids(spark):
     assert topics == [("k0", 3), ("k1", None), ("k2", None), ("k3", 5), ("k4", 5), ("k5", None), ("k6", 7)]
 
 
+def test_texts_under_one_id_meet_only_their_own_family_member(spark, monkeypatch):
+    rows = [(i, " ".join("swapped" if w == k else f"{i}{w}" for w in range(80)), "a") for i in (None, 5) for k in range(20 if i else 10)]
+    met, blocked = [], neardup.blocked
+
+    def counted(df, group, *rest):
+        if group == "root":
+            met.append(df.count())
+        return blocked(df, group, *rest)
+
+    monkeypatch.setattr(neardup, "blocked", counted)
+    for limit in (neardup.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(neardup, "BROADCAST_ROWS", limit)
+        assert joined(docs(spark, *rows)) == jaccard_by_force([r[:2] for r in rows])
+    assert met == [30, 30]
+
+
 def test_stop_depth_and_components(spark):
     d = neardup.stop_depth(0.8, 20, 6, 0.9999)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
