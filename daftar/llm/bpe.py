@@ -282,23 +282,34 @@ def batches(it: Iterable[pa.RecordBatch], size: int = 1024) -> Iterator[pa.Recor
             yield b.slice(i, size)
 
 
+#: Distinct chunks that a task counts before it hands the counts on (some 50 MB).
+CHUNKS_HELD = 300_000
+
+
 def frequent_words(docs: DataFrame, size: int, least: int = 8) -> list[str]:
-    """The words that occur most often over all texts, at most size. Tasks propose words that they meet `least` times."""
+    """The words that occur most often over all texts, at least `least` times in all, at most size. Tasks hand on every count, so the
+    words don't depend on how texts are dealt out."""
 
     def count(it):
         seen: Counter = Counter()
-        for b in batches(it):
+        for b in batches(it, 64):
             for t in b.column(0).to_pylist():
                 seen.update(t.split(" "))
+            if len(seen) >= CHUNKS_HELD:
+                yield words_in(seen)
+                seen = Counter()
+        yield words_in(seen)
+
+    def words_in(seen):
         words: Counter = Counter()
         for chunk, n in seen.items():
-            if n >= least and chunk:
+            if chunk:
                 for w in _WORD.findall(" " + chunk):
                     words[w] += n
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
     texts = docs.select(F.col("text")).where(F.length("text") > 0)
-    found = materialise(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    found = materialise(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     # a histogram of counts tells from which count on at most `size` words remain, so only those come to the driver
     step = F.floor(F.log2("n") * 8).cast("int")
     kept, least_step = 0, None

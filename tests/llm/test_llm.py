@@ -157,6 +157,14 @@ def test_transducer_and_merges():
         assert np.frombuffer(e.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_lexicon_counts_words_over_all_tasks(spark, monkeypatch):
+    for held in (bpe.CHUNKS_HELD, 1):
+        monkeypatch.setattr(bpe, "CHUNKS_HELD", held)
+        for tasks in (4, 1):
+            df = spark.range(0, 4, 1, tasks).selectExpr("repeat(concat('zebra q', char(97 + id), ' '), 7) AS text")
+            assert bpe.frequent_words(df, 10) == [" zebra"]
+
+
 # 3
 
 
