@@ -131,10 +131,13 @@ MONITORED = "SELECT CAST(ts AS TIMESTAMP) AS ts, CASE event_type WHEN 'error' TH
 def st4_score_rates(t):
     """ST4: daily rates; the windows are complete when the stream has come to its end."""
     path = _folder(t)
-    t.sql(MONITORED).coalesce(1).write.parquet(f"{path}/scores")
+    t.sql(MONITORED).write.parquet(f"{path}/scores")
     stream = J.score_rates(t.spark.readStream.schema(t.sql(MONITORED).schema).parquet(f"{path}/scores"))
-    name = f"rates_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name).withColumn("rate", F.round("rate", 6))
+
+    def write(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rates")
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{path}/rates").withColumn("rate", F.round("rate", 6))
 
 

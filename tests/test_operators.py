@@ -11,6 +11,7 @@ from daftar.operators import quality as Q
 from daftar.operators import retrieval as R
 from daftar.operators import structure as ST
 from daftar.plans import queries_quality as QQ
+from daftar.plans import queries_stores as QS
 from daftar.plans.base import Tables
 from daftar.sources import stores as S
 from daftar.streaming import jobs as J
@@ -139,3 +140,13 @@ def test_plans_push_filters_and_columns_to_the_scan(spark):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan and "text" not in plan
     context = ST.with_context(ST.classify(ST.normalised(spark.createDataFrame([("d", 1, 1, "x")], "doc_id string, page_number int, pos long, line string"))))
     assert context._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_monitored_rows_are_written_by_as_many_tasks_as_the_table_has_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(QS, "_folder", lambda t: f"file://{tmp_path}/st4")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(f"file://{tmp_path}/events.parquet")
+    rates = QS.st4_score_rates(Tables(spark, f"file://{tmp_path}"))
+    parts = lambda name: len(list((tmp_path / "st4" / name).glob("part-*.parquet")))
+    assert parts("scores") >= 3 and parts("rates") >= 1
+    assert rates.where("name <> 'close'").agg(F.sum("n")).first()[0] == events.count()
