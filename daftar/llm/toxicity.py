@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches
-from .shared import doc_columns, fold, hash_sample
+from .shared import doc_columns, fold, hash_sample, materialise
 
 # Letters of other alphabets that look like Latin ones, digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏԛԝαορτυνικɑɡ", "aeopcyxijsdhlqwaoptuvikag", strict=True))
@@ -104,11 +105,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, folds: int
     return doc_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int = 4_000, least: int = 4, share: float = 0.006, ratio: float = 40.0, shortest: int = 4, longest: int = 7) -> Lexicon:
+def log_chance(n: int, m: int, toxic: int, clean: int) -> float:
+    """Logarithm of the chance that of n + m texts drawn from all, n or more are toxic (hypergeometric tail)."""
+
+    def choose(a: int, b: int) -> float:
+        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+
+    logs = [choose(toxic, n + i) + choose(clean, m - i) for i in range(min(m, toxic - n) + 1)]
+    return logs[0] + math.log(sum(math.exp(x - logs[0]) for x in logs)) - choose(toxic + clean, n + m)
+
+
+def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int = 4_000, least: int = 4, level: float = 0.01, ratio: float = 40.0, shortest: int = 4, longest: int = 7) -> Lexicon:
     """Learn the lexicon from labelled rows outside fold 0 (at most of_each of either label).
 
-    An entry must lie in `least` toxic texts, and in the `share` of them, and be `ratio` times as frequent in toxic as in clean
-    ones (add-half), 100 times by plain counts. Of entries that begin alike the shorter one stays where it is as pure. Two-word
+    An entry must lie in `least` toxic texts and be `ratio` times as frequent in toxic as in clean ones (add-half), 100 times by
+    plain counts, and so unlikely by chance that of all entries taken a share of `level` is expected to be there by chance
+    (Benjamini and Hochberg over every beginning and word of the toxic texts). Of entries that begin alike the shorter one stays where it is as pure. Two-word
     phrases around an entry that five clean texts, and one in a thousand of them, and no toxic one hold excuse it. The
     logistic's inputs are the weight over the root of the words, and the weight's logarithm.
     """
@@ -118,15 +130,18 @@ def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int =
     if not toxic or not clean:
         sample.unpersist()
         return Lexicon({})
-    least = max(least, int(np.ceil(share * toxic)))
-    bad = _counts(sample.where("toxic = 1"), lambda w: _features(w, shortest, longest)).where(F.col("n") >= least)
-    found = {r["f"]: r["n"] for r in bad.orderBy(F.desc("n"), "f").limit(50 * size).collect()}
-    names = sample.sparkSession.sparkContext.broadcast(frozenset(found))
-    good = _counts(sample.where("toxic = 0"), lambda w: _features(w, shortest, longest) & names.value)
-    held = {r["f"]: r["n"] for r in good.collect()}  # at most the features found above
-    odds = {f: (n + 0.5) / (toxic + 1) * (clean + 1) / (held.get(f, 0) + 0.5) for f, n in found.items()}
-    rare = lambda f: found[f] > 100 * held.get(f, 0) * toxic / clean
-    pure = {f: x for f, x in odds.items() if x >= ratio and rare(f)}
+    features = lambda w: _features(w, shortest, longest)
+    bad = materialise(_counts(sample.where("toxic = 1"), features))
+    good = _counts(sample.where("toxic = 0"), features).withColumnRenamed("n", "m")
+    n, m = F.col("n"), F.coalesce("m", F.lit(0))
+    odds = (n + 0.5) / (toxic + 1) * (clean + 1) / (m + 0.5)
+    purest = bad.where(n >= least).join(good, "f", "left").where((odds >= ratio) & (n > 100 * m * toxic / clean)).select("f", "n", m.alias("m"), odds.alias("odds"))
+    rows = {r["f"]: r for r in purest.orderBy(F.desc("n"), "f").limit(50 * size).collect()}
+    found, held = ({f: r[c] for f, r in rows.items()} for c in ("n", "m"))
+    chance = sorted((log_chance(r["n"], r["m"], toxic, clean), f) for f, r in rows.items())
+    tests = bad.count()
+    last = max((k for k, (p, _) in enumerate(chance, 1) if p <= math.log(level * k / tests)), default=0)
+    pure = {f: rows[f]["odds"] for _, f in chance[:last]}
     # a beginning gives way to a longer one that has nearly all its toxic texts and fewer clean ones
     purer = {f[:k] for f in pure for k in range(shortest + 1, len(f)) if f[:k] in pure and found[f] >= 0.9 * found[f[:k]] and held.get(f, 0) < held.get(f[:k], 0)}
     kept: dict[str, float] = {}
