@@ -186,20 +186,6 @@ def test_toxicity_folding_and_exceptions():
     assert toxicity.measures("the clown", a)[:2] == (9.0, 1)
 
 
-def test_toxicity_learns_rare_but_pure_entries(spark):
-    ids = [i for i in range(15_000) if zlib.crc32(str(i).encode()) % 5]
-    rows = [(i, f"talk{i % 97} of the town{i % 89}" + " nasty" * (k % 4 == 0) + " zlurb" * (k % 2 == 0 and k < 50)) for k, i in enumerate(ids)]
-    marks = [(i, int(k % 2 == 0)) for k, i in enumerate(ids)]
-    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
-    assert sorted(lexicon.weights) == [" nast", " zlur"]
-
-
-def test_chance_by_force():
-    for n, m, toxic, clean in ((4, 0, 9, 30), (5, 3, 9, 30), (9, 2, 9, 4)):
-        wanted = sum(math.comb(toxic, x) * math.comb(clean, n + m - x) for x in range(n, min(toxic, n + m) + 1)) / math.comb(toxic + clean, n + m)
-        assert toxicity.log_chance(n, m, toxic, clean) == pytest.approx(math.log(wanted))
-
-
 def test_toxicity_on_awkward_rows(spark, awkward, empty, labels):
     assert toxicity.score_documents(awkward, labels).count() == awkward.count()
     assert toxicity.score_documents(empty, labels).count() == 0
