@@ -5,6 +5,7 @@ import hashlib
 import html as entities
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -222,6 +223,45 @@ def test_html_elements_and_differencing(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_comments_teasers_and_headings():
+    text = lambda page: " ".join(html._main(html.lines_of(page), set()))
+    assert text("<article><header><h1>Title</h1></header><p>Body</p><article class='reader comment'><p>me too</p></article></article>") == "Title Body"
+    assert text("<article class='comment'>first!</article><article>The text</article>") == "The text"
+    assert text("<article>Teaser</article><div class=content><p>The real text is longer</p></div>") == "The real text is longer"
+    assert text("<article><div class=related-work>A</div><div class='search'>B</div><div class='related-posts'>C</div><div class='ad'>D</div></article>") == "A B"
+    assert text("<header>Site</header><main><p>a < b &amp; c<br>d</p><form>f</form></main><div class=search>s</div>") == "a < b & c d"
+    assert text("<main>x <a title='1 > 0'>y</a> <!-- <p>no</p> --> z</main><![CDATA[ q ]]>") == "x y z"
+
+
+@pytest.mark.parametrize("piece", ['<a "', '<a x="', "<p ", "<", "<!-- ", "<nav><p>", "</p", '<a x=">', "<script ", "<div class='", "&amp", "<div class=ad><div>x</p>"])
+def test_html_time_grows_with_length(piece):
+    page = "<p>start</p>" + piece * (2_000_000 // len(piece))
+    began = time.time()
+    assert html.lines_of(page)[0] == ("start", html.OPEN)
+    assert time.time() - began < 20
+
+
+def test_html_long_unclosed_quotes_and_many_lines():
+    began = time.time()
+    html.lines_of('<a "' * 1_250_000)
+    assert time.time() - began < 5
+    rng = np.random.default_rng(0)
+    a = rng.permutation(50_000)
+    began = time.time()
+    assert html.shared_lines(a, np.roll(a, 7)).sum() == 49_993
+    html.shared_lines(np.concatenate([[-1], np.zeros(20_000, int), [-2]]), np.concatenate([[-3], np.zeros(25_000, int)]))
+    assert time.time() - began < 30
+
+
+def test_differencing_acts_on_pages_with_articles(spark):
+    page = "<div>Home of news</div><p>All you need</p><nav>m{0}</nav><article><p>Own words of page {0}</p><p>quoted</p></article><div>All rights reserved</div>"
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", page.format(i)) for i in range(9)] * 2, "page_id long, url string, html string")
+    rows = html.extract(pages).collect()
+    assert len(rows) == 18 and {r.lines_shared for r in rows} >= {3} and all(r.text == f"Own words of page {r.page_id} quoted" for r in rows)
+    given = html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert given.where("lines_shared > 0").count() > 0
+
+
 def test_longest_common_subsequence():
     def force(a, b):
         if not a or not b:
@@ -229,9 +269,20 @@ def test_longest_common_subsequence():
         return force(a[1:], b[1:]) + 1 if a[0] == b[0] else max(force(a[1:], b), force(a, b[1:]))
 
     rng = np.random.default_rng(0)
-    for _ in range(100):
-        a, b = rng.integers(0, 4, rng.integers(0, 8)), rng.integers(0, 4, rng.integers(0, 8))
-        assert html.shared_lines(a, b).sum() == force(a.tolist(), b.tolist())
+    for _ in range(300):
+        a, b = rng.integers(0, 4, rng.integers(0, 9)), rng.integers(0, 4, rng.integers(0, 9))
+        hit = html.shared_lines(a, b)
+        rest = iter(b.tolist())
+        assert hit.sum() == force(a.tolist(), b.tolist()) and all(v in rest for v in a[hit].tolist())
+    for n in (200, 500):  # over several kept rows
+        a, b = rng.integers(0, 9, n), rng.integers(0, 9, n)
+        table = np.zeros((n + 1, n + 1), int)
+        for i in range(n):
+            for j in range(n):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        hit = html.shared_lines(a, b)
+        rest = iter(b.tolist())
+        assert hit.sum() == table[n, n] and all(v in rest for v in a[hit].tolist())
 
 
 # 5
