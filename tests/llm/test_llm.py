@@ -338,6 +338,45 @@ def test_url_rules(spark, duck):
     urls.check_rules()
 
 
+def test_many_url_rules_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(60)]
+    word = lambda: names[min(59, int(rng.geometric(0.08)))]
+    hosts = {(f"{word()}.{word()}" if rng.random() < 0.5 else word(), "/" + "/".join(word() for _ in range(rng.integers(0, 3)))[: rng.integers(0, 7)]): str(rng.choice(["allow", "block"])) for _ in range(3_000)}
+    host_rules = [urls.HostRule(h, p, v) for (h, p), v in hosts.items()]
+    patterns = [urls.PatternRule(f"p{i:04}", (a, b), rf"(^|[^a-z0-9]){a}[^a-z0-9](.*[^a-z0-9])?{b}([^a-z0-9]|$)") for i, (a, b) in enumerate(zip([word() for _ in range(400)], [word() for _ in range(400)], strict=True))]
+    given = [f"http://{word()}.{word()}.{word()}/{word()}/{word()}?{word()}" for _ in range(300)] + ["http://w1." + "v." * 5_000 + "w3/" + "v/" * 50_000, "HTTP://W1.W2/w1"]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, r.pattern) for r in urls.judge(pages, host_rules, patterns).collect()}
+    for i, url in enumerate(given):
+        host, path = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url).groups()
+        host = host.lower()
+        fits = [(len(r.host + r.path), len(r.host), r.verdict, r.host + r.path) for r in host_rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, default=(0, 0, None, None))
+        pattern = min((r.name for r in patterns if re.search(r.pattern, url.lower())), default=None)
+        assert got[i] == (best[3], best[2] or ("block" if pattern else "allow"), pattern)
+    assert any(v[2] for v in got.values()) and any(v[0] for v in got.values())
+    with pytest.raises(ValueError):
+        urls.judge(pages, host_rules, [urls.PatternRule("x", (), "x")])
+
+
+def test_time_of_url_rules_does_not_follow_their_number(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    times = {}
+    for n in (10, 10, 100_000):
+        host_rules = spark.range(n).selectExpr("concat('h', id % 5000, '.example.net') AS host", "concat('/d', id div 5000, '/') AS path", "'block' AS verdict")
+        patterns = spark.range(n).selectExpr("concat('p', id) AS name", "array(concat('bad', id), 'com') AS tokens", "concat('[./-]bad', id, '[./-]') AS pattern")
+        began = time.time()
+        assert urls.judge(pages, host_rules, patterns).where("rule is null and pattern is null").count() == pages.count()
+        times[n] = time.time() - began
+    print(times)
+    assert times[100_000] < 2 * times[10] + 5
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 0), monkeypatch.setattr(urls, "BROADCAST_URLS", 0)
+    assert sorted(urls.judge(pages).collect()) == sorted(urls.judge(pages).collect())
+    plan = urls.judge(pages)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 # 7
 
 
