@@ -2,7 +2,8 @@
 
 A vector is the sum of one word from each of several codebooks of full dimension. Books are fitted to the residuals of a bounded
 sample; codes come by beam search; the norm of the sum is stored. A query meets codes through a table of its products with all
-words: the sum of the looked-up products over the stored norm approximates the cosine. The best by that are scored exactly.
+words: the sum of the looked-up products over the stored norm approximates the cosine. The best by that, one list for each query
+over all rows, are scored exactly. Only codes and norms meet all queries; vectors move to the queries whose lists they are in.
 """
 
 from __future__ import annotations
@@ -51,88 +52,108 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v of the rows that take part: neither null nor zero nor with null or non-finite components."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id, v of the rows that take part: neither null nor zero nor with null or non-finite components, of the dimension that most
+    of those have (of two as common, the larger); of several vectors of one vec_id the least."""
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(ok)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where("vec_id is not null and v is not null").where(ok)
+    dimension = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    rows = rows.where(F.size("v") == (dimension["d"] if dimension else 0))
+    if rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as unit rows in double precision."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(len(column), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, books: int = 12, words: int = 256, beam: int = 8, rerank: int = 320, fit_rows: int = 8_192, block_rows: int = 8_192, query_rows: int = 4_096) -> DataFrame:
+def search(
+    vectors: DataFrame, every: int = 50, k: int = 5, books: int = 12, words: int = 256, beam: int = 8, rerank: int = 64, fit_rows: int = 8_192, block_rows: int = 131_072, query_rows: int = 4_096
+) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose vec_id is divisible by `every`, the k rows of largest cosine but itself.
 
-    vectors: vec_id, embedding (one dimension for all). The books are fitted to at most fit_rows rows chosen by a hash; every
-    row is encoded. Queries and rows are dealt into blocks of query_rows and block_rows on average, and each pair of blocks is one
-    task's work: it finds rerank rows for each query by lookup tables, scores those exactly in double precision, and passes on k. Equal
-    vectors of a block count once for the lookup and stand for their k + 1 smallest ids, the most that can be in a result; ties
-    go to the smaller vec_id. Fewer than k candidates give fewer rows; rows that take no part, as queries too, give none;
-    repeated rows of one vec_id count once.
+    vectors: vec_id, embedding. The books are fitted to at most fit_rows rows chosen by a hash; every row is encoded. Equal vectors
+    are one entry of the index, that of their smallest id, and stand for their k + 1 smallest ids, the most that can be in a
+    result; queries with equal vectors are one search. Searches and entries are dealt into blocks of query_rows and block_rows on
+    average (smaller where the table is small); a pair of blocks is one task's work and finds `rerank` entries for each search by
+    lookup tables. The `rerank` best of all blocks are scored exactly in double precision; ties go to the smaller vec_id. Fewer
+    than k candidates give fewer rows; rows that take no part (see `usable`), as queries too, give none.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).dropDuplicates(["vec_id"])
+    rows = usable(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
-    sample = hash_sample(usable(vectors), fit_rows, "vec_id").toPandas()
+    sample = hash_sample(rows, fit_rows, "vec_id").toPandas()
     if not len(sample):
         return spark.createDataFrame([], schema)
-    fitted = np.stack(sample["v"].to_numpy())
+    fitted = np.stack(sample["v"].to_numpy()).astype(np.float64)
     fitted = (fitted / np.linalg.norm(fitted, axis=1, keepdims=True)).astype(np.float32)
-    dimension = fitted.shape[1]
     shared = spark.sparkContext.broadcast(fit_codebooks(fitted, books, words))
 
     def index(it):
         for b in it:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-                unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-                codes, norms = encode(unit, shared.value, beam)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "v", "code", "norm"])
-
-    indexed = materialise(rows.mapInArrow(index, "vec_id long, v array<double>, code binary, norm float"))
-    n = indexed.count()
-    queries = indexed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
-    n_blocks, n_query_blocks = max(1, -(-n // block_rows)), max(1, -(-n // every // query_rows))
-    deal = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m)).cast("int")
-    left = indexed.withColumn("block", deal("vec_id", n_blocks, 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    right = queries.withColumn("part", deal("query_id", n_query_blocks, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+                codes, norms = encode(_matrix(part.column(3)).astype(np.float32), shared.value, beam)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "h", "g", "code", "norm"])
+
+    # two 64-bit hashes name a vector, so that equal ones meet without moving
+    named = rows.select("vec_id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit("second"), "v").alias("g"), "v")
+    encoded = materialise(named.mapInArrow(index, "vec_id long, h long, g long, code binary, norm float"))
+    entries = materialise(encoded.groupBy("h", "g").agg(F.min(F.struct("vec_id", "code", "norm")).alias("e")).select("h", "g", F.col("e.vec_id").alias("entry"), "e.code", "e.norm"))
+    place = F.row_number().over(W.partitionBy("h", "g").orderBy("vec_id"))
+    least = encoded.select("h", "g", "vec_id").withColumn("i", place).where(F.col("i") <= k + 1).groupBy("h", "g").agg(F.collect_list("vec_id").alias("ids"), F.min("vec_id").alias("entry"))
+    queries = materialise(encoded.where(F.col("vec_id") % every == 0).select("h", "g", F.col("vec_id").alias("query_id")).join(entries.select("h", "g", "entry"), ["h", "g"]).select("query_id", F.col("entry").alias("ask")))
+    asks = materialise(queries.select("ask").distinct().join(rows, F.col("ask") == F.col("vec_id")).select("ask", "v"))
+
+    n, n_asks = entries.count(), asks.count()
+    n_blocks = max(1, -(-n // block_rows), min(spark.sparkContext.defaultParallelism, -(-n // 4_096)))
+    n_parts = max(1, -(-n_asks // query_rows))
+    deal = lambda c, m: F.pmod(F.xxhash64(c, F.lit(c)), F.lit(m)).cast("int")
+    left = entries.select("entry", "code", "norm").withColumn("block", deal("entry", n_blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    right = asks.withColumn("part", deal("ask", n_parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        kinds = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
-        if not rows.num_rows or not asked.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in kinds})
-        rows = rows.sort_by("vec_id")
-        ids, v = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dimension)
-        _, first, at = np.unique(v.view(f"V{8 * dimension}").reshape(-1), return_index=True, return_inverse=True)
-        members = np.split(np.argsort(at, kind="stable"), np.cumsum(np.bincount(at))[:-1])
-        unique = v[first]
-        unit = unique / np.linalg.norm(unique, axis=1, keepdims=True)
-        codes = np.frombuffer(b"".join(rows.column("code").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(first), -1)
-        norms = rows.column("norm").to_numpy()[first]
-        q_ids, q = asked.column("query_id").to_numpy(), _matrix(asked.column("v"), dimension)
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        out: list[list] = [[], [], []]
-        for start in range(0, len(q), 256):
-            part = q[start : start + 256]
-            tables = np.einsum("mwd,qd->mwq", shared.value, part.astype(np.float32))
-            near = np.zeros((len(unique), len(part)), np.float32)
-            for m, t in enumerate(tables):
-                near += t[codes[:, m]]
-            near /= np.maximum(norms, 1e-6)[:, None]
-            take = min(rerank, len(unique))
-            best = np.argpartition(-near, take - 1, axis=0)[:take]
-            for i, q_id in enumerate(q_ids[start : start + 256].tolist()):
-                found = best[:, i]
-                # summed in one order for every pair, so that equal vectors have equal scores wherever they lie
-                score = np.array([np.dot(u, part[i]) for u in unit[found]])
-                cut = np.sort(score)[-min(k + 1, len(score))]
-                pairs = sorted((-s, int(ids[j])) for s, u in zip(score.tolist(), found.tolist(), strict=True) if s >= cut for j in members[u][: k + 1] if ids[j] != q_id)
-                for s, j in pairs[:k]:
-                    out[0].append(q_id), out[1].append(j), out[2].append(-s)
-        return pa.table({c: pa.array(x, t) for (c, t), x in zip(kinds, out, strict=True)})
-
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]]
+        if rows.num_rows and asked.num_rows:
+            ids, norms = rows.column("entry").to_numpy(), np.maximum(rows.column("norm").to_numpy(), 1e-6)
+            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            q_ids, q = asked.column("ask").to_numpy(), _matrix(asked.column("v")).astype(np.float32)
+            take = min(rerank, len(ids))
+            for start in range(0, len(q), 128):
+                part = q[start : start + 128]
+                tables = np.einsum("mwd,qd->mwq", shared.value, part)
+                near = np.zeros((len(ids), len(part)), np.float32)
+                for m, t in enumerate(tables):
+                    near += t[codes[:, m]]
+                near /= norms[:, None]
+                best = np.argpartition(-near, take - 1, axis=0)[:take]
+                found[0].append(np.repeat(q_ids[start : start + 128], take))
+                found[1].append(ids[best.T.reshape(-1)])
+                found[2].append(np.take_along_axis(near, best, 0).T.reshape(-1))
+        return pa.table({c: np.concatenate(x) for c, x in zip(("ask", "entry", "near"), found, strict=True)})
+
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, "ask long, entry long, near float")
+    by_near = W.partitionBy("ask").orderBy(F.desc("near"), "entry")
+    listed = met.withColumn("i", F.row_number().over(by_near)).where(F.col("i") <= rerank).select("ask", "entry")
+    listed = listed.where("ask <> entry").unionByName(asks.select("ask", F.col("ask").alias("entry")))  # its own copies always
+
+    def exact(it):
+        for b in it:
+            if b.num_rows:
+                score = (_matrix(b.column(2)) * _matrix(b.column(3))).sum(1)  # summed in one order for every pair
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["ask", "entry", "score"])
+
+    finalists = listed.join(rows.withColumnRenamed("vec_id", "entry"), "entry").join(asks.withColumnRenamed("v", "w"), "ask").select("ask", "entry", "v", "w")
+    scored = finalists.mapInArrow(exact, "ask long, entry long, score double")
+    by_score = W.partitionBy("ask").orderBy(F.desc("score"), "entry")
+    best = scored.withColumn("i", F.row_number().over(by_score)).where(F.col("i") <= k + 1)
+    ids = best.join(least.select("entry", "ids"), "entry").select("ask", "score", F.explode("ids").alias("vec_id"))
+    by_id = W.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+    ids = ids.withColumn("i", F.row_number().over(by_id)).where(F.col("i") <= k + 1)
+    answers = ids.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("i", "vec_id", "score"))).alias("found"))  # k + 1 a search
+    own = queries.join(answers, "ask").select("query_id", F.slice(F.expr("filter(found, x -> x.vec_id <> query_id)"), 1, k).alias("found"))
+    return own.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
