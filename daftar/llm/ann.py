@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .shared import hash_sample, materialise
 
 
-def fit_codebooks(sample: np.ndarray, books: int, words: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
+def fit_codebooks(sample: np.ndarray, books: int, words: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """Codebooks (books, words, dimension): k-means on what the books before leave of the sample."""
     rng, residual, out = np.random.default_rng(seed), sample.astype(np.float32).copy(), []
     for _ in range(books):
@@ -72,7 +72,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, every: int = 50, k: int = 5, books: int = 12, words: int = 256, beam: int = 8, rerank: int = 64, fit_rows: int = 8_192, block_rows: int = 131_072, query_rows: int = 4_096
+    vectors: DataFrame, every: int = 50, k: int = 5, books: int = 24, words: int = 256, beam: int = 4, rerank: int = 128, fit_rows: int = 8_192, block_rows: int = 131_072, query_rows: int = 4_096
 ) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose vec_id is divisible by `every`, the k rows of largest cosine but itself.
 

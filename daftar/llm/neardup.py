@@ -1,9 +1,11 @@
 """Operator 1: n-gram Jaccard join by a MinHash LSH forest and exact verification.
 
-A text's signature holds, for each of `trees` trees, a path of `depth` minima. Two texts meet in a tree where their paths share
-a prefix; the prefix asked for is shortened from the whole path until pairs at the threshold meet in some tree with the target
-recall. Texts that meet there (a node of the prefix trie) are compared by their whole signatures, in trie order, and those near
-the threshold are chained into families. A family's shingle sets then come together once, and every pair in it is verified.
+A text's signature holds, for each of `trees` trees, a path of `depth` minima. Each tree's paths are sorted into a prefix trie. A text
+meets the others of a trie node at the shortest prefix whose node is small; where many texts share a prefix it stays long, up to the
+whole path, or the tree is passed over. If the prefixes that a text has been given so do not promise the target recall for a pair at the
+threshold, its prefixes are shortened further, into large nodes too, until they do. Texts that meet are compared by their whole
+signatures, in trie order, and those near the threshold are chained into families. A family's shingle sets then come together once,
+and every pair in it is verified.
 """
 
 from __future__ import annotations
@@ -13,16 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches
 from .components import components
 from .shared import doc_columns, materialise
 
-#: Members of a family whose texts one task holds; of a trie node whose signatures one task holds. Larger ones are cut into
-#: blocks, and each pair of blocks is a piece of work.
-FAMILY_BLOCK, NODE_BLOCK = 2_048, 16_384
+#: Members of a family, and bytes of their texts, of which one task holds two blocks; members of a trie node whose signatures one task
+#: holds. Larger ones are cut into blocks, and each pair of blocks is a piece of work.
+FAMILY_BLOCK, FAMILY_BYTES, NODE_BLOCK = 1_024, 32 << 20, 16_384
+#: Texts of a trie node up to which it is small.
+SMALL_NODE = 64
 #: Family members up to which they are broadcast (under 80 bytes each, so 20 MB); beyond it texts and families meet by a shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -77,7 +81,8 @@ def stop_depth(threshold: float, trees: int, depth: int, target: float) -> int:
 
 
 def signatures(docs: DataFrame, n: int, size: int) -> DataFrame:
-    """doc_id, key (128-bit digest of the words), sig (size minima of 32 bits; null without words) of every row."""
+    """doc_id, key (128-bit digest of the words), n_bytes (of the text), sig (size minima of 32 bits; null without words) of every
+    row."""
     rng = np.random.default_rng(11)
     factors = rng.integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,11 +97,12 @@ def signatures(docs: DataFrame, n: int, size: int) -> DataFrame:
     def run(it):
         shingles = Shingles(n)
         for b in batches(it, 256):
-            keys, sets, sigs = [], [], [None] * b.num_rows
+            keys, sets, sigs, n_bytes = [], [], [None] * b.num_rows, []
             for text in b.column(1).to_pylist():
                 words = words_of(text)
                 keys.append(digest_of(words))
                 sets.append(shingles(words))
+                n_bytes.append(len(text.encode("utf-8", "replace")) if text else 0)
             at, held, n_held = [], [], 0
             for i, s in enumerate([*sets, None]):
                 if held and (s is None or n_held >= 32_768):
@@ -106,9 +112,9 @@ def signatures(docs: DataFrame, n: int, size: int) -> DataFrame:
                 if s is not None and len(s):
                     at.append(i), held.append(s)
                     n_held += len(s)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_bytes", "sig"])
 
-    return doc_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, key binary, sig binary")
+    return doc_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, key binary, n_bytes long, sig binary")
 
 
 def _runs(it, key_columns: list[str]) -> Iterator[pa.Table]:
@@ -148,22 +154,21 @@ def _runs(it, key_columns: list[str]) -> Iterator[pa.Table]:
         yield made(held)
 
 
-def blocked(rows: DataFrame, group: str, size: str, block: int, by: str) -> DataFrame:
-    """Columns own, i and j: a group of at most `block` rows is one piece (0, 0); a larger one is cut into blocks, and each row goes to
-    every pair of blocks that holds its own. A piece with i < j compares only across its two blocks."""
-    m = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64(by), m.cast("long")).cast("int")
-    rows = rows.withColumn("_m", m).withColumn("own", own)
+def blocked(rows: DataFrame, group: str, blocks: Column, by: str) -> DataFrame:
+    """Columns own, i and j: a group of one block is one piece (0, 0); a larger one is cut into `blocks`, and each row goes to every
+    pair of blocks that holds its own. A piece with i < j compares only across its two blocks."""
+    own = F.pmod(F.xxhash64(by), F.col("_m").cast("long")).cast("int")
+    rows = rows.withColumn("_m", blocks.cast("int")).withColumn("own", own)
     rows = rows.withColumn("_j", F.explode(F.expr("CASE WHEN _m = 1 THEN array(0) ELSE sequence(0, _m - 1) END")))
     return rows.withColumn("i", F.least("own", "_j")).withColumn("j", F.greatest("own", "_j")).drop("_m", "_j")
 
 
-def _chain(sig: np.ndarray, own: np.ndarray, across: bool, cut: int) -> list[tuple[int, int]]:
-    """Spanning edges of the graph of rows whose signatures agree in at least `cut` places: breadth first, each visited row compared
-    with the rows not reached yet, so tight groups cost little more than their size."""
-    left, edges = np.arange(len(sig)), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
+def _chain(sig: np.ndarray, own: np.ndarray, across: bool, cut: int, asks: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning edges of those components of the graph of rows whose signatures agree in at least `cut` places that hold an asking row:
+    breadth first, each visited row compared with the rows not reached yet, so tight groups cost little more than their size."""
+    left, seeds, edges = np.arange(len(sig)), np.flatnonzero(asks), []
+    while len(seeds):
+        queue, left = [seeds[0]], left[left != seeds[0]]
         while queue and len(left):
             at = queue.pop()
             hit = (sig[left] == sig[at]).sum(1) >= cut
@@ -173,38 +178,126 @@ def _chain(sig: np.ndarray, own: np.ndarray, across: bool, cut: int) -> list[tup
             edges += [(at, x) for x in found]
             queue += found.tolist()
             left = left[~hit]
+        seeds = left[asks[left]]
     return edges
 
 
-def candidate_edges(nodes: DataFrame, trees: int, depth: int, stop: int, near: float) -> DataFrame:
-    """a, b: edges that chain texts which share a trie node of `stop` minima and agree in `near` of their signatures."""
-    size = trees * depth
+def _mixed(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + more.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def paths(nodes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """base, rest, node: of each text and tree the hash of the first `least` minima of its path, and the other ones as bytes that sort
+    as they do."""
 
-    def prefixes(it):
+    def run(it):
         for b in it:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, trees, depth)
-            keys = np.empty((len(sig), trees), np.int64)
-            for t in range(trees):
-                x = np.full(len(sig), t + 1, np.uint64)
-                with np.errstate(over="ignore"):
-                    for k in range(stop):
-                        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + sig[:, t, k]
-                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                keys[:, t] = (x ^ (x >> np.uint64(31))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), trees)), pa.array(keys.reshape(-1))], ["node", "at"])
-
-    places = materialise(nodes.select("node", "sig").mapInArrow(prefixes, "node long, at long"))
-    shared = places.groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
-    met = places.join(shared, "at").join(nodes.select("node", "sig"), "node")
-    pieces = blocked(met, "at", "n", NODE_BLOCK, "node").select("at", "i", "j", "own", "node", "sig")
+            base = np.tile(np.arange(1, trees + 1, dtype=np.uint64), (len(sig), 1))
+            for k in range(least):
+                base = _mixed(base, sig[:, :, k])
+            rest = np.ascontiguousarray(sig[:, :, least:]).astype(">u4").tobytes()
+            width = 4 * (depth - least)
+            rests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(sig) * trees, [None, pa.py_buffer(rest)]).cast(pa.binary()) if width else pa.array([b""] * (len(sig) * trees), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(base.reshape(-1).view(np.int64)), rests, pa.array(np.repeat(b.column(0).to_numpy(), trees))], ["base", "rest", "node"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "base long, rest binary, node long")
+
+
+def descend(sorted_paths: Iterator[pa.RecordBatch], depth: int, least: int, stop: int, small: int) -> Iterator[pa.RecordBatch]:
+    """node, taken, at, wide of each path of a sorted stream that shares its first `least` minima with another one.
+
+    taken: the shortest prefix whose node has at most `small` paths (0: not even the whole path has), and `at` that node's key, if
+    it has more than one; wide: the key of the node at prefix `stop`, if that is a large one. Nodes are only counted up to `small`,
+    so of a node of any size little more than that is held.
+    """
+    levels = depth - least + 1
+    keys = [np.empty((levels, 0), np.uint64)]
+    nodes, past = [np.empty(0, np.int64)], [0] * levels
+
+    def step(final: bool):
+        key, node = np.concatenate(keys, axis=1), np.concatenate(nodes)
+        n = key.shape[1]
+        size, end = np.empty((levels, n), np.int64), n if final else max(n - 1, 0)
+        last, open_ = [], True
+        for k in range(levels):
+            starts = np.flatnonzero(np.concatenate([[True], key[k, 1:] != key[k, :-1]])) if n else np.empty(0, np.int64)
+            lengths = np.diff(np.append(starts, n))
+            lengths[:1] += past[k]
+            size[k] = np.repeat(lengths, np.diff(np.append(starts, n)))
+            last.append(int(starts[-1]) if n else 0)
+            if not final and open_ and n and lengths[-1] <= small:  # the last node may still grow
+                end, open_ = min(end, last[k]), False
+        for k in range(levels):
+            past[k] = (past[k] if last[k] == 0 else 0) + max(0, end - last[k])
+        keys[:], nodes[:] = [key[:, end:]], [node[end:]]
+        key, node, size = key[:, :end], node[:end], size[:, :end]
+        use = size[0] > 1 if end else np.empty(0, bool)
+        key, node, size = key[:, use], node[use], size[:, use]
+        fits = size <= small
+        level, any_ = fits.argmax(0), fits.any(0)
+        column = np.arange(len(node))
+        at, alone = key[level, column], size[level, column] == 1
+        taken = np.where(any_, level + least, 0).astype(np.int32)
+        large = size[stop - least] > small
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node), pa.array(taken), pa.array(at.view(np.int64), mask=alone | ~any_), pa.array(key[stop - least].view(np.int64), mask=~large)], ["node", "taken", "at", "wide"]
+        )
+
+    for b in sorted_paths:
+        if b.num_rows:
+            rest = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(b.num_rows, levels - 1)
+            now = [np.ascontiguousarray(b.column(0).to_numpy()).view(np.uint64)]
+            for k in range(levels - 1):
+                now.append(_mixed(now[-1], rest[:, k] + np.uint64(1)))
+            keys.append(np.stack(now)), nodes.append(b.column(2).to_numpy())
+            out = step(False)
+            if out.num_rows:
+                yield out
+    out = step(True)
+    if out.num_rows:
+        yield out
+
+
+def meetings(nodes: DataFrame, threshold: float, trees: int, depth: int, stop: int, recall: float) -> DataFrame:
+    """at, node, asks: which texts (node, sig) meet in which trie nodes. Of a large node's texts only those ask whose small nodes do not
+    promise the recall; it is left out if none does."""
+    least = max(1, stop - 1)
+
+    def run(it):
+        yield from descend(it, depth, least, stop, SMALL_NODE)
+
+    sorted_paths = paths(nodes, trees, depth, least).repartition("base").sortWithinPartitions("base", "rest")
+    places = materialise(sorted_paths.mapInArrow(run, "node long, taken int, at long, wide long"))
+    # a text alone in a tree's prefix of `least` minima has that prefix, and no row here
+    missed = lambda d: F.log(1 - F.pow(F.lit(threshold), d))
+    changed = F.when(F.col("taken") > 0, missed(F.col("taken"))).otherwise(0.0) - missed(F.lit(least))
+    short = places.groupBy("node").agg((F.sum(changed) + trees * missed(F.lit(least))).alias("log")).where(F.col("log") > float(np.log(1 - recall) + 1e-9))
+    asking = materialise(short.select("node", F.lit(True).alias("asks")))
+    wide = places.where("wide is not null").select(F.col("wide").alias("at"), "node").join(asking, "node", "left")
+    open_ = wide.where("asks").select("at").distinct()
+    large = wide.join(open_, "at", "left_semi").select("at", "node", F.coalesce("asks", F.lit(False)).alias("asks"))
+    return places.where("at is not null").select("at", "node", F.lit(True).alias("asks")).unionByName(large)
+
+
+def candidate_edges(nodes: DataFrame, threshold: float, trees: int, depth: int, stop: int, recall: float, near: float) -> DataFrame:
+    """a, b: edges that chain texts which meet in a trie node and agree in `near` of their signatures."""
+    size = trees * depth
+    met = materialise(meetings(nodes, threshold, trees, depth, stop, recall))
+    shared = met.groupBy("at").agg(F.count("*").alias("n"))
+    rows = met.join(shared, "at").join(nodes.select("node", "sig"), "node")
+    pieces = blocked(rows, "at", F.ceil(F.col("n") / NODE_BLOCK), "node").select("at", "i", "j", "own", "node", "asks", "sig")
     least = int(np.ceil(near * size))
 
     def run(it):
         for t in _runs(it, ["at", "i", "j"]):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, size)
             node, own, group = (t.column(c).to_numpy() for c in ("node", "own", "run"))
+            asks = t.column("asks").to_numpy()
             across = t.column("i").to_numpy() != t.column("j").to_numpy()
             starts = np.flatnonzero(np.diff(group, prepend=-1))
             sizes = np.diff(np.append(starts, len(group)))
@@ -218,7 +311,7 @@ def candidate_edges(nodes: DataFrame, trees: int, depth: int, stop: int, near: f
                     hit = ((sig[a] == sig[b]).sum(1) >= least) & (~across[a] | (own[a] != own[b]))
                     edges += zip(a[hit].tolist(), b[hit].tolist(), strict=True)
             for s, n in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-                edges += [(s + x, s + y) for x, y in _chain(sig[s : s + n], own[s : s + n], bool(across[s]), least)]
+                edges += [(s + x, s + y) for x, y in _chain(sig[s : s + n], own[s : s + n], bool(across[s]), least, asks[s : s + n])]
             if edges:
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["a", "b"])
@@ -270,20 +363,20 @@ def _classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 2
     class_key, the key of its class's first row by (doc_id is null, doc_id, key)."""
     size, stop = trees * depth, stop_depth(threshold, trees, depth, recall)
     rows = materialise(signatures(docs, n, size))
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first_copy"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first_copy"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("sig").alias("sig"))
     nodes = materialise(firsts.withColumn("node", F.monotonically_increasing_id()))
-    edges = candidate_edges(nodes.where("sig is not null"), trees, depth, stop, threshold - margin)
-    families = materialise(components(edges).join(nodes.select("node", "key", "first_copy", "copies"), "node"))
-    sizes = families.groupBy("root").agg(F.count("*").alias("n"))
-    members = families.join(sizes, "root").select("root", "n", "node", "key", "first_copy", "copies")
+    edges = candidate_edges(nodes.where("sig is not null"), threshold, trees, depth, stop, recall, threshold - margin)
+    families = materialise(components(edges).join(nodes.select("node", "key", "first_copy", "copies", "n_bytes"), "node"))
+    blocks = F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n_bytes") / FAMILY_BYTES, F.lit(1)))
+    members = families.join(families.groupBy("root").agg(blocks.alias("blocks")), "root").select("root", "blocks", "node", "key", "first_copy", "copies")
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"])
     if families.count() <= BROADCAST_ROWS:
         ids = F.broadcast(members.select("first_copy").distinct())
         texts = texts.join(ids, F.expr("id <=> first_copy"), "left_semi")
         members = F.broadcast(members)
     keyed = texts.mapInArrow(_with_key, "id long, key binary, text string")  # ids repeat, so a text meets its family by its words
-    found = keyed.alias("t").join(members.alias("m"), F.expr("t.key = m.key AND t.id <=> m.first_copy")).select("m.root", "m.n", "m.node", "m.copies", "t.text")
-    pieces = blocked(found, "root", "n", FAMILY_BLOCK, "node").select("root", "i", "j", "own", "node", "copies", "text")
+    found = keyed.alias("t").join(members.alias("m"), F.expr("t.key = m.key AND t.id <=> m.first_copy")).select("m.root", "m.blocks", "m.node", "m.copies", "t.text")
+    pieces = blocked(found, "root", F.col("blocks"), "node").select("root", "i", "j", "own", "node", "copies", "text")
 
     def verify(it):
         shingles = Shingles(n)
@@ -323,8 +416,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     if their sets' Jaccard similarity is at least `threshold`, or if they have the same words (so also without any word: null
     and empty texts are one class). n_links counts the other rows that a row links to, copies included; class_id is the
     smallest doc_id of all rows that links connect, copies counts the rows with the same words, first_copy is their smallest
-    doc_id. Similarities are verified exactly; a pair at the threshold is found with the target recall, in theory, pairs above
-    it with a higher one, and within a family all pairs are. Repeated rows are copies. An empty table gives no rows; null doc_ids
+    doc_id. Similarities are verified exactly; a pair at the threshold meets in the forest with the target recall, pairs above it
+    with a higher one (of those that meet one in 40,000 at the threshold differs from it by more than `margin` in its signature
+    and is not compared), and within a family all pairs are. Repeated rows are copies. An empty table gives no rows; null doc_ids
     count last.
     """
     rows, per_key = _classes(docs, n, threshold, trees, depth, recall, margin)
