@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import os
 import re
 import struct
 import tempfile
@@ -194,6 +195,18 @@ _WORD = regex.compile(PATTERN)
 _RUNS = re.compile(r" \s")
 
 
+def _mapped(buffer: bytes) -> mmap.mmap:
+    """The buffer as a mapped file of the executor's scratch folder, which all its Python workers share."""
+    path = os.path.join(tempfile.gettempdir(), f"daftar-lexicon-{hashlib.sha1(buffer).hexdigest()}")
+    if not os.path.exists(path):
+        handle, draft = tempfile.mkstemp(dir=tempfile.gettempdir())
+        with os.fdopen(handle, "wb") as file:
+            file.write(buffer)
+        os.replace(draft, path)
+    with open(path, "rb") as file:
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 class Encoder:
     """Text to ids, little-endian unsigned 32-bit. Built once per Python worker."""
 
@@ -201,10 +214,7 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.lexicon = None
         if lexicon is not None:
-            file = tempfile.TemporaryFile()  # has no name and is gone with the worker
-            file.write(lexicon)
-            file.flush()
-            self.lexicon = Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+            self.lexicon = Transducer(_mapped(lexicon))
         self.look = self.lexicon.get if self.lexicon is not None else lambda word: None
         self.merge = self.vocabulary.core.encode_single_piece if self.vocabulary.core else self.vocabulary.merge
         encoder = self

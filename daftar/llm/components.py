@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,13 +26,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """edges: a long, b long. Returns node long, root long (the component's least node), for every node of an edge.
 
-    Each round is written to the shared folder. Both star steps aggregate with partial minima before the shuffle, so a node
+    Each round is written to the shared folder, where it takes the place of the one before. Both star steps aggregate with partial minima before the shuffle, so a node
     with many neighbours costs one row per task. Ends when a round changes nothing; raises if that takes over max_rounds.
     """
     now = materialise(_small_star(edges.select("a", "b").where("a <> b")))
     state = None
     for _ in range(max_rounds):
-        now = materialise(_small_star(_large_star(now)))
+        before, now = now, materialise(_small_star(_large_star(now)))
+        discard(before)
         sums = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == sums:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -57,7 +57,7 @@ def _unpack_keys(x: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(_unpack(x, "u1").reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
-BLOCK = "block string, docs binary, ends binary, part binary, vocabulary binary, words binary"
+BLOCK = "block long, docs binary, ends binary, part binary, vocabulary binary, words binary"
 
 
 def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -68,10 +68,10 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         words = np.concatenate(texts)
         vocabulary, numbers = np.unique(words, return_inverse=True)
         ends = np.cumsum([len(t) for t in texts])
-        return uuid.uuid4().hex, _pack(np.array([np.iinfo(np.int64).min if i is None else i for i in ids], "<i8")), _pack(ends.astype("<i8")), _pack(np.array(part, "u1")), _pack_keys(vocabulary), _pack(numbers.astype("<u4"))
+        return uuid.uuid4().int >> 65, _pack(np.array([np.iinfo(np.int64).min if i is None else i for i in ids], "<i8")), _pack(ends.astype("<i8")), _pack(np.array(part, "u1")), _pack_keys(vocabulary), _pack(numbers.astype("<u4"))
 
     def emit(row):
-        kinds = [pa.string()] + [pa.binary()] * 5
+        kinds = [pa.int64()] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
     def run(it):
@@ -117,7 +117,7 @@ class _Block:
         return keys, [np.bincount(at[self.token_part == p], minlength=len(keys)).astype("<u4") for p in (0, 1)]
 
 
-CELL = "kind int, range int, block string, keys binary, counts binary"
+CELL = "kind int, range int, block long, keys binary, counts binary"
 
 
 def cells(table: DataFrame, ranges: int) -> DataFrame:
@@ -134,13 +134,13 @@ def cells(table: DataFrame, ranges: int) -> DataFrame:
                     bounds = zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)
                     out = [(kind, int(at[x]), row["block"], _pack_keys(keys[x:y]), _pack(np.stack([c[x:y] for c in counts]))) for x, y in bounds]
                     for i in range(0, len(out), 256):
-                        kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+                        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 256], strict=True), kinds, strict=True)], [c.split()[0] for c in CELL.split(", ")])
 
     return table.mapInArrow(run, CELL)
 
 
-ANSWER = "kind int, range int, block string, counts binary, seen binary, types long, aside_types long"
+ANSWER = "kind int, range int, block long, counts binary, seen binary, types long, aside_types long"
 
 
 def _answer(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def _answer(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Ite
         start += len(k)
         first = types if i == 0 else (0, 0)
         row = [key[0].as_py(), key[1].as_py(), name, _pack(own[0][aside]), _pack(own.sum(0)), *first]
-        kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in ANSWER.split(", ")])
 
 
@@ -192,10 +192,10 @@ def set_aside(table: DataFrame) -> DataFrame:
                     vocabulary, words = np.unique(block.numbers[use], return_inverse=True)
                     pairs = np.unique(block.pair_numbers[use], return_inverse=True)[1]
                     end = int(np.searchsorted(vocabulary, block.before[0]))
-                    columns = [pa.array([row["block"]]), pa.array([_pack(words.astype("<u4"))], pa.binary()), pa.array([_pack(pairs.astype("<u4"))], pa.binary()), pa.array([end], pa.int64())]
+                    columns = [pa.array([row["block"]], pa.int64()), pa.array([_pack(words.astype("<u4"))], pa.binary()), pa.array([_pack(pairs.astype("<u4"))], pa.binary()), pa.array([end], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "words", "pairs", "end"])
 
-    return table.mapInArrow(run, "block string, words binary, pairs binary, end long")
+    return table.mapInArrow(run, "block long, words binary, pairs binary, end long")
 
 
 def histogram(table: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:

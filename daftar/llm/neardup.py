@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bpe import batches
 from .components import components
-from .shared import doc_columns, materialise
+from .shared import discard, doc_columns, materialise
 
 #: Members of a family, and bytes of their texts, of which one task holds two blocks; members of a trie node whose signatures one task
 #: holds. Larger ones are cut into blocks, and each pair of blocks is a piece of work.
@@ -403,6 +403,7 @@ def _classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 2
     roots = components(verified.select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = nodes.select("node", "key", "first_copy", "copies").join(links, "node", "left").join(roots, "node", "left")
     classes = materialise(classes.withColumn("root", F.coalesce("root", "node")))
+    discard(nodes, families, verified)
     first = F.min(F.struct(F.col("first_copy").isNull().alias("none"), "first_copy", "key"))
     of_class = classes.groupBy("root").agg(first.alias("first")).select("root", F.col("first.first_copy").alias("class_id"), F.col("first.key").alias("class_key"))
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")

@@ -14,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where unset (tests, one machine) a local one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where unset, one machine (a local master, as in tests) gets
+    a temporary one, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -25,9 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/daftar-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/daftar-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise wrote and nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._written_to)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table that materialise wrote in this application, once its results are saved."""
+    _remove(spark, f"{shared_dir(spark).rstrip('/')}/daftar-{spark.sparkContext.applicationId}")
 
 
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
