@@ -31,8 +31,8 @@ FOLDING = _folding()
 
 
 def folded(text: str) -> str:
-    """Lower case, folded, with one space before and after."""
-    return f" {text.lower().translate(FOLDING)} "
+    """Lower case, folded, words parted by one space, with one before and after."""
+    return f" {' '.join(text.lower().translate(FOLDING).split())} "
 
 
 @dataclass
@@ -120,7 +120,7 @@ def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int =
         return Lexicon({})
     least = max(least, int(np.ceil(share * toxic)))
     bad = _counts(sample.where("toxic = 1"), lambda w: _features(w, shortest, longest)).where(F.col("n") >= least)
-    found = {r["f"]: r["n"] for r in bad.orderBy(F.desc("n"), "f").limit(50 * size).collect()}
+    found = {r["f"]: r["n"] for r in bad.collect()}  # `least` texts each, so bounded as the sample is
     names = sample.sparkSession.sparkContext.broadcast(frozenset(found))
     good = _counts(sample.where("toxic = 0"), lambda w: _features(w, shortest, longest) & names.value)
     held = {r["f"]: r["n"] for r in good.collect()}  # at most the features found above
@@ -152,7 +152,7 @@ def _learn_exceptions(sample: DataFrame, weights: dict[str, float], least: int)
                 out.update(f"{entry}\t {' '.join(words[a : a + 2])} " for a in (i - 1, i) if 0 <= a and a + 2 <= len(words))
         return out
 
-    good = {r["f"] for r in _counts(sample.where("toxic = 0"), around).where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(1_000).collect()}
+    good = {r["f"] for r in _counts(sample.where("toxic = 0"), around).where(F.col("n") >= least).collect()}  # bounded likewise
     if not good:
         return {}
     bad = {r["f"] for r in _counts(sample.where("toxic = 1"), lambda w: around(w) & good).collect()}
