@@ -1,7 +1,8 @@
 """Operator 5: exact deduplication by two-pass Bloom filtering.
 
 Pass one finds the filter cells that two or more rows set. Pass two probes it: a row with a cell that only it set is unique and
-passes straight through; the others, real repeats and a few false ones, shuffle and are settled exactly by their digest.
+passes straight through; the others, real repeats and a few false ones, shuffle and are settled exactly by their digest. More rows
+than one filter holds are divided by hash among several, so that at any size unique rows pass.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class RepeatFilter:
 
     def __init__(self, hashes: DataFrame, max_cells: int):
         """hashes: one column `h` long. Cells: 16 for each row, a power of two, at most max_cells (8 cells a byte): that bounds what
-        the driver gathers and broadcasts. Beyond it the filter only lets more unique rows shuffle."""
+        the driver gathers and broadcasts."""
         spark = hashes.sparkSession
         rows = hashes.count()
         cells = self.cells = min(max_cells, max(SEGMENT, 1 << (16 * rows).bit_length()))
@@ -83,32 +84,60 @@ class RepeatFilter:
         return probe(column)
 
 
-def exact_groups(docs: DataFrame, max_cells: int = 1 << 28) -> DataFrame:
+def _part(parts: int):
+    """Which of the filters a hash belongs to."""
+    return F.pmod(F.xxhash64("h", F.lit("part")), F.lit(parts)).cast("int")
+
+
+def marked(rows: DataFrame, hashes: DataFrame, max_cells: int) -> DataFrame:
+    """rows (with a hash `h` each) and `again`: whether a row might repeat one of hashes (h, all rows' hashes, a written table). Filters
+    are as many as give every row 8 cells at least, so that at most one unique row in 20 is taken for a repeated one."""
+    parts = max(1, -(-8 * hashes.count() // max_cells))
+    if parts == 1:
+        return rows.withColumn("again", RepeatFilter(hashes, max_cells).might_repeat(F.col("h")))
+    out = None
+    for k in range(parts):
+        own = rows.where(_part(parts) == k)
+        own = own.withColumn("again", RepeatFilter(hashes.where(_part(parts) == k), max_cells).might_repeat(F.col("h")))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+#: A group is hot from HOT_ROWS rows on, or more in a large table: at most HOT_GROUPS groups are, and those are broadcast.
+HOT_ROWS, HOT_GROUPS = 1_000, 100_000
+
+
+def exact_groups(docs: DataFrame, max_cells: int = 1 << 30) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty; texts are equal when their normalised forms have one SHA-256. The smallest doc_id of a group
     stays (a null doc_id only if the group has no other); of repeated rows with that doc_id exactly one is kept. An empty table
-    gives no rows. Only digests move: texts are read once and never shuffle.
+    gives no rows. Only digests move: texts are read once and never shuffle. Rows of hot groups meet their group's result where
+    they are. max_cells bounds one filter's memory (128 MB).
     """
     text = normalised(F.col("text"))
     digests = materialise(
         doc_columns(docs, "doc_id", "text").select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_sha256")).withColumn("h", F.xxhash64("text_sha256")).withColumn("row", F.monotonically_increasing_id())
     )
-    marked = digests.withColumn("again", RepeatFilter(digests, max_cells).might_repeat(F.col("h")))
-    alone = marked.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = marked.where("again")
+    probed = marked(digests, digests.select("h"), max_cells)
+    alone = probed.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    maybe = materialise(probed.where("again").select("doc_id", "text_sha256", "row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = maybe.groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size"))
-    settled = maybe.join(groups, "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
-    return alone.unionByName(settled)
+    groups = materialise(maybe.groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size")))
+    hot = max(HOT_ROWS, -(-maybe.count() // HOT_GROUPS))
+    large = F.broadcast(groups.where(F.col("group_size") >= hot))
+    columns = ("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
+    in_hot = maybe.join(large, "text_sha256").select(*columns)
+    others = maybe.join(large, "text_sha256", "left_anti").join(groups.where(F.col("group_size") < hot), "text_sha256").select(*columns)
+    return alone.unionByName(in_hot).unionByName(others)
 
 
-def drop_copies(docs: DataFrame, max_cells: int = 1 << 28) -> DataFrame:
+def drop_copies(docs: DataFrame, max_cells: int = 1 << 30) -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns. Unique rows pass straight through without a shuffle; of
     possibly repeated ones the aggregation keeps the first before and after the shuffle, so a hot group costs one row a task."""
     sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), sha.alias("sha"), docs["doc_id"].alias("id"))
     hashed = rows.withColumn("h", F.xxhash64("sha"))
-    marked = hashed.withColumn("again", RepeatFilter(materialise(hashed.select("h")), max_cells).might_repeat(F.col("h")))
-    settled = marked.where("again").groupBy("sha").agg(F.min_by("whole", F.struct(F.col("id").isNull(), "id")).alias("whole"))
-    return marked.where("not again").select("whole.*").unionByName(settled.select("whole.*"))
+    probed = marked(hashed, materialise(hashed.select("h")), max_cells)
+    settled = probed.where("again").groupBy("sha").agg(F.min_by("whole", F.struct(F.col("id").isNull(), "id")).alias("whole"))
+    return probed.where("not again").select("whole.*").unionByName(settled.select("whole.*"))
