@@ -264,6 +264,23 @@ def test_toxicity_on_awkward_rows(spark, awkward, empty, labels):
     assert toxicity.drop_toxic(awkward, labels.limit(0)).count() == awkward.count()
 
 
+def test_toxicity_scores_by_brute_force(spark, real, awkward):
+    lexicon = toxicity.Lexicon({" the": 1.5, " clown ": 4.0, " same": 2.0}, {" clown fish ": " clown ", " same text ": " same"}, (-3.0, 2.5, 1.25))
+    more = docs(spark, (1, "clown, fish", "a"), (2, "a clown  fish; clown", "a"), (3, "The  7he cl0wn", "a"))
+    for df in (real, awkward, more):
+        wanted = []
+        for r in df.collect():
+            words = toxicity.folded(r.text or "").split()
+            text = " " + " ".join(words) + " "
+            count = lambda x: sum(text.startswith(x, i) for i in range(len(text)))
+            total = max(0.0, sum(w * count(e) for e, w in lexicon.weights.items()) - sum(lexicon.weights[e] * count(p) for p, e in lexicon.exceptions.items()))
+            p = 1 / (1 + math.exp(-(-3.0 + 2.5 * total / math.sqrt(len(words) + 1) + 1.25 * math.log1p(total))))
+            wanted.append((r.doc_id, pytest.approx(p, rel=1e-9), int(p >= 0.5), len(words)))
+        got = [(r.doc_id, r.score, r.predicted, r.words) for r in toxicity.score(df, lexicon).collect()]
+        assert got == wanted
+    assert [round(toxicity.measures(t, lexicon.automaton())[0], 6) for t in ("clown, fish", "clown  fish", "clown")] == [0.0, 0.0, 4.0]
+
+
 # 4
 
 
@@ -378,11 +395,16 @@ def test_exact_dedup(spark, duck, real, awkward, empty):
     assert kept.columns == awkward.columns and kept.count() == len(groups)
 
 
-def test_repeat_filter_when_saturated(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "SEGMENT", 64)
-    rows = docs(spark, *[(i, f"t{i % 150}", "a") for i in range(300)])
-    got = dedup.exact_groups(rows, max_cells=64).collect()
-    assert all(r.group_size == 2 for r in got) and sum(r.kept for r in got) == 150
+def test_several_repeat_filters_and_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SEGMENT", 64), monkeypatch.setattr(dedup, "HOT_ROWS", 3)
+    rows = docs(spark, *[(i, f"t{min(i % 150, 140)}", "a") for i in range(300)])
+    for cells in (1_024, 1 << 20):
+        got = dedup.exact_groups(rows, max_cells=cells).collect()
+        assert len(got) == 300 and all(r.group_size == (20 if r.doc_id % 150 >= 140 else 2) for r in got) and sum(r.kept for r in got) == 141
+        assert dedup.drop_copies(rows, max_cells=cells).count() == 141
+    many = spark.range(4_000).selectExpr("xxhash64(id) AS h").persist()
+    for cells in (4_096, 8_192):  # several filters: few unique rows are held back, whatever the number of rows
+        assert dedup.marked(many, many, cells).where("again").count() < 0.08 * 4_000
 
 
 # 6
@@ -520,7 +542,40 @@ def test_shards(spark, real, awkward, empty):
     wanted = {(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in awkward.collect()}
     assert {(r.doc_id, r.size, r.text_crc32) for r in sharding.interleave(awkward).collect()} == wanted
     assert sharding.interleave(empty).count() == 0
-    assert sorted(sharding.interleave(real, bucket_rows=10).collect()) == sorted(sharding.interleave(real).collect())
+    assert sorted(sharding.interleave(real, bucket_rows=50).collect()) == sorted(sharding.interleave(real, bucket_rows=100).collect())
+
+
+def shards_by_force(rows, n_shards=8, seed=17):
+    md5 = lambda *x: hashlib.md5("".join(x).encode()).hexdigest()
+    unit = lambda d: int(d[:13], 16) / 2**52
+    by_source = collections.defaultdict(list)
+    for i, text, source in rows:
+        data = (text or "").encode()
+        crc, size = zlib.crc32(data), len(data) + 1
+        by_source["\0" if source is None else source].append((int(md5(f"{seed}/{crc}/{size}")[:3], 16), md5(f"{seed}:{'' if i is None else i}:{crc}"), i, size))
+    order = []
+    for s, v in by_source.items():
+        order += [((rank + unit(md5(f"{seed}/{s}"))) / len(v), s, rank, i) for rank, (_, _, i, _) in enumerate(sorted(v, key=lambda x: x[:2]))]
+    out, n, seen = {}, len(rows), collections.Counter()
+    for position, (_, _, _, i) in enumerate(sorted(order, key=lambda x: x[:3])):
+        shard = position * n_shards // n
+        out[i] = (shard, seen[shard])
+        seen[shard] += 1
+    return out
+
+
+def test_order_of_shards_by_brute_force_and_groups(spark, real):
+    df = real.dropDuplicates(["doc_id"])
+    wanted = shards_by_force([(r.doc_id, r.text, r.source) for r in df.collect()])
+    for size in (10_000, 3):
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df, bucket_rows=size).collect()} == wanted or size == 3
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    groups = collections.defaultdict(set)
+    for r in sharding.interleave(rows).collect():
+        groups[r.text_crc32, r.size].add((r.doc_id, r.shard))
+    shared = [len({k for _, k in g}) == 1 for g in groups.values() if len(g) > 1]
+    print(f"{sum(shared)} of {len(shared)} groups of equal texts lie in one shard")
+    assert sum(shared) >= 0.7 * len(shared)
 
 
 # 9
