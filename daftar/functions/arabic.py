@@ -38,10 +38,11 @@ def strip(c: Column) -> Column:
 
 
 def repair_pua(c: Column) -> Column:
-    """Known private-use glyphs become letters and marks, others go."""
+    """Known private-use glyphs become letters and marks, others go; texts without any are only looked through."""
+    given = c
     c = F.replace(c, F.lit(PUA_LIGATURE[0]), F.lit(PUA_LIGATURE[1]))
     c = F.translate(c, "".join(PUA_MARKS) + PUA_DROPPED, "".join(PUA_MARKS.values()))
-    return F.regexp_replace(c, f"[{PUA_RANGE}]", "")
+    return F.when(given.rlike(f"[{PUA_RANGE}]"), F.regexp_replace(c, f"[{PUA_RANGE}]", "")).otherwise(given)
 
 
 @F.pandas_udf(T.StringType())
@@ -56,19 +57,18 @@ def nfkc(c: Column) -> Column:
 
 def strip_directional(c: Column) -> Column:
     """T3."""
-    return F.translate(c, DIRECTIONAL, "")
+    return F.regexp_replace(c, f"[{DIRECTIONAL}]+", "")
 
 
 def reattach(c: Column) -> Column:
     """T4: no space before a combining mark or before Arabic punctuation."""
-    return F.regexp_replace(c, f"[ \t]+([{MARKS}،؛؟])", "$1")
+    return F.regexp_replace(c, f"[ \t]++([{MARKS}،؛؟])", "$1")
 
 
 def space_boundaries(c: Column) -> Column:
     """T5: a space between Arabic digits and letters, and after a comma or semicolon glued to a letter."""
-    c = F.regexp_replace(c, f"([٠-٩])([{LETTERS}])", "$1 $2")
-    c = F.regexp_replace(c, f"([{LETTERS}])([٠-٩])", "$1 $2")
-    return F.regexp_replace(c, f"([،؛])(?=[{LETTERS}])", "$1 ")
+    between = f"(?<=[٠-٩])(?=[{LETTERS}])|(?<=[{LETTERS}])(?=[٠-٩])|(?<=[،؛])(?=[{LETTERS}])"
+    return F.when(c.rlike("[٠-٩،؛]"), F.regexp_replace(c, between, " ")).otherwise(c)
 
 
 def one_space(c: Column) -> Column:
@@ -79,7 +79,7 @@ def one_space(c: Column) -> Column:
 def collapse(c: Column) -> Column:
     """Runs of blanks, runs of newlines, then each line's ends."""
     c = F.regexp_replace(one_space(c), "\n{3,}", "\n\n")
-    return strip(F.array_join(F.transform(F.split(c, "\n"), lambda line: F.btrim(line, F.lit(_BLANK_SIGNS))), "\n"))
+    return strip(F.regexp_replace(c, f"[{BLANKS}]*+\n[{BLANKS}]*+", "\n"))
 
 
 def clean_text(c: Column, with_nfkc: bool = True) -> Column:

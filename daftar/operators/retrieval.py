@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from daftar.functions import arabic as A
 from daftar.functions import vectors as V
@@ -17,8 +20,9 @@ from daftar.functions import vectors as V
 from .laws import FEMININE_NUMBERS, LAWS, alternation, canonical_law_names, lookup
 
 FILTERS = ("law_number", "law_year", "book_number", "article_number", "article_type")
-#: Queries and points of one block of dense scoring, and postings up to which the query side is broadcast.
-QUERY_BLOCK, POINT_BLOCK, BROADCAST_ROWS = 1_024, 16_384, 200_000
+#: Queries and points of one block of scoring where queries are too large to broadcast, the bytes up to which they are, and the points
+#: that are scored at a time.
+QUERY_BLOCK, POINT_BLOCK, BROADCAST_BYTES, BATCH = 1_024, 16_384, 64 << 20, 2_048
 
 
 def ranked(hits: DataFrame, limit: int, score: str = "score") -> DataFrame:
@@ -33,9 +37,11 @@ def matching(query: str, point: str, columns) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def filter_by(points: DataFrame, **equals) -> DataFrame:
-    """V10 for a whole job: AND of equalities; None is no filter."""
+def filter_by(points: DataFrame, ranges: dict[str, tuple] | None = None, **equals) -> DataFrame:
+    """V10 for a whole job: AND of equalities and of ranges (column to least and largest value, both included); None is no filter."""
     tests = [F.col(c) == v for c, v in equals.items() if v is not None]
+    for c, (least, largest) in (ranges or {}).items():
+        tests += ([F.col(c) >= least] if least is not None else []) + ([F.col(c) <= largest] if largest is not None else [])
     return points.where(reduce(lambda a, b: a & b, tests)) if tests else points
 
 
@@ -44,43 +50,141 @@ def filter_only(points: DataFrame, limit: int, **equals) -> DataFrame:
     return filter_by(points, **equals).orderBy("chunk_id").limit(limit)
 
 
-def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters=()) -> DataFrame:
-    """V3: query_id, chunk_id, score, rank by cosine. queries: query_id, dense, filter columns; points: chunk_id, dense, the same.
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, rounded to 9 places, ties by id."""
+    scores = np.round(scores, 9)
+    if len(scores) > k:
+        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    else:
+        near = np.arange(len(scores))
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+
 
-    Both sides are dealt into blocks; each pair of blocks is one matrix product, and only its k best per query move on. The
-    filters mask scores before the cut. Zero vectors score 0.
+def scored_top_k(queries: DataFrame, points: DataFrame, k: int, filters, query_bytes: Column, prepare: Callable, score: Callable) -> DataFrame:
+    """query_id, chunk_id, score, rank of each query's k best points. Both sides have an id and filter columns; a point must equal a
+    query's filters, which mask it before the cut.
+
+    prepare(queries) makes of a Pandas frame what score(prepared, points) needs; that gives a matrix of queries by points, NaN where a
+    point is no candidate. Queries up to BROADCAST_BYTES in all (query_bytes is measured for each) go to the points, and of each
+    partition only k rows a query move on. Larger query tables are dealt into blocks that meet blocks of points.
     """
-    n_points, n_queries = points.count(), queries.count()
-    blocks, parts = max(1, -(-n_points // POINT_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    kind = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(points.dtypes)['chunk_id']}, score double"
+    columns = ["query_id", "chunk_id", "score"]
+
+    def part(asked: pd.DataFrame, prepared, corpus: pd.DataFrame) -> pd.DataFrame:
+        scores, ids = score(prepared, corpus), corpus["chunk_id"].to_numpy()
+        masks = {c: (asked[c].isna().to_numpy(), asked[c].to_numpy(object), corpus[c].to_numpy(object)) for c in filters}
+        out = []
+        for i, query in enumerate(asked["query_id"]):
+            ok = ~np.isnan(scores[i])
+            for anything, wanted, held in masks.values():
+                if not anything[i]:
+                    ok &= held == wanted[i]
+            at = np.flatnonzero(ok)
+            best = at[_best(scores[i, at], ids[at], k)]
+            out.append(pd.DataFrame({"query_id": [query] * len(best), "chunk_id": ids[best], "score": scores[i, best]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in columns})
+
+    def cut(found: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        every = pd.concat(found, ignore_index=True)
+        every = every.assign(_r=-every["score"].round(9)).sort_values(["query_id", "_r", "chunk_id"])
+        return [every.groupby("query_id", sort=False).head(k)[columns]]
+
+    n, size = queries.select(F.count("*"), F.coalesce(F.sum(query_bytes), F.lit(0))).first()
+    if size <= BROADCAST_BYTES:
+        asked = queries.toPandas()
+        shared = queries.sparkSession.sparkContext.broadcast(asked)
+
+        def over_points(it):
+            asked = shared.value
+            prepared, found = prepare(asked), []
+            for batch in it:
+                for start in range(0, len(batch), BATCH):
+                    found.append(part(asked, prepared, batch.iloc[start : start + BATCH].reset_index(drop=True)))
+                if len(found) >= 8:
+                    found = cut(found)
+            if found:
+                yield from cut(found)
+
+        return ranked(points.mapInPandas(over_points, kind) if n else points.sparkSession.createDataFrame([], kind), k)
+
+    blocks, parts = max(1, -(-points.count() // POINT_BLOCK)), max(1, -(-n // QUERY_BLOCK), -(-size // BROADCAST_BYTES))
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    fresh = lambda df, *names: df.select(*(F.col(c).alias(c) for c in names))  # noqa: E731  queries may come from points themselves
-    left = fresh(points, "chunk_id", "dense", *filters).withColumn("_b", deal("chunk_id", blocks)).withColumn("_p", spread(parts))
-    right = fresh(queries, "query_id", "dense", *filters).withColumn("_p", deal("query_id", parts)).withColumn("_b", spread(blocks))
+    left = points.withColumn("_b", deal("chunk_id", blocks)).withColumn("_p", spread(parts))
+    right = queries.withColumn("_p", deal("query_id", parts)).withColumn("_b", spread(blocks))
+
+    types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(points.schema["chunk_id"].dataType), pa.float64()]
+
+    def meet(corpus: pa.Table, asked: pa.Table) -> pa.Table:
+        held, asked, found = corpus.to_pandas(), asked.to_pandas(), pd.DataFrame({c: [] for c in columns})
+        if len(held) and len(asked):
+            prepared = prepare(asked)
+            found = cut([part(asked, prepared, held.iloc[i : i + BATCH].reset_index(drop=True)) for i in range(0, len(held), BATCH)])[0]
+        return pa.table({c: pa.array(found[c].tolist(), t) for c, t in zip(columns, types, strict=True)})
+
+    return ranked(left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(meet, kind), k)
+
+
+def _fresh(df: DataFrame, *columns) -> DataFrame:
+    """Columns under new references: queries may come from points themselves."""
+    return df.select(*((F.col(c) if isinstance(c, str) else c).alias(c if isinstance(c, str) else "terms") for c in columns))
+
+
+def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters=()) -> DataFrame:
+    """V3: query_id, chunk_id, score, rank by cosine. queries: query_id, dense, filter columns; points: chunk_id, dense, the same.
+    Zero vectors score 0; rows without a vector are no candidates."""
 
     def unit(rows: pd.Series) -> np.ndarray:
         x = np.stack(rows.to_numpy()).astype(np.float64)
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
-    def score(corpus: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "chunk_id": [], "score": []}
-        if len(corpus) and len(asked):
-            corpus = corpus.sort_values("chunk_id", ignore_index=True)
-            scores = unit(asked["dense"]) @ unit(corpus["dense"]).T
-            for i, query in enumerate(asked["query_id"]):
-                ok = np.ones(len(corpus), bool)
-                for c in filters:
-                    if not pd.isna(asked[c].iloc[i]):
-                        ok &= (corpus[c] == asked[c].iloc[i]).fillna(False).to_numpy(bool)
-                at = np.flatnonzero(ok)
-                best = at[np.argsort(-np.round(scores[i, at], 9), kind="stable")[:k]]
-                out["query_id"] += [query] * len(best)
-                out["chunk_id"] += corpus["chunk_id"].iloc[best].tolist()
-                out["score"] += scores[i, best].tolist()
-        return pd.DataFrame(out)
-
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(points.dtypes)['chunk_id']}, score double"
-    return ranked(left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInPandas(score, schema), k)
+    asked = _fresh(queries, "query_id", "dense", *filters).where("dense is not null")
+    held = _fresh(points, "chunk_id", "dense", *filters).where("dense is not null")
+    return scored_top_k(asked, held, k, filters, F.size("dense") * 8, lambda q: unit(q["dense"]), lambda q, p: q @ unit(p["dense"]).T)
+
+
+def terms_of(text: str) -> Column:
+    """The terms of a normalised text, with repeats."""
+    return F.filter(F.split(A.normalize_for_embedding(F.lower(F.coalesce(text, F.lit("")))), "[ \n]+"), lambda t: t != "")
+
+
+def sparse_top_k(queries: DataFrame, points: DataFrame, k: int, filters=()) -> DataFrame:
+    """V4: query_id, chunk_id, score, rank by the inner product of term counts; points without a shared term are no candidates.
+    queries: query_id, text, filter columns; points: chunk_id, text, the same."""
+
+    def counted(rows: pd.Series, number: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+        """(row, term, count) of every row's terms; given numbers of terms, only of those."""
+        owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        flat = [t for x in rows for t in x]
+        if number is None:
+            number = {t: i for i, t in enumerate(dict.fromkeys(flat))}
+        term = np.fromiter((number.get(t, -1) for t in flat), np.int64, len(flat))
+        width = len(number) + 1
+        code, n = np.unique(owner[term >= 0] * width + term[term >= 0], return_counts=True)
+        return code // width, code % width, n, number
+
+    def prepare(asked: pd.DataFrame):
+        row, term, n, number = counted(asked["terms"], None)
+        order = np.argsort(term, kind="stable")
+        return len(asked), row[order], n[order].astype(np.float64), np.searchsorted(term[order], np.arange(len(number) + 1)), number
+
+    def score(prepared, corpus: pd.DataFrame) -> np.ndarray:
+        n_queries, query, weight, starts, number = prepared
+        out = np.zeros((n_queries, len(corpus)))
+        step = 128
+        for first in range(0, len(corpus), step):
+            row, term, n, _ = counted(corpus["terms"].iloc[first : first + step], number)
+            held = starts[term + 1] - starts[term]  # queries with that term
+            at = np.repeat(starts[term] - np.cumsum(held) + held, held) + np.arange(held.sum())
+            width = min(step, len(corpus) - first)
+            flat = np.bincount(query[at] * width + np.repeat(row, held), weight[at] * np.repeat(n, held), n_queries * width)
+            out[:, first : first + width] = flat.reshape(n_queries, width)
+        return np.where(out > 0, out, np.nan)
+
+    asked, held = _fresh(queries, "query_id", terms_of("text"), *filters), _fresh(points, "chunk_id", terms_of("text"), *filters)
+    n_bytes = F.coalesce(F.expr("aggregate(terms, 0L, (s, t) -> s + octet_length(t) + 64)"), F.lit(0))
+    return scored_top_k(asked, held, k, filters, n_bytes, prepare, score)
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -96,16 +200,6 @@ def sparse_vectors(weighted: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, F.transform("p", lambda p: p["term"]).alias("indices"), F.transform("p", lambda p: p["weight"]).alias("values"))
 
 
-def sparse_top_k(query_postings: DataFrame, point_postings: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """V4: query_id, chunk_id, score, rank by the inner product over shared terms. allowed: query_id, chunk_id pairs that the
-    queries' filters leave, for queries that have one; applied before the cut."""
-    asked = query_postings.select("query_id", "term", F.col("weight").alias("_q"))
-    if asked.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    met = point_postings.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("score"))
-    return ranked(met if allowed is None else met.join(allowed, ["query_id", "chunk_id"], "left_semi"), k)
-
-
 def rrf(lists: list[DataFrame], limit: int, constant: int = 60) -> DataFrame:
     """V5: fuses ranked lists (query_id, chunk_id, rank from 1) by the sum of 1 / (constant + rank)."""
     every = reduce(lambda a, b: a.unionByName(b), [x.select("query_id", "chunk_id", "rank") for x in lists])
@@ -116,16 +210,7 @@ def rrf(lists: list[DataFrame], limit: int, constant: int = 60) -> DataFrame:
 def hybrid_search(queries: DataFrame, points: DataFrame, limit: int = 10, prefetch: int = 30, filters=("law_number",)) -> DataFrame:
     """V6: dense and sparse lists of `prefetch` each, filtered before their cuts, fused. queries: query_id, dense, text, filters;
     points: chunk_id, dense, text, filters."""
-    dense = dense_top_k(queries, points, prefetch, filters)
-    asked = postings(queries, "query_id", "text")
-    n = queries.count()
-    side = queries.select("query_id", *filters)
-    side = F.broadcast(side) if n <= BROADCAST_ROWS else side
-    held = postings(points, "chunk_id", "text")
-    asked = F.broadcast(asked) if n <= BROADCAST_ROWS // 100 else asked
-    met = held.join(asked.withColumnRenamed("weight", "_q"), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("score"))
-    met = met.join(points.select("chunk_id", *filters).alias("p"), "chunk_id").join(side.alias("q"), "query_id").where(matching("q", "p", filters))
-    return rrf([dense, ranked(met.select("query_id", "chunk_id", "score"), prefetch)], limit)
+    return rrf([dense_top_k(queries, points, prefetch, filters), sparse_top_k(queries, points, prefetch, filters)], limit)
 
 
 def late_interaction(pairs: DataFrame, query_text: str, passage_text: str, cap: int = 256, encoder=V.hashed_token_vectors) -> DataFrame:
@@ -177,19 +262,28 @@ def lookup_article(refs: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFr
         asked = refs.where(F.col("article_type").isNull() | (F.col("article_type") == kind)).alias("q")
         held = chunks.where(F.col(column).isNotNull()).alias("p")
         of_kind = F.col("q.article_type").isNull() | (F.col("p.article_type") == F.col("q.article_type"))
-        met = asked.join(held, (F.col("q.number") == F.col(f"p.{column}")) & of_kind & matching("q", "p", common))
-        sides.append(met.select("q.query_id", "p.chunk_id"))
+        sides.append(within_law(asked, held, F.col("q.number") == F.col(f"p.{column}"), of_kind & matching("q", "p", common)))
     found = sides[0].unionByName(sides[1]).distinct()
     order = W.partitionBy("query_id").orderBy("chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def within_law(asked: DataFrame, held: DataFrame, number: Column, test: Column) -> DataFrame:
+    """query_id, chunk_id of queries q and points p that meet on `number` and pass `test`; those that name a law meet on the law too, so that an article of one
+    law does not meet the questions about all others."""
+    named = asked.where("q.law_number is not null").join(held, number & (F.col("q.law_number") == F.col("p.law_number")) & test)
+    free = asked.where("q.law_number is null").join(held, number & test)
+    return named.select("q.query_id", "p.chunk_id").unionByName(free.select("q.query_id", "p.chunk_id"))
+
+
 def article_by_number(queries: DataFrame, chunks: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, chunk_id, rank for raw numbers (query_id, raw, law_number or null). A repeated (mukarrar) number matches nothing."""
-    asked = queries.select("query_id", "law_number", A.article_number(F.col("raw")).alias("n")).where("n.number is not null and not n.is_mukarrar").alias("q")
-    met = asked.join(chunks.alias("p"), (F.col("q.n.number") == F.col("p.article_number")) & matching("q", "p", ("law_number",)))
+    asked = queries.select("query_id", "law_number", A.article_number(F.col("raw")).alias("n")).where("n.number is not null and not n.is_mukarrar")
+    asked = asked.select("query_id", "law_number", F.col("n.number").alias("number")).alias("q")
+    held = chunks.select("chunk_id", "article_number", "law_number").alias("p")
+    met = within_law(asked, held, F.col("q.number") == F.col("p.article_number"), F.lit(True))
     order = W.partitionBy("query_id").orderBy("chunk_id")
-    return met.select("q.query_id", "p.chunk_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def article_reference(c: Column) -> Column:

@@ -38,15 +38,16 @@ OPENING, CLOSING = ("article", "issuance"), ("section", "subsection", "label", "
 def lines(pages: DataFrame) -> DataFrame:
     """L1 and L2: doc_id, page_number, pos, line (not blank), norm, na, furniture, following (the next line of the page)."""
     rows = pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\n")).alias("_i", "raw"))
-    rows = rows.select("doc_id", "page_number", (F.col("page_number").cast("long") * 1_000_000 + F.col("_i")).alias("pos"), A.strip(F.col("raw")).alias("line")).where("line <> ''")
+    rows = rows.select("doc_id", "page_number", (F.shiftleft(F.col("page_number").cast("long"), 31) + F.col("_i")).alias("pos"), A.strip(F.col("raw")).alias("line")).where("line <> ''")
     return normalised(rows)
 
 
 def normalised(rows: DataFrame) -> DataFrame:
     """The derived columns for rows of doc_id, page_number, pos, line. What follows a line is looked up within its page; the exchange
-    is on doc_id alone, so that all later windows reuse it."""
+    is on doc_id alone, so that all later windows reuse it. Their work is patterns over few bytes, so the number of tasks is the
+    session's and not fitted to bytes."""
     norm = A.normalize_for_match(F.col("line"))
-    rows = rows.repartition("doc_id").withColumn("norm", norm).withColumn("na", A.arabic_to_ascii(F.col("norm")))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").withColumn("norm", norm).withColumn("na", A.arabic_to_ascii(F.col("norm")))
     furniture = (F.col("norm").contains("الجريدة الرسمية") & F.col("norm").contains("العدد")) | A.arabic_to_ascii(F.col("line")).rlike("^[0-9]+$")
     after = F.lead("line").over(W.partitionBy("doc_id", "page_number").orderBy("pos"))
     return rows.withColumn("furniture", furniture).withColumn("following", after)

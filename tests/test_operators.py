@@ -10,7 +10,9 @@ from daftar.operators import guard as G
 from daftar.operators import quality as Q
 from daftar.operators import retrieval as R
 from daftar.operators import structure as ST
+from daftar import plans
 from daftar.plans import queries_quality as QQ
+from daftar.plans import queries_retrieval as QR
 from daftar.plans import queries_stores as QS
 from daftar.plans.base import Tables
 from daftar.sources import stores as S
@@ -150,3 +152,20 @@ def test_monitored_rows_are_written_by_as_many_tasks_as_the_table_has_parts(spar
     parts = lambda name: len(list((tmp_path / "st4" / name).glob("part-*.parquet")))
     assert parts("scores") >= 3 and parts("rates") >= 1
     assert rates.where("name <> 'close'").agg(F.sum("n")).first()[0] == events.count()
+
+
+@pytest.mark.parametrize("top_k", [R.dense_top_k, R.sparse_top_k])
+def test_large_query_tables_meet_points_in_blocks(spark, monkeypatch, top_k):
+    t = Tables(spark, SF)
+    queries, points = t.sql(QR.QUERIES), t.sql(QR.POINTS)
+    whole = sorted(top_k(queries, points, 7, ("law_number",)).collect())
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 1_000), monkeypatch.setattr(R, "POINT_BLOCK", 50), monkeypatch.setattr(R, "BATCH", 16)
+    found = sorted(top_k(queries, points, 7, ("law_number",)).collect())
+    assert [(r.query_id, r.chunk_id, r.rank, round(r.score, 9)) for r in found] == [(r.query_id, r.chunk_id, r.rank, round(r.score, 9)) for r in whole]
+    assert top_k(queries.limit(0), points, 7).count() == top_k(queries, points.limit(0), 7).count() == 0
+
+
+@pytest.mark.parametrize("name", ["v3_dense_top_k", "v4_sparse_top_k", "v6_hybrid_search", "v9_search_articles", "v11_lookup_article", "v12_article_by_number", "v14_smart_search", "v15_encoded_search"])
+def test_retrieval_plans_list_no_pairs(spark, name):
+    plan = plans.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
