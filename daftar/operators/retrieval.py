@@ -357,3 +357,9 @@ def encode(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
     slots = terms.groupBy(key, "slot").agg(F.sum(F.col("weight") * F.col("sign")).alias("x"))
     filled = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), F.lit(0.0)) / F.greatest(F.col("n"), F.lit(1e-300))).alias("dense"))
+
+
+def encode_all(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
+    """V1 with a row for every text: those without terms have the zero vector."""
+    zero = F.array_repeat(F.lit(0.0), size)
+    return texts.select(key).join(encode(texts, key, text, size), key, "left").withColumn("dense", F.coalesce("dense", zero))

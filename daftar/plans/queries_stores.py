@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daftar.sources import stores as S
 from daftar.streaming import jobs as J
@@ -18,7 +19,12 @@ from .base import query
 
 
 def _folder(t) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder below spark.checkpoint.dir; without that setting only one machine (a local master) has a place for it."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
@@ -34,6 +40,18 @@ def s4_chunk_scan(t):
     return S.read_chunks(t.spark, path, chunks.schema)
 
 
+@query(f"SELECT law_number, count(*) AS n, min(article_number) AS least, max(article_number) AS largest FROM ({QR.CHUNKS}) GROUP BY law_number")
+def s4_array_scan(t):
+    """S4, array form: files that hold one JSON array each, a file a law."""
+    chunks = t.sql(f"SELECT chunk_id, law_number, article_number FROM ({QR.CHUNKS})")
+    path = _folder(t)
+    record = F.to_json(F.struct("chunk_id", "law_number", "article_number"))
+    # arrays of about a thousand records, so that no array grows with the table
+    arrays = chunks.groupBy("law_number", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, chunks.count() // 1_000))).alias("_a")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
+    arrays.withColumn("file", F.concat_ws("-", "law_number", "_a")).select("value", "file").write.partitionBy("file").text(path)
+    return S.read_chunks(t.spark, f"{path}/*", chunks.schema, arrays=True).groupBy("law_number").agg(F.count("*").alias("n"), F.min("article_number").alias("least"), F.max("article_number").alias("largest"))
+
+
 @query(f"SELECT law_number, count(*) AS n FROM ({QR.CHUNKS}) GROUP BY law_number")
 def s6_collection(t):
     """A table made if missing, partitioned by law; making it again keeps its rows."""
@@ -65,15 +83,19 @@ def s8_point_id(t):
     return t.sql(QR.CHUNKS).select("chunk_id", S.point_id(F.col("chunk_id")).alias("point_id"))
 
 
-@query(f"SELECT count(DISTINCT chunk_id) AS given, count(DISTINCT chunk_id) AS stored, true AS complete FROM ({QR.CHUNKS})")
+@query(f"SELECT count(*) AS given, count(*) AS stored, true AS complete, count(*) + count(*) FILTER (doc_id % 3 = 0) AS total, 64 * (count(*) + count(*) FILTER (doc_id % 3 = 0)) AS numbers, count(*) FILTER (doc_id % 3 = 0) AS old FROM ({QR.CHUNKS})")
 def s9_ingest(t):
-    """Chunks encoded, merged and reconciled by count."""
-    from daftar.operators.retrieval import encode
+    """Chunks encoded, merged into a table that holds other points and old versions of some, and reconciled by count."""
+    from daftar.operators.retrieval import encode_all
 
     chunks = t.sql(f"SELECT chunk_id, text FROM ({QR.CHUNKS})")
-    empty = t.spark.createDataFrame([], "chunk_id string, text string, dense array<double>, point_id string")
-    stored = S.ingest(chunks, empty, lambda c: encode(c, "chunk_id", "text"))
-    return S.reconcile(chunks, stored, "chunk_id")
+    vector = F.array_repeat(F.lit(0.5), 64).alias("dense")
+    before = t.sql(f"SELECT chunk_id, doc_id, 'old' AS text FROM ({QR.CHUNKS})")
+    before = before.where("doc_id % 5 = 0").unionByName(before.where("doc_id % 3 = 0").withColumn("chunk_id", F.concat(F.lit("other-"), "chunk_id")))
+    before = before.select("chunk_id", "text", vector, S.point_id(F.col("chunk_id")).alias("point_id"))
+    stored = S.ingest(chunks, before, lambda c: encode_all(c, "chunk_id", "text"))
+    counts = stored.agg(F.count("*").alias("total"), F.sum(F.size("dense")).cast("long").alias("numbers"), F.count_if(F.col("text") == "old").alias("old"))
+    return S.reconcile(chunks, stored, "chunk_id").join(counts)
 
 
 @query("SELECT vec_id, label, len(embedding) AS dimension FROM {embeddings}")
@@ -84,10 +106,21 @@ def s10_copy_points(t):
     return t.spark.read.parquet(path).select("vec_id", "label", F.size("embedding").cast("long").alias("dimension"))
 
 
-@query("SELECT min(len(embedding)) AS least_a, max(len(embedding)) AS largest_a, min(len(embedding)) AS least_b, max(len(embedding)) AS largest_b, true AS same_schema, true AS matches FROM {embeddings}")
+_CUT = "CASE WHEN vec_id % 7 = 0 THEN len(embedding) - 1 ELSE len(embedding) END"
+
+
+@query(
+    f"""SELECT 'same' AS given, min(len(embedding)) AS least_a, max(len(embedding)) AS largest_a, min(len(embedding)) AS least_b, max(len(embedding)) AS largest_b, true AS same_schema, true AS matches FROM {{embeddings}}
+    UNION ALL SELECT 'cut', min(len(embedding)), max(len(embedding)), min({_CUT}), max({_CUT}), true, min(len(embedding)) = min({_CUT}) AND max(len(embedding)) = max({_CUT}) FROM {{embeddings}}
+    UNION ALL SELECT 'other type', min(len(embedding)), max(len(embedding)), min(len(embedding)), max(len(embedding)), false, false FROM {{embeddings}}"""
+)
 def s11_same_configuration(t):
-    """S11."""
-    return S.same_configuration(t["embeddings"], t["embeddings"], "embedding")
+    """A table against itself, against one with some shorter vectors, and against one of another element type."""
+    e = t["embeddings"]
+    cut = e.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding")))
+    other = e.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    one = lambda name, b: S.same_configuration(e, b, "embedding").withColumn("given", F.lit(name))
+    return one("same", e).unionByName(one("cut", cut)).unionByName(one("other type", other))
 
 
 @query("SELECT doc_id, upper(lang) AS lang, length(text) AS n FROM {documents}")
@@ -97,8 +130,7 @@ def st1_incremental_ingest(t):
     source = t.spark.readStream.schema(t["documents"].schema).option("maxFilesPerTrigger", 4).parquet(f"{t.sf_dir}/documents.parquet*")
     job = J.incremental_ingest(source, lambda b: b.select("doc_id", F.upper("lang").alias("lang"), F.length("text").cast("long").alias("n")), f"{path}/table", f"{path}/offsets", "doc_id", "doc_id")
     job.awaitTermination()
-    last = max(p["batchId"] for p in job.recentProgress if p["numInputRows"] >= 0)
-    return t.spark.read.parquet(f"{path}/table/version={last}")
+    return S.BucketTable(t.spark, f"{path}/table", T.StructType.fromDDL("doc_id long, lang string, n long"), "doc_id").read()
 
 
 @query(f"SELECT conv_id, turn, attempt, n_valid, n_hallucinated, n_unverified_inline, is_valid, report FROM ({QG.RESULTS})")

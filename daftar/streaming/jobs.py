@@ -11,21 +11,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from daftar.operators import guard as G
 from daftar.operators.quality import SCORES
-from daftar.sources.stores import upsert
+from daftar.sources.stores import BucketTable
 
 
-def incremental_ingest(documents: DataFrame, transform: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, key: str, order: str):
-    """ST1: a started stream that transforms each batch of documents and merges it into the Parquet table at `table`.
-
-    Each batch writes a new version beside the last and then names it in `current`, so a batch that runs again leaves the same
-    rows; ids are deterministic.
-    """
+def incremental_ingest(documents: DataFrame, transform: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, key: str, order: str, buckets: int = 64):
+    """ST1: a started stream that transforms each batch of documents and merges it into the BucketTable at `table`, as the version of
+    the batch's number: buckets without a row of the batch are not read, and a batch that runs again leaves the same rows."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, transform(batch)
-        before = f"{table}/version={number - 1}"
-        stored = spark.read.schema(rows.schema).parquet(before) if number else spark.createDataFrame([], rows.schema)
-        upsert(stored, rows, key, order).write.mode("overwrite").parquet(f"{table}/version={number}")
+        rows = transform(batch)
+        BucketTable(batch.sparkSession, table, rows.schema, key, buckets).merge(rows, number, order)
 
     return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
