@@ -50,8 +50,8 @@ PATTERN_RULES = (
     PatternRule("tracker", ("utm", "source", "spam"), r"[?&]utm_source=spam(&|#|$)"),
     PatternRule("binary", ("exe",), r"[.]exe([?#]|$)"),
 )
-#: Bytes of a rule table, and decided urls, up to which they are broadcast; beyond it both sides of a lookup shuffle.
-BROADCAST_BYTES, BROADCAST_URLS = 64 << 20, 250_000
+#: Bytes of a rule table, or of the decided urls, up to which they are broadcast; beyond it both sides of a lookup shuffle.
+BROADCAST_BYTES = 32 << 20
 HOST_SCHEMA, PATTERN_SCHEMA = "host string, path string, verdict string", "name string, tokens array<string>, pattern string"
 
 
@@ -78,7 +78,7 @@ def as_table(spark: SparkSession, rules: Iterable[NamedTuple] | DataFrame, schem
 
 
 def lookup(rules: DataFrame) -> DataFrame:
-    """The rule table with a broadcast hint if its measured size allows that."""
+    """The table with a broadcast hint if its measured size allows that."""
     size = rules.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rules.columns)))), F.lit(0))).first()[0]
     return F.broadcast(rules) if size <= BROADCAST_BYTES else rules
 
@@ -135,8 +135,7 @@ def judge(pages: DataFrame, host_rules: Iterable[HostRule] | DataFrame = HOST_RU
     by_pattern = matching_patterns(urls, patterns).groupBy("url").agg(F.min("name").alias("pattern"))
     both = by_host.unionByName(by_pattern.select("url", none("struct<n:int,of_host:int,verdict:string,rule:string>").alias("best"), "pattern"))
     decided = materialise(both.groupBy("url").agg(F.max("best").alias("best"), F.min("pattern").alias("pattern")))
-    if decided.count() <= BROADCAST_URLS:
-        decided = F.broadcast(decided)
+    decided = lookup(decided)
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("pattern").isNotNull(), "block").otherwise("allow"))
     out = pages.select("page_id", "url").join(decided, "url", "left")
     return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), verdict.alias("verdict"), "pattern")
