@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import base
 
-_MODULES = ("queries_text", "queries_structure", "queries_chunks", "queries_retrieval", "queries_guard", "queries_conversations", "queries_quality", "queries_stores")
+_MODULES = ("queries_text", "queries_structure", "queries_chunks", "queries_retrieval", "queries_guard", "queries_conversations", "queries_quality", "queries_stores", "queries_engine")
 
 
 def _load() -> None:

@@ -24,8 +24,14 @@ ARTICLES = """SELECT CAST(CASE WHEN lang = 'en' THEN 174 ELSE 131 END AS INT) AS
 _AR = D.ascii_to_arabic
 _LOW, _HIGH = "CAST(split_part(repealed_range, '-', 1) AS INT)", "CAST(split_part(repealed_range, '-', 2) AS INT)"
 _RANGE_BODY = f"concat('ملغاة (ضمن المواد من ', {_AR(_LOW)}, ' إلى ', {_AR(_HIGH)}, ')')"
-EXPANDED = f"""SELECT * FROM ({ARTICLES}) WHERE repealed_range IS NULL UNION ALL SELECT * EXCLUDE (n) REPLACE (CAST(n AS INT) AS article_number, {_RANGE_BODY} AS body, CAST(length({_RANGE_BODY}) AS INT) AS char_count)
-  FROM (SELECT *, unnest(range({_LOW}, {_HIGH} + 1)) AS n FROM ({ARTICLES}) WHERE repealed_range IS NOT NULL)"""
+
+
+def expanded(articles: str) -> str:
+    return f"""SELECT * FROM ({articles}) WHERE repealed_range IS NULL UNION ALL SELECT * EXCLUDE (n) REPLACE (CAST(n AS INT) AS article_number, {_RANGE_BODY} AS body, CAST(length({_RANGE_BODY}) AS INT) AS char_count)
+  FROM (SELECT *, unnest(range({_LOW}, {_HIGH} + 1)) AS n FROM ({articles}) WHERE repealed_range IS NOT NULL)"""
+
+
+EXPANDED = expanded(ARTICLES)
 
 
 def _word(n: str, words: list[str]) -> str:
@@ -46,8 +52,14 @@ _HEADER = f"""CASE WHEN article_type = 'issuance' THEN concat_ws(chr(10), {_LAW_
 _NAME = f"law_name || ' رقم ' || {_AR('law_number')} || ' لسنة ' || {_AR('law_year')}"
 _CITE = f"CASE WHEN article_type = 'issuance' THEN {_LABEL} || ' من مواد إصدار ' || {_NAME} ELSE 'المادة (' || {_AR('article_number')} || ') من ' || {_NAME} || CASE WHEN part_kind = 'preamble' THEN ' (الباب التمهيدي)' ELSE '' END END"
 _ID = "concat_ws('-', law_number, law_year, CASE WHEN article_type = 'issuance' THEN concat_ws('-', 'issuance', issuance_number) ELSE concat_ws('-', 'art', article_number) END)"
-CHUNKS = f"""SELECT *, header || chr(10) || chr(10) || body AS text_for_display, {D.normalize("header || chr(10) || body")} AS text_for_embedding, CAST(round_even(char_count / 1.8, 0) AS BIGINT) AS approx_tokens
-  FROM (SELECT *, {_HEADER} AS header, {_CITE} AS citation_label, {_ID} AS chunk_id FROM ({EXPANDED}) JOIN ({LAWS}) USING (law_number))"""
+
+
+def chunks_of(rows: str, laws: str) -> str:
+    return f"""SELECT *, header || chr(10) || chr(10) || body AS text_for_display, {D.normalize("header || chr(10) || body")} AS text_for_embedding, CAST(round_even(char_count / 1.8, 0) AS BIGINT) AS approx_tokens
+  FROM (SELECT *, {_HEADER} AS header, {_CITE} AS citation_label, {_ID} AS chunk_id FROM ({rows}) JOIN ({laws}) USING (law_number))"""
+
+
+CHUNKS = chunks_of(EXPANDED, LAWS)
 
 
 def _chunks(t):

@@ -250,8 +250,13 @@ def v20_sparse_overlap(t):
     return t.sql(OVERLAPS).select("doc_id", F.round(V.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-_SLOTS = f"SELECT chunk_id, CAST('0x' || substr(md5(term), 1, 4) AS BIGINT) % 64 AS slot, sum(weight * CASE WHEN substr(md5(term), 5, 1) < '8' THEN 1.0 ELSE -1.0 END) AS x FROM ({terms(CHUNKS, 'chunk_id')}) GROUP BY ALL"
-ENCODED = f"SELECT chunk_id, list_transform(range(64), lambda i: coalesce(m[i], 0.0) / greatest(n, 1e-300)) AS dense FROM (SELECT chunk_id, map_from_entries(list((slot, x))) AS m, sqrt(sum(x * x)) AS n FROM ({_SLOTS}) GROUP BY chunk_id)"
+def encoded(weighted: str, key: str) -> str:
+    """The default encoder over (key, term, weight)."""
+    slots = f"SELECT {key}, CAST('0x' || substr(md5(term), 1, 4) AS BIGINT) % 64 AS slot, sum(weight * CASE WHEN substr(md5(term), 5, 1) < '8' THEN 1.0 ELSE -1.0 END) AS x FROM ({weighted}) GROUP BY ALL"
+    return f"SELECT {key}, list_transform(range(64), lambda i: coalesce(m[i], 0.0) / greatest(n, 1e-300)) AS dense FROM (SELECT {key}, map_from_entries(list((slot, x))) AS m, sqrt(sum(x * x)) AS n FROM ({slots}) GROUP BY {key})"
+
+
+ENCODED = encoded(terms(CHUNKS, "chunk_id"), "chunk_id")
 
 
 @query(f"SELECT chunk_id, array_to_string(list_transform(dense, lambda x: CAST(CAST(round(x * 100000) AS BIGINT) AS VARCHAR)), ',') AS dense FROM ({ENCODED})")
