@@ -1,9 +1,10 @@
-"""Operator 9: language-model scoring by deleted interpolation of bigram, unigram and uniform estimates.
+"""Operator 9: language-model scoring by deleted interpolation of n-gram, unigram and uniform estimates.
 
-Texts become blocks of word numbers, written once. Each block asks for the counts of its distinct bigrams and words: sorted
+Texts become blocks of word numbers, written once. Each block asks for the counts of its distinct n-grams of every length: sorted
 64-bit keys in cells of a key range; the range's task adds up the training counts of all blocks and answers every cell in its
 own order, so answers carry counts alone. Mixture weights come by bucket of the context's frequency from expectation-
-maximisation on training rows set aside, whose events reach the driver only as a histogram of bounded size.
+maximisation on training rows set aside, whose events reach the driver only as histograms of bounded size. Bigram, unigram and
+uniform estimates are mixed at once; each longer n-gram is then mixed with the mixture below it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .shared import doc_columns, fold, materialise
 #: The key of the end of a text, which also stands before its first word. Words hash to other keys but for one chance in 2^64.
 END = 0x9E3779B97F4A7C15
 BLOCK_TOKENS = 1_000_000
+#: The longest n-grams that are counted.
+ORDER = 2
 #: Every eighth training row, by a hash, is set aside for the mixture weights; its counts join the others for the scores.
 ASIDE = 8
 #: Buckets of a context's frequency: 0, 1, 2, 3-4, 5-8, ... by powers of two.
@@ -32,14 +35,22 @@ BUCKETS = 26
 STEPS = 162
 
 
-def _bigram_keys(words: np.ndarray) -> np.ndarray:
-    """Keys of the pairs (before, word) of one text run; words hold END at each text's end."""
+def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        before = np.concatenate([np.array([END], np.uint64), words[:-1]])
         x = (before ^ (before >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words
         return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
+def _gram_keys(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams that end at each word, for n from 2 to order; words hold END at each text's end. Before a text stand ENDs."""
+    first = np.concatenate([[True], words[:-1] == np.uint64(END)])
+    shorter, begun, out = words, np.array([END], np.uint64), []
+    for _ in range(2, order + 1):
+        out.append(_pair(np.where(first, begun, np.roll(shorter, 1)), words))
+        shorter, begun = out[-1], _pair(begun, np.array([END], np.uint64))
+    return out
+
+
 def _pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(x.tobytes())
 
@@ -103,31 +114,32 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
 
 class _Block:
-    def __init__(self, row: dict):
+    """A block's texts, and for each kind (0 words, 1 bigrams, ...) its distinct keys and every token's number among them."""
+
+    def __init__(self, row: dict, order: int):
         self.docs, self.ends = _unpack(row["docs"], "<i8"), _unpack(row["ends"], "<i8")
-        self.part, self.vocabulary = _unpack(row["part"], "u1"), _unpack_keys(row["vocabulary"])
-        self.numbers = _unpack(row["words"], "<u4")
+        self.part, vocabulary, numbers = _unpack(row["part"], "u1"), _unpack_keys(row["vocabulary"]), _unpack(row["words"], "<u4")
         self.token_part = np.repeat(self.part, np.diff(self.ends, prepend=0))
-        self.before = np.concatenate([[np.searchsorted(self.vocabulary, np.uint64(END))], self.numbers[:-1]])
-        self.pairs, self.pair_numbers = np.unique(_bigram_keys(self.vocabulary[self.numbers]), return_inverse=True)
+        self.end = int(np.searchsorted(vocabulary, np.uint64(END)))
+        self.grams = [(vocabulary, numbers), *(np.unique(keys, return_inverse=True) for keys in _gram_keys(vocabulary[numbers], order))]
 
     def asked(self, kind: int):
-        """Distinct keys of a kind (0 words, 1 bigrams), and how often they occur in each part of training."""
-        keys, at = ((self.vocabulary, self.numbers), (self.pairs, self.pair_numbers))[kind]
+        """Distinct keys of a kind, and how often they occur in each part of training."""
+        keys, at = self.grams[kind]
         return keys, [np.bincount(at[self.token_part == p], minlength=len(keys)).astype("<u4") for p in (0, 1)]
 
 
 CELL = "kind int, range int, block long, keys binary, counts binary"
 
 
-def cells(table: DataFrame, ranges: int) -> DataFrame:
+def cells(table: DataFrame, ranges: int, order: int) -> DataFrame:
     """What the blocks ask: sorted keys and their training counts, by kind and key range."""
 
     def run(it):
         for b in it:
             for row in b.to_pylist():
-                block = _Block(row)
-                for kind in (0, 1):
+                block = _Block(row, order)
+                for kind in range(order):
                     keys, counts = block.asked(kind)
                     at = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                     starts = np.flatnonzero(np.diff(at, prepend=-1))  # only ranges with keys: cells never outnumber keys
@@ -163,9 +175,9 @@ def _answer(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in ANSWER.split(", ")])
 
 
-def _counts_of(answers: pa.Table, column: str) -> list[np.ndarray]:
+def _counts_of(answers: pa.Table, column: str, order: int) -> list[np.ndarray]:
     out = []
-    for kind in (0, 1):
+    for kind in range(order):
         rows = sorted((r["range"], r[column]) for r in answers.select(["kind", "range", column]).to_pylist() if r["kind"] == kind)
         out.append(np.concatenate([_unpack(x, "<u8") for _, x in rows]).astype(np.float64))
     return out
@@ -180,73 +192,95 @@ def _step(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.clip(1 + np.round(-4 * np.log2(np.where(p > 0, p, 1))), 1, STEPS - 1), 0).astype(np.int64)
 
 
-def set_aside(table: DataFrame) -> DataFrame:
-    """block, words, pairs, end: each block's set-aside tokens, numbered among its set-aside words and pairs. END's number is end."""
+def _estimates(counts: list[np.ndarray], grams: list[np.ndarray], end: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind from bigrams on: every token's context count, and the n-gram's share of it. A text's first context has been seen
+    as often as texts end."""
+    first = np.concatenate([[True], grams[0][:-1] == end])
+    seen = [c[g] for c, g in zip(counts, grams, strict=True)]
+    out = []
+    for shorter, n in zip(seen, seen[1:], strict=False):
+        h = np.where(first, counts[0][end], np.roll(shorter, 1))
+        out.append((h, n / np.maximum(h, 1)))
+    return out
+
+
+def _mixed(estimates, unigram: np.ndarray, types: int, mixtures: list[np.ndarray]) -> np.ndarray:
+    """The mixture of as many kinds as have weights."""
+    p = unigram
+    for i, ((h, share), mixture) in enumerate(zip(estimates, mixtures, strict=False)):
+        mix = mixture[_bucket(h)]
+        p = mix[:, 0] * share + mix[:, 1] * p + (mix[:, 2] / (types + 1) if i == 0 else 0)
+    return p
+
+
+def set_aside(table: DataFrame, order: int) -> DataFrame:
+    """block, grams, end: each block's set-aside tokens, by kind numbered among its set-aside n-grams. END's number is end."""
 
     def run(it):
         for b in it:
             for row in b.to_pylist():
-                block = _Block(row)
+                block = _Block(row, order)
                 use = block.token_part == 1
                 if use.any():
-                    vocabulary, words = np.unique(block.numbers[use], return_inverse=True)
-                    pairs = np.unique(block.pair_numbers[use], return_inverse=True)[1]
-                    end = int(np.searchsorted(vocabulary, block.before[0]))
-                    columns = [pa.array([row["block"]], pa.int64()), pa.array([_pack(words.astype("<u4"))], pa.binary()), pa.array([_pack(pairs.astype("<u4"))], pa.binary()), pa.array([end], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["block", "words", "pairs", "end"])
+                    numbered = [np.unique(numbers[use], return_inverse=True) for _, numbers in block.grams]
+                    grams = [_pack(at.astype("<u4")) for _, at in numbered]
+                    columns = [pa.array([row["block"]], pa.int64()), pa.array([grams], pa.list_(pa.binary())), pa.array([int(np.searchsorted(numbered[0][0], block.end))], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "grams", "end"])
 
-    return table.mapInArrow(run, "block long, words binary, pairs binary, end long")
+    return table.mapInArrow(run, "block long, grams array<binary>, end long")
 
 
-def histogram(table: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:
-    """Events set aside by (context bucket, step of the bigram estimate, step of the unigram estimate), from counts without them."""
+def histogram(aside: DataFrame, answers: DataFrame, tokens: int, types: int, order: int, mixtures: list[np.ndarray]) -> DataFrame:
+    """Events set aside by (context bucket, step of the next kind's estimate, step of the mixture below it), from counts without them.
+    The next kind is the one after those with mixtures; below bigrams is the unigram estimate."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
-        kinds = [("bucket", pa.int64()), ("two", pa.int64()), ("one", pa.int64()), ("n", pa.int64())]
+        kinds = [("bucket", pa.int64()), ("own", pa.int64()), ("below", pa.int64()), ("n", pa.int64())]
         found = np.empty((0, 2), np.int64)
         if rows:
-            words, pairs = _unpack(rows[0]["words"], "<u4"), _unpack(rows[0]["pairs"], "<u4")
-            word, pair = _counts_of(right, "counts")
-            c, n = word[words], pair[pairs]
-            h = word[np.concatenate([[rows[0]["end"]], words[:-1]])]  # every text ends in END, so the one before begins it
-            code = (_bucket(h) * STEPS + _step(n / np.maximum(h, 1))) * STEPS + _step(c / max(tokens, 1))
+            grams, counts = [_unpack(x, "<u4") for x in rows[0]["grams"]], _counts_of(right, "counts", order)
+            estimates, unigram = _estimates(counts, grams, rows[0]["end"]), counts[0][grams[0]] / max(tokens, 1)
+            h, share = estimates[len(mixtures)]
+            code = (_bucket(h) * STEPS + _step(share)) * STEPS + _step(_mixed(estimates, unigram, types, mixtures))
             found = np.column_stack(np.unique(code, return_counts=True))
         code = found[:, 0]
         columns = (code // STEPS**2, code // STEPS % STEPS, code % STEPS, found[:, 1])
         return pa.table({k: pa.array(v, t) for (k, t), v in zip(kinds, columns, strict=True)})
 
     asked = answers.select("kind", "range", "block", "counts")
-    cogrouped = set_aside(table).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, "bucket long, two long, one long, n long")
-    return cogrouped.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    cogrouped = aside.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, "bucket long, own long, below long, n long")
+    return cogrouped.groupBy("bucket", "own", "below").agg(F.sum("n").alias("n"))
 
 
-def weights(events: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
-    """Per context bucket the weights of bigram, unigram and uniform estimates: expectation-maximisation over the histogram's
-    events (bucket, two, one, n), with one event of each estimate as prior so that no weight is 0."""
+def weights(events: np.ndarray, types: int | None, rounds: int = 60) -> np.ndarray:
+    """Per context bucket the weights of a kind's own estimate, of what is below it, and (where types are given) of the uniform one:
+    expectation-maximisation over the histogram's events (bucket, own, below, n), with one event of each as prior so that no weight is 0."""
     estimate = lambda s: np.where(s > 0, 2.0 ** (-(s - 1) / 4), 0.0)
-    out = np.tile([1 / 3] * 3, (BUCKETS, 1))
-    out[0] = 0.0, 0.5, 0.5  # an unseen context has no bigram estimate
+    uniform, out = types is not None, np.zeros((BUCKETS, 3))
     for b in range(BUCKETS):
         mine = events[events[:, 0] == b]
-        p = np.column_stack([estimate(mine[:, 1]), estimate(mine[:, 2]), np.full(len(mine), 1 / (types + 1))])
-        prior = np.array([0.0 if b == 0 else 1.0, 1.0, 1.0])
+        p = np.column_stack([estimate(mine[:, 1]), estimate(mine[:, 2]), np.full(len(mine), 1 / (types + 1) if uniform else 0.0)])
+        prior = np.array([float(b > 0), 1.0, float(uniform)])  # an unseen context has no estimate of its own
+        out[b] = prior / prior.sum()
         for _ in range(rounds):
             share = p * out[b]
-            share /= share.sum(1, keepdims=True)
+            share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
             got = (share * mine[:, 3:4]).sum(0) + prior
             out[b] = got / got.sum()
     return out
 
 
-def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
 
     A-Z lower-cased; words are runs without ASCII white space, and each text ends in one end token. Learned from all rows whose
     crc32(doc_id) mod 7 is not 2. score: sum over tokens of log10 of the mixture of c(before, word) / c(before), c(word) / N and
-    1 / (V + 1). Null and empty texts are one end token; repeated rows count each time; an empty table gives no rows. Memory of
+    1 / (V + 1), and for an order above 2 of the shares of longer contexts with it. Null and empty texts are one end token; repeated rows count each time; an empty table gives no rows. Memory of
     a task: one block, or one key range; both are of fixed size on average, as ranges follow the number of input partitions.
     """
+    if order < 2:
+        raise ValueError("order must be at least 2")
     spark = docs.sparkSession
     table = materialise(blocks(docs, block_tokens))
     n_blocks = table.count()
@@ -255,7 +289,7 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     if not n_blocks:
         return spark.createDataFrame([], final)
     ranges = max(8, n_blocks)
-    answers = materialise(cells(table, ranges).groupBy("kind", "range").applyInArrow(_answer, ANSWER))
+    answers = materialise(cells(table, ranges, order).groupBy("kind", "range").applyInArrow(_answer, ANSWER))
     types, rest_types = answers.where("kind = 0").agg(F.sum("types"), F.sum("aside_types")).first()
 
     def tally(it):
@@ -266,19 +300,22 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
     tokens = {r["part"]: r["n"] for r in table.select("ends", "part").mapInArrow(tally, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()}
     rest, train = tokens.get(0, 0), tokens.get(0, 0) + tokens.get(1, 0)
-    events = histogram(table, answers, rest).select("bucket", "two", "one", "n").toPandas().to_numpy(np.int64).reshape(-1, 4)
-    mixture = weights(events, rest_types or 0)
+    aside, mixtures = set_aside(table, order), []
+    if order > 2:
+        aside = materialise(aside)
+    for _ in range(1, order):
+        events = histogram(aside, answers, rest, rest_types or 0, order, mixtures).select("bucket", "own", "below", "n").toPandas().to_numpy(np.int64).reshape(-1, 4)
+        mixtures.append(weights(events, None if mixtures else rest_types or 0))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
         kinds = [(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in out.split(", ")]
         if not rows:
             return pa.table({k: pa.array([], t) for k, t in kinds})
-        block = _Block(rows[0])
-        word, pair = _counts_of(right, "seen")
-        c, h, n = word[block.numbers], word[block.before], pair[block.pair_numbers]
-        mix = mixture[_bucket(h)]
-        p = mix[:, 0] * n / np.maximum(h, 1) + mix[:, 1] * c / max(train, 1) + mix[:, 2] / (types + 1)
+        block, counts = _Block(rows[0], order), _counts_of(right, "seen", order)
+        grams = [numbers for _, numbers in block.grams]
+        c = counts[0][grams[0]]
+        p = _mixed(_estimates(counts, grams, block.end), c / max(train, 1), types, mixtures)
         base = np.log10((c + 1) / (train + 1.0 * (types + 1)))
         starts = np.concatenate([[0], block.ends[:-1]])
         over = lambda x: np.add.reduceat(x, starts)

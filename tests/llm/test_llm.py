@@ -620,6 +620,36 @@ def test_lm_mixture_is_a_distribution_and_scores_follow_it(monkeypatch, real):
         assert r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_lm_of_longer_ngrams_follows_its_mixtures(monkeypatch, real, awkward):
+    lower, upper = np.tile([0.5, 0.3, 0.2], (lm.BUCKETS, 1)), np.tile([0.4, 0.6, 0.0], (lm.BUCKETS, 1))
+    lower[0], upper[0] = (0, 0.6, 0.4), (0, 1, 0)
+    monkeypatch.setattr(lm, "weights", lambda events, types: upper if types is None else lower)
+    for df in (real, awkward.dropDuplicates(["doc_id"])):
+        texts = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in df.collect()}
+        train = [ws for i, ws in texts.items() if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+        grams = [collections.Counter(tuple([None] * (k - 1) + ws)[j : j + k] for ws in train for j in range(len(ws))) for k in (1, 2, 3, 4)]
+        contexts = [collections.Counter(tuple([None] * (k - 1) + ws)[j : j + k - 1] for ws in train for j in range(len(ws))) for k in (1, 2, 3, 4)]
+        n, v = sum(grams[0].values()), len(grams[0])
+        for r in lm.score(df, 5_000, order=4).collect():
+            padded, score = [None, None, None, *texts[r.doc_id]], 0.0
+            for j in range(3, len(padded)):
+                p = grams[0][(padded[j],)] / n
+                for k in (2, 3, 4):
+                    h, c = contexts[k - 1][tuple(padded[j - k + 1 : j])], grams[k - 1][tuple(padded[j - k + 1 : j + 1])]
+                    m = (lower if k == 2 else upper)[int(lm._bucket(np.array([float(h)]))[0])]
+                    p = m[0] * c / max(h, 1) + m[1] * p + (m[2] / (v + 1) if k == 2 else 0)
+                score += math.log10(p)
+            assert r.score == pytest.approx(score, rel=1e-9)
+
+
+def test_lm_trigrams_learn_weights(real):
+    scored = {order: {r.doc_id: r for r in lm.score(real, 20_000, order=order).collect()} for order in (2, 3)}
+    assert all(scored[3][i].base_score == r.base_score and scored[3][i].n_known == r.n_known for i, r in scored[2].items())
+    assert sum(r.score for r in scored[3].values() if r.held_out) > sum(r.base_score for r in scored[3].values() if r.held_out)
+    with pytest.raises(ValueError, match="order"):
+        lm.score(real, order=1)
+
+
 def test_mixture_weights_learn():
     events = np.array([[3, 1, 100, 1000], [3, 0, 40, 10], [5, 0, 40, 1000]])
     w = lm.weights(events, 1000)
