@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import ann, bpe, dedup, html, lm, neardup, packing, sharding, toxicity, urls
+from . import ann, bpe, dedup, html, lm, mixing, neardup, packing, prefix_trie, sharding, toxicity, urls
 from .shared import table
 
 
@@ -52,6 +52,14 @@ def op10_sum_of_squares_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(prefix_trie.rebuilt_turns(table(spark, sf_dir, "conversations")))
+
+
 DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
@@ -69,4 +77,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": DEDUP_SQL, "op6_url_filters": urls.judge_sql()}
+    return {"op5_exact_dedup": DEDUP_SQL, "op6_url_filters": urls.judge_sql(), "op11_source_mixing": mixing.mix_sql(), "op12_prefix_trie": prefix_trie.trie_sql()}
