@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import ann, bpe, dedup, html, lm, mixing, neardup, packing, prefix_trie, sharding, toxicity, urls
+from . import ann, bpe, dedup, html, lm, mixing, neardup, packing, prefix_trie, repair, sharding, toxicity, urls
 from .shared import table
 
 
@@ -60,6 +60,11 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(prefix_trie.rebuilt_turns(table(spark, sf_dir, "conversations")))
 
 
+def op13_structure_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(conversations), conversations)
+
+
 DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
@@ -77,4 +82,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": DEDUP_SQL, "op6_url_filters": urls.judge_sql(), "op11_source_mixing": mixing.mix_sql(), "op12_prefix_trie": prefix_trie.trie_sql()}
+    return {"op5_exact_dedup": DEDUP_SQL, "op6_url_filters": urls.judge_sql(), "op11_source_mixing": mixing.mix_sql(), "op12_prefix_trie": prefix_trie.trie_sql(), "op13_structure_repair": repair.repair_sql()}

@@ -2,18 +2,20 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from daftar.llm import mixing, prefix_trie, queries
+from daftar.llm import mixing, prefix_trie, queries, repair
 from daftar.llm.shared import running
 from tests.conftest import SF, same_rows
 
 TURNS = "conv_id long, turn long, role string, text string, depth int, seg long, before string"
 EMPTY = hashlib.sha256(b"").hexdigest()
+repair_pattern = re.compile("(s?(ua)+)?")
 
 
 def turns(spark, rows):
@@ -21,7 +23,7 @@ def turns(spark, rows):
     return spark.createDataFrame([(*r, 7, 8, "x") for r in rows], TURNS)
 
 
-@pytest.mark.parametrize("name", ["op11_source_mixing", "op12_prefix_trie"])
+@pytest.mark.parametrize("name", ["op11_source_mixing", "op12_prefix_trie", "op13_structure_repair"])
 def test_rows_are_those_of_sql(spark, duck, name):
     same_rows(getattr(queries, name)(spark, SF), duck.execute(queries.oracle_sql()[name]))
 
@@ -158,3 +160,115 @@ def test_trie_by_force(spark, segment, shard):
 def test_trie_of_no_conversations(spark):
     assert prefix_trie.trie(prefix_trie.rebuilt_turns(turns(spark, []))).count() == 0
     assert prefix_trie.trie(prefix_trie.rebuilt_turns(turns(spark, [(None, 1, "user", "x")]))).count() == 0
+
+
+# 13
+
+
+def cheapest_by_force(rows):
+    """Cost and least audit by the whole lattice; rows are (initial, fault)."""
+    then, who = (2, 2, 3, 2), "uuau"
+    after = [(0, ""), None, None, (0, "")]
+    for i in range(len(rows), -1, -1):
+        if i < len(rows):
+            initial, fault = rows[i]
+            here = []
+            for q in range(4):
+                options = [(3, "D", after[q])]
+                if fault in ("", "truncated"):
+                    more = fault != ""
+                    options.append((2 + more, "R", after[then[q]]))
+                    if initial == who[q]:
+                        options.append((more, "K", after[then[q]]))
+                    if initial == "s" and q == 0:
+                        options.append((more, "K", after[1]))
+                here.append(min([(c + o[0], a + o[1]) for c, a, o in options if o], default=None))
+        else:
+            here = after
+        with_inserts = []
+        for q in range(4):
+            options, at = [here[q]], q
+            for n in (1, 2, 3):
+                at = then[at]
+                options.append(here[at] and (2 * n + here[at][0], "I" * n + here[at][1]))
+            with_inserts.append(min([o for o in options if o], default=None))
+        after = with_inserts
+    return after[0]
+
+
+def repair_by_force(rows):
+    by = defaultdict(list)
+    for c, turn, role, text in rows:
+        of = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if of == 1 else "".join(x for x in text if x not in ".!?") if of == 2 else text
+        for _ in range({0: 0, 3: 2}.get(of, 1)):
+            by[c].append(((turn is not None, turn or 0), hashlib.md5(f"{len('user' if of == 4 else role)}:{'user' if of == 4 else role}:{text}".encode()).hexdigest(), turn, "user" if of == 4 else role, text))
+    out = []
+    for c in {r[0] for r in rows}:
+        mine, seen, faults, kinds = sorted(by[c], key=lambda r: r[:2]), set(), defaultdict(int), []
+        for _, _, _, role, text in mine:
+            solid = text.rstrip(" \t\n\x0b\x0c\r")
+            fault = "blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else ""
+            seen.add((role, text))
+            faults[fault] += 1
+            kinds.append((role[:1], fault))
+        turns_ = [r[2] for r in mine if r[2] is not None]
+        gaps = max(turns_) - min(turns_) + 1 - len(set(turns_)) if turns_ else 0
+        illegal = sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(kinds, kinds[1:]))
+        cost, audit = cheapest_by_force(kinds)
+        state, lines, it = 0, [], iter(mine)
+        for letter in audit:
+            row = None if letter == "I" else next(it)
+            if letter != "D":
+                role = row[3] if letter == "K" else ("user", "user", "assistant", "user")[state]
+                lines.append(f"{role}:{row[4] if row else ''}")
+                state = 1 if role[:1] == "s" else (2, 2, 3, 2)[state]
+        out.append((c, gaps, faults["blank"], faults["duplicate"], faults["truncated"], illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def some_conversations(seed, lengths):
+    rng = random.Random(seed)
+    rows = []
+    for c, n in enumerate(lengths):
+        for t in range(n):
+            turn = rng.choice([t, t, t, t, t + 3, None])
+            rows.append((rng.choice([c] * 40 + [None]), turn, rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "User"]), rng.choice(["Yes.", f"No {t}!", "cut off", " \t", None, "x?\n", f"part {t}"])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_repair_by_force(spark, block):
+    rows = some_conversations(block, [1, 2, 3, 4, 5, 8, 13, 30, 60] * 12)
+    given = turns(spark, rows).repartition(3)
+    got = repair.repair(repair.damaged(given), given, block)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == repair_by_force(rows)
+
+
+def test_search_by_force():
+    rng = random.Random(1)
+    for _ in range(3000):
+        rows = "".join(rng.choice(repair.SYMBOLS) for _ in range(rng.randrange(12)))
+        cost, audit, _ = repair.search(rows)
+        assert (cost, audit) == cheapest_by_force([("" if x == "d" else x.lower(), "blank" if x == "d" else "truncated" if x.isupper() else "") for x in rows]), rows
+
+
+def test_repaired_rows_obey_the_grammar(spark):
+    rows = some_conversations(9, [20, 7, 3, 50])
+    by = defaultdict(list)
+    for r in repair.repaired(turns(spark, rows), 8).collect():
+        by[r.conv_id].append(r)
+    assert set(by) == {r[0] for r in rows}
+    for lines in by.values():
+        lines.sort(key=lambda r: (r.block, r.place))
+        initials = "".join(r.role[:1] for r in lines if r.edit != "D")
+        assert repair_pattern.fullmatch(initials)
+        assert all((r.role is None) == (r.edit == "D") for r in lines)
+
+
+def test_repair_of_no_rows(spark):
+    assert repair.repair(repair.damaged(turns(spark, []))).count() == 0
+    given = turns(spark, [(5, 1, "user", "Hi."), (None, None, None, None)])
+    got = repair.repair(given.where("false"), given).collect()
+    assert sorted((r.conv_id is None, r.cost, r.audit, r.repaired_sha256) for r in got) == [(False, 0, "", EMPTY), (True, 0, "", EMPTY)]
