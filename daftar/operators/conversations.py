@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from daftar.sources.ledger import Ledger
+
 
 def list_conversations(conversations: DataFrame) -> DataFrame:
     """M1 for all users: rank 1 is a user's newest."""
@@ -98,3 +100,11 @@ def bumped(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """updated_at follows the newest message."""
     newest = messages.groupBy("conv_id").agg(F.max("created_at").alias("_at"))
     return conversations.join(newest, "conv_id", "left").withColumn("updated_at", F.greatest("updated_at", "_at")).drop("_at")
+
+
+def commit_turns(ledger: Ledger, turns: DataFrame, conversations: DataFrame, source: str | None = None, batch: int | None = None, **options) -> int | None:
+    """A batch of turns enters the tables `messages` and `conversations` of a ledger by one commit: its message rows, keyed by
+    conversation and position, and the touched conversations with updated_at moved on. Readers see both or neither."""
+    messages = append_turns(turns).withColumn("message_id", F.concat_ws("-", "conv_id", F.lpad(F.col("pos").cast("string"), 10, "0")))
+    touched = conversations.join(turns.select("conv_id").distinct(), "conv_id", "left_semi")
+    return ledger.upsert({"messages": (messages, "message_id", "created_at"), "conversations": (bumped(touched, messages), "conv_id", "updated_at")}, source, batch, **options)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -42,3 +44,13 @@ def query(oracle: str | None = None):
         return f
 
     return register
+
+
+def folder(t: Tables) -> str:
+    """A new folder below spark.checkpoint.dir; without that setting only one machine (a local master) has a place for it."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"

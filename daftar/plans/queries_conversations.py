@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daftar.operators import conversations as M
+from daftar.sources.ledger import Ledger
 
-from .base import query
+from .base import folder, query
 
 MESSAGES = """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, turn, role, text AS content, CASE WHEN role = 'assistant' THEN concat('t', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) END AS trace_id,
   CAST('2024-01-01 00:00:00' AS TIMESTAMP) + turn * INTERVAL '1' MINUTE AS created_at FROM {conversations} WHERE role <> 'system'"""
@@ -117,3 +119,22 @@ def s13_append_turns(t):
 def s13_updated_at(t):
     """updated_at follows."""
     return M.bumped(t.sql(CONVERSATIONS), t.sql(TURNS)).select("conv_id", "updated_at")
+
+
+@query(
+    f"""SELECT c.conv_id, coalesce(m.n, 0) AS n_messages, m.n_cited, greatest(c.updated_at, m.at) AS updated_at FROM ({CONVERSATIONS}) c LEFT JOIN
+    (SELECT conv_id, 2 * count(*) AS n, count(*) FILTER (turn % 2 = 0) AS n_cited, max(created_at) AS at FROM ({TURNS}) GROUP BY conv_id) m USING (conv_id)"""
+)
+def s13_commit_turns(t):
+    """Turns committed in two batches, the second twice, over both tables at once."""
+    ledger = Ledger(t.spark, folder(t))
+    cited = F.when(F.col("turn") % 2 == 0, F.array("question")).otherwise(F.array().cast("array<string>"))
+    turns = t.sql(TURNS).withColumn("citations", cited)
+    known = t.sql(CONVERSATIONS).select("conv_id", "updated_at")
+    ledger.upsert({"conversations": (known, "conv_id", "updated_at")})
+    held = lambda: ledger.read("conversations", known.schema)
+    for batch in (0, 1, 1):
+        M.commit_turns(ledger, turns.where(F.col("turn") % 2 == batch), held(), "chat", batch)
+    schema = T.StructType.fromDDL("conv_id long, pos int, citations array<string>")
+    messages = ledger.read("messages", schema).groupBy("conv_id").agg(F.count("*").alias("n"), F.count("citations").alias("n_cited"))
+    return held().join(messages, "conv_id", "left").select("conv_id", F.coalesce("n", F.lit(0)).alias("n_messages"), "n_cited", "updated_at")

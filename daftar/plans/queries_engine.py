@@ -10,8 +10,7 @@ from daftar.sources import stores as S
 from . import queries_chunks as QC
 from . import queries_retrieval as QR
 from . import queries_structure as QS
-from .base import query
-from .queries_stores import _folder
+from .base import folder, query
 
 LAWS = """SELECT c_custkey AS doc_id, CAST(c_custkey AS INT) AS law_number, CAST(1950 + c_custkey % 70 AS INT) AS law_year, concat('قانون المعاملات ', CASE WHEN c_custkey % 3 = 0 THEN 'التجارية' ELSE 'المدنية' END) AS law_name,
   CASE WHEN c_custkey % 2 = 0 THEN 'cardinal' ELSE 'feminine_ordinal' END AS issuance_style FROM {customer}"""
@@ -47,7 +46,7 @@ def raw_documents(t):
 @query(SEARCHED)
 def e1_pages_to_search(t):
     """Raw pages cleaned, repaired, cut into articles, chunked, stored, encoded, stored as points and searched by all kinds of question."""
-    chunks, points = _folder(t), _folder(t)
+    chunks, points = folder(t), folder(t)
     S.write_records(E.statute_chunks(raw_documents(t), t.sql(LAWS)), chunks, "parquet")
     S.write_records(E.points(t.spark.read.parquet(chunks)), points, "parquet")
     return E.answers(t.sql(ASKED), t.spark.read.parquet(points)).withColumn("rank", F.col("rank").cast("long"))

@@ -3,29 +3,17 @@ checkpoint folder is."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daftar.sources import stores as S
+from daftar.sources.ledger import Ledger
 from daftar.streaming import jobs as J
 
 from . import queries_guard as QG
 from . import queries_quality as QQ
 from . import queries_retrieval as QR
-from .base import query
-
-
-def _folder(t) -> str:
-    """A new folder below spark.checkpoint.dir; without that setting only one machine (a local master) has a place for it."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+from .base import folder, query
 
 
 _FIELDS = "chunk_id, law_number, article_number, citation_label, body_faithful"
@@ -35,7 +23,7 @@ _FIELDS = "chunk_id, law_number, article_number, citation_label, body_faithful"
 def s4_chunk_scan(t):
     """Chunks written as JSON and read back with a declared schema."""
     chunks = t.sql(f"SELECT {_FIELDS} FROM ({QR.CHUNKS})")
-    path = _folder(t)
+    path = folder(t)
     S.write_records(chunks, path)
     return S.read_chunks(t.spark, path, chunks.schema)
 
@@ -44,7 +32,7 @@ def s4_chunk_scan(t):
 def s4_array_scan(t):
     """S4, array form: files that hold one JSON array each, a file a law."""
     chunks = t.sql(f"SELECT chunk_id, law_number, article_number FROM ({QR.CHUNKS})")
-    path = _folder(t)
+    path = folder(t)
     record = F.to_json(F.struct("chunk_id", "law_number", "article_number"))
     # arrays of about a thousand records, so that no array grows with the table
     arrays = chunks.groupBy("law_number", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, chunks.count() // 1_000))).alias("_a")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
@@ -55,7 +43,7 @@ def s4_array_scan(t):
 @query(f"SELECT law_number, count(*) AS n FROM ({QR.CHUNKS}) GROUP BY law_number")
 def s6_collection(t):
     """A table made if missing, partitioned by law; making it again keeps its rows."""
-    chunks, path = t.sql(f"SELECT {_FIELDS} FROM ({QR.CHUNKS})"), _folder(t)
+    chunks, path = t.sql(f"SELECT {_FIELDS} FROM ({QR.CHUNKS})"), folder(t)
     S.ensure_collection(t.spark, path, chunks.schema)
     S.write_records(chunks, path, "parquet", "law_number")
     S.ensure_collection(t.spark, path, chunks.schema)
@@ -74,6 +62,29 @@ def s7_upsert(t):
     return S.upsert(once, batch, "id", "seq")
 
 
+@query(f"WITH b AS (SELECT id, max(seq) AS seq, arg_max(value, seq) AS value FROM ({BATCH}) GROUP BY id) SELECT * FROM b UNION ALL SELECT * FROM ({STORED}) s WHERE id NOT IN (SELECT id FROM b)")
+def s7_ledger_upsert(t):
+    """S7 as commits: a stored table, a batch, and the batch's replay, which its source's number passes over."""
+    ledger = Ledger(t.spark, folder(t))
+    ledger.upsert({"points": (t.sql(STORED), "id", "seq")})
+    for _ in range(2):
+        ledger.upsert({"points": (t.sql(BATCH), "id", "seq")}, "loader", 0)
+    return ledger.read("points", t.sql(BATCH).schema)
+
+
+@query("SELECT doc_id AS id, lang AS value FROM {documents} WHERE doc_id % 3 = 0")
+def s6_recreate(t):
+    """A collection that is made, filled, recreated empty, and filled anew."""
+    ledger = Ledger(t.spark, folder(t))
+    rows = t["documents"].select(F.col("doc_id").alias("id"), F.col("lang").alias("value"))
+    ledger.ensure("points")
+    ledger.upsert({"points": (rows, "id", "value")})
+    ledger.ensure("points")
+    ledger.ensure("points", recreate=True)
+    ledger.upsert({"points": (rows.where("id % 3 = 0"), "id", "value")})
+    return ledger.read("points", rows.schema)
+
+
 @query(
     f"""SELECT chunk_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || translate(substr(d, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS point_id
     FROM (SELECT chunk_id, sha1(unhex('{S.NAMESPACE}') || encode(chunk_id)) AS d FROM ({QR.CHUNKS}))"""
@@ -101,7 +112,7 @@ def s9_ingest(t):
 @query("SELECT vec_id, label, len(embedding) AS dimension FROM {embeddings}")
 def s10_copy_points(t):
     """A verbatim copy with its counts checked."""
-    path = _folder(t)
+    path = folder(t)
     S.copy_points(t.spark, f"{t.sf_dir}/embeddings.parquet", path)
     return t.spark.read.parquet(path).select("vec_id", "label", F.size("embedding").cast("long").alias("dimension"))
 
@@ -123,20 +134,26 @@ def s11_same_configuration(t):
     return one("same", e).unionByName(one("cut", cut)).unionByName(one("other type", other))
 
 
-@query("SELECT doc_id, upper(lang) AS lang, length(text) AS n FROM {documents}")
+@query("SELECT doc_id, lower(source) AS lang, length(text) AS n FROM documents UNION ALL SELECT 1000000000 + doc_id, upper(lang), length(text) FROM documents WHERE doc_id % 2 = 0")
 def st1_incremental_ingest(t):
-    """ST1: documents as a stream, merged into a table."""
-    path = _folder(t)
-    source = t.spark.readStream.schema(t["documents"].schema).option("maxFilesPerTrigger", 4).parquet(f"{t.sf_dir}/documents.parquet*")
-    job = J.incremental_ingest(source, lambda b: b.select("doc_id", F.upper("lang").alias("lang"), F.length("text").cast("long").alias("n")), f"{path}/table", f"{path}/offsets", "doc_id", "doc_id")
-    job.awaitTermination()
-    return S.BucketTable(t.spark, f"{path}/table", T.StructType.fromDDL("doc_id long, lang string, n long"), "doc_id").read()
+    """ST1: documents as a stream, merged into a table in two batches, then all again after the checkpoint is lost, with other values: each
+    document's later row, and those rows of the first run that the second does not name."""
+    path = folder(t)
+    schema = T.StructType.fromDDL("doc_id long, lang string, n long")
+    even = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("doc_id"), F.col("doc_id") + 1_000_000_000)).otherwise(F.array("doc_id"))
+    n = F.length("text").cast("long").alias("n")
+    source = lambda: t.spark.readStream.schema(t["documents"].schema).option("maxFilesPerTrigger", 4).parquet(f"{t.sf_dir}/documents.parquet*")
+    first = J.incremental_ingest(source(), lambda b: b.select(F.explode(even).alias("doc_id"), F.upper("lang").alias("lang"), n), f"{path}/store", f"{path}/offsets", "doc_id", "doc_id")
+    first.awaitTermination()
+    again = J.incremental_ingest(source(), lambda b: b.select("doc_id", F.lower("source").alias("lang"), n), f"{path}/store", f"{path}/new-offsets", "doc_id", "doc_id")
+    again.awaitTermination()
+    return Ledger(t.spark, f"{path}/store").read("points", schema)
 
 
 @query(f"SELECT conv_id, turn, attempt, n_valid, n_hallucinated, n_unverified_inline, is_valid, report FROM ({QG.RESULTS})")
 def st2_online_audit(t):
     """ST2: answers as a stream, with the batch verdicts as the expected rows."""
-    path = _folder(t)
+    path = folder(t)
     t.sql(QG.ATTEMPTS).repartition(3).write.parquet(f"{path}/answers")
     answers = t.spark.readStream.schema(t.sql(QG.ATTEMPTS).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/answers")
     J.online_audit(answers, t.sql(QG.CONTEXT), f"{path}/verdicts", f"{path}/offsets").awaitTermination()
@@ -151,7 +168,7 @@ def _finished(t, stream, path: str):
 @query()
 def st3_rate_flags(t):
     """ST3 over all events, two a day; the tests hold it against the batch form."""
-    path = _folder(t)
+    path = folder(t)
     t.sql(QQ.REQUESTS).write.parquet(f"{path}/requests")
     return _finished(t, J.rate_flags(t.spark.readStream.schema(t.sql(QQ.REQUESTS).schema).parquet(f"{path}/requests"), 2, 86_400), path)
 
@@ -162,7 +179,7 @@ MONITORED = "SELECT CAST(ts AS TIMESTAMP) AS ts, CASE event_type WHEN 'error' TH
 @query(f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, name, count(*) AS n, round(avg(value), 6) AS rate FROM ({MONITORED}) WHERE name <> 'close' GROUP BY ALL")
 def st4_score_rates(t):
     """ST4: daily rates; the windows are complete when the stream has come to its end."""
-    path = _folder(t)
+    path = folder(t)
     t.sql(MONITORED).write.parquet(f"{path}/scores")
     stream = J.score_rates(t.spark.readStream.schema(t.sql(MONITORED).schema).parquet(f"{path}/scores"))
 

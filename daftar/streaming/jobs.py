@@ -11,16 +11,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from daftar.operators import guard as G
 from daftar.operators.quality import SCORES
-from daftar.sources.stores import BucketTable
+from daftar.sources.ledger import Ledger
 
 
-def incremental_ingest(documents: DataFrame, transform: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, key: str, order: str, buckets: int = 64):
-    """ST1: a started stream that transforms each batch of documents and merges it into the BucketTable at `table`, as the version of
-    the batch's number: buckets without a row of the batch are not read, and a batch that runs again leaves the same rows."""
+def incremental_ingest(documents: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str, order: str, table: str = "points", **options):
+    """ST1: a started stream that transforms each batch of documents and merges it into a table of the Ledger at `path`. A batch
+    that runs again is passed over; after a lost checkpoint all come again as another source's and are merged anew. Either way a reader sees
+    whole batches, and files without a key of the batch are not read."""
+    ledger = Ledger(documents.sparkSession, path, **options)
+    source = ledger.source_of(checkpoint)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = transform(batch)
-        BucketTable(batch.sparkSession, table, rows.schema, key, buckets).merge(rows, number, order)
+        ledger.upsert({table: (transform(batch), key, order)}, source, number)
 
     return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

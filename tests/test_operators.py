@@ -132,34 +132,6 @@ def test_streamed_rate_flags_match_the_batch(spark):
     assert stream == batch
 
 
-def test_streamed_ingest_is_replay_safe(spark, tmp_path):
-    source = spark.readStream.schema(spark.read.parquet(f"{SF}/documents.parquet").schema).parquet(f"{SF}/documents.parquet*")
-    table = S.BucketTable(spark, str(tmp_path / "t"), T.StructType.fromDDL("doc_id long, lang string"), "doc_id", 8)
-    for i in range(2):  # a lost checkpoint: everything comes again
-        J.incremental_ingest(source, lambda b: b.select("doc_id", "lang"), table.path, str(tmp_path / f"o{i}"), "doc_id", "doc_id", 8).awaitTermination()
-        assert table.read().count() == 200
-
-
-def test_merge_of_a_later_batch_runs_again(spark, tmp_path):
-    table = S.BucketTable(spark, str(tmp_path / "t"), T.StructType.fromDDL("id long, seq long, v string"), "id", 16)
-    batch = lambda ids, seq, v: spark.createDataFrame([(i, seq, v) for i in ids], table.schema)
-    now = lambda: {r.id: r.v for r in table.read().collect()}
-    assert table.read().count() == 0
-    table.merge(batch(range(40), 0, "a"), 0, "seq")
-    first = table.manifest(0)
-    # batch 1 dies after its data, before its manifest: readers see batch 0
-    batch([3, 99], 1, "junk").withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{table.path}/data/version=1")
-    assert now() == dict.fromkeys(range(40), "a")
-    for _ in range(2):  # it runs again, and again once it is done
-        table.merge(batch([3, 99], 1, "b"), 1, "seq")
-        assert now() == dict.fromkeys(range(40), "a") | {3: "b", 99: "b"}
-    second = table.manifest(1)
-    assert sum(second[b] == 1 for b in second) <= 2 and any(second[b] == 0 for b in first)  # other buckets were not rewritten
-    table.merge(batch([5], 2, "c"), 2, "seq")
-    table.merge(batch([5], 3, "d"), 3, "seq")
-    assert now() == dict.fromkeys(range(40), "a") | {3: "b", 99: "b", 5: "d"} and table._versions() == [2, 3]
-
-
 def test_a_chunk_without_a_vector_is_an_error(spark):
     chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, text string")
     stored = spark.createDataFrame([], "chunk_id string, text string, dense array<double>, point_id string")
