@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from daftar.functions import arabic as A
 from daftar.functions import vectors as V
@@ -20,9 +22,8 @@ from daftar.functions import vectors as V
 from .laws import FEMININE_NUMBERS, LAWS, alternation, canonical_law_names, lookup
 
 FILTERS = ("law_number", "law_year", "book_number", "article_number", "article_type")
-#: Queries and points of one block of scoring where queries are too large to broadcast, the bytes up to which they are, and the points
-#: that are scored at a time.
-QUERY_BLOCK, POINT_BLOCK, BROADCAST_BYTES, BATCH = 1_024, 16_384, 64 << 20, 2_048
+#: Bytes of queries that go to the points at once, and of scores that a task makes at a time.
+BROADCAST_BYTES, SCORE_BYTES = 64 << 20, 16 << 20
 
 
 def ranked(hits: DataFrame, limit: int, score: str = "score") -> DataFrame:
@@ -50,98 +51,87 @@ def filter_only(points: DataFrame, limit: int, **equals) -> DataFrame:
     return filter_by(points, **equals).orderBy("chunk_id").limit(limit)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, rounded to 9 places, ties by id."""
-    scores = np.round(scores, 9)
-    if len(scores) > k:
-        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+def _parts(queries: DataFrame, query_bytes: Column) -> list[DataFrame]:
+    """The queries in parts of at most about BROADCAST_BYTES, as measured; every part goes to all points, which never move."""
+    n, size = queries.select(F.count("*"), F.coalesce(F.sum(query_bytes + 64), F.lit(0))).first()
+    parts = -(-size // BROADCAST_BYTES) if n else 0
+    return [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
-def scored_top_k(queries: DataFrame, points: DataFrame, k: int, filters, query_bytes: Column, prepare: Callable, score: Callable) -> DataFrame:
-    """query_id, chunk_id, score, rank of each query's k best points. Both sides have an id and filter columns; a point must equal a
-    query's filters, which mask it before the cut.
+def _one_of(frames: list[DataFrame], spark, kind: str) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames) if frames else spark.createDataFrame([], kind)
 
-    prepare(queries) makes of a Pandas frame what score(prepared, points) needs; that gives a matrix of queries by points, NaN where a
-    point is no candidate. Queries up to BROADCAST_BYTES in all (query_bytes is measured for each) go to the points, and of each
-    partition only k rows a query move on. Larger query tables are dealt into blocks that meet blocks of points.
-    """
-    kind = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(points.dtypes)['chunk_id']}, score double"
-    columns = ["query_id", "chunk_id", "score"]
-
-    def part(asked: pd.DataFrame, prepared, corpus: pd.DataFrame) -> pd.DataFrame:
-        scores, ids = score(prepared, corpus), corpus["chunk_id"].to_numpy()
-        masks = {c: (asked[c].isna().to_numpy(), asked[c].to_numpy(object), corpus[c].to_numpy(object)) for c in filters}
-        out = []
-        for i, query in enumerate(asked["query_id"]):
-            ok = ~np.isnan(scores[i])
-            for anything, wanted, held in masks.values():
-                if not anything[i]:
-                    ok &= held == wanted[i]
-            at = np.flatnonzero(ok)
-            best = at[_best(scores[i, at], ids[at], k)]
-            out.append(pd.DataFrame({"query_id": [query] * len(best), "chunk_id": ids[best], "score": scores[i, best]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in columns})
-
-    def cut(found: list[pd.DataFrame]) -> list[pd.DataFrame]:
-        every = pd.concat(found, ignore_index=True)
-        every = every.assign(_r=-every["score"].round(9)).sort_values(["query_id", "_r", "chunk_id"])
-        return [every.groupby("query_id", sort=False).head(k)[columns]]
-
-    n, size = queries.select(F.count("*"), F.coalesce(F.sum(query_bytes), F.lit(0))).first()
-    if size <= BROADCAST_BYTES:
-        asked = queries.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast(asked)
-
-        def over_points(it):
-            asked = shared.value
-            prepared, found = prepare(asked), []
-            for batch in it:
-                for start in range(0, len(batch), BATCH):
-                    found.append(part(asked, prepared, batch.iloc[start : start + BATCH].reset_index(drop=True)))
-                if len(found) >= 8:
-                    found = cut(found)
-            if found:
-                yield from cut(found)
 
-        return ranked(points.mapInPandas(over_points, kind) if n else points.sparkSession.createDataFrame([], kind), k)
+class _Filters:
+    """Filter columns of queries as small codes; null filters say nothing."""
 
-    blocks, parts = max(1, -(-points.count() // POINT_BLOCK)), max(1, -(-n // QUERY_BLOCK), -(-size // BROADCAST_BYTES))
-    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = points.withColumn("_b", deal("chunk_id", blocks)).withColumn("_p", spread(parts))
-    right = queries.withColumn("_p", deal("query_id", parts)).withColumn("_b", spread(blocks))
+    def __init__(self, asked: pd.DataFrame, columns):
+        self.codes = {c: {v: i for i, v in enumerate(asked[c].dropna().unique())} for c in columns}
+        self.wanted = {c: np.array([-2 if pd.isna(v) else self.codes[c][v] for v in asked[c]], np.int64) for c in columns}
 
-    types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(points.schema["chunk_id"].dataType), pa.float64()]
-
-    def meet(corpus: pa.Table, asked: pa.Table) -> pa.Table:
-        held, asked, found = corpus.to_pandas(), asked.to_pandas(), pd.DataFrame({c: [] for c in columns})
-        if len(held) and len(asked):
-            prepared = prepare(asked)
-            found = cut([part(asked, prepared, held.iloc[i : i + BATCH].reset_index(drop=True)) for i in range(0, len(held), BATCH)])[0]
-        return pa.table({c: pa.array(found[c].tolist(), t) for c, t in zip(columns, types, strict=True)})
+    def held(self, column: str, values) -> np.ndarray:
+        codes = self.codes[column]
+        return np.array([codes.get(v, -1) for v in values], np.int64)
 
-    return ranked(left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(meet, kind), k)
+    def mask(self, held: dict[str, np.ndarray]) -> np.ndarray | None:
+        """Which of the points (codes by column) each query admits; None: all."""
+        tests = [(w[:, None] == -2) | (w[:, None] == held[c][None, :]) for c, w in self.wanted.items() if (w != -2).any()]
+        return reduce(np.logical_and, tests) if tests else None
 
 
-def _fresh(df: DataFrame, *columns) -> DataFrame:
+def _fresh(df: DataFrame, *columns: str) -> DataFrame:
     """Columns under new references: queries may come from points themselves."""
-    return df.select(*((F.col(c) if isinstance(c, str) else c).alias(c if isinstance(c, str) else "terms") for c in columns))
+    return df.select(*(F.col(c).alias(c) for c in columns))
 
 
 def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters=()) -> DataFrame:
     """V3: query_id, chunk_id, score, rank by cosine. queries: query_id, dense, filter columns; points: chunk_id, dense, the same.
-    Zero vectors score 0; rows without a vector are no candidates."""
+    Zero vectors score 0; rows without a vector are no candidates.
+
+    A task holds its part of the queries, the k best points of each so far, and SCORE_BYTES of scores at a time, however many
+    points there are. Points come in the order of their ids within a partition, so the earlier one of equal scores is the smaller.
+    """
 
-    def unit(rows: pd.Series) -> np.ndarray:
+    def unit(rows) -> np.ndarray:
         x = np.stack(rows.to_numpy()).astype(np.float64)
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
-    asked = _fresh(queries, "query_id", "dense", *filters).where("dense is not null")
-    held = _fresh(points, "chunk_id", "dense", *filters).where("dense is not null")
-    return scored_top_k(asked, held, k, filters, F.size("dense") * 8, lambda q: unit(q["dense"]), lambda q, p: q @ unit(p["dense"]).T)
+    kind = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(points.dtypes)['chunk_id']}, score double"
+    types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(points.schema["chunk_id"].dataType), pa.float64()]
+    held = _fresh(points, "chunk_id", "dense", *filters).where("dense is not null").sortWithinPartitions("chunk_id")
+    spark, found = points.sparkSession, []
+    for part in _parts(_fresh(queries, "query_id", "dense", *filters).where("dense is not null"), F.size("dense") * 8):
+        shared = spark.sparkContext.broadcast(part.toPandas())
+
+        def over_points(it, shared=shared):
+            asked = shared.value
+            n = len(asked)
+            if not n:
+                return
+            vectors, tests = unit(asked["dense"]), _Filters(asked, filters)
+            step = max(1, SCORE_BYTES // (8 * n))
+            best, at, ids = np.full((n, 0), -np.inf), np.full((n, 0), -1, np.int64), []
+            for batch in it:
+                for start in range(0, len(batch), step):
+                    corpus = batch.iloc[start : start + step]
+                    scores = np.round(vectors @ unit(corpus["dense"]).T, 15)
+                    mask = tests.mask({c: tests.held(c, corpus[c]) for c in filters})
+                    if mask is not None:
+                        scores = np.where(mask, scores, -np.inf)
+                    every = np.concatenate([best, scores], 1)
+                    where = np.concatenate([at, np.broadcast_to(np.arange(len(ids), len(ids) + len(corpus)), scores.shape)], 1)
+                    ids += corpus["chunk_id"].tolist()
+                    order = np.argsort(-np.round(every, 9), axis=1, kind="stable")[:, :k]
+                    best, at = np.take_along_axis(every, order, 1), np.take_along_axis(where, order, 1)
+            row, column = np.nonzero(best > -np.inf)
+            asked_ids = asked["query_id"].tolist()
+            for i in range(0, len(row), 100_000):
+                r, c = row[i : i + 100_000], column[i : i + 100_000]
+                columns = [[asked_ids[x] for x in r], [ids[x] for x in at[r, c]], best[r, c]]
+                yield pd.DataFrame({name: pd.array(pa.array(v, t).to_pandas()) for name, v, t in zip(("query_id", "chunk_id", "score"), columns, types, strict=True)})
+
+        found.append(held.mapInPandas(over_points, kind))
+    return ranked(_one_of(found, spark, kind), k)
 
 
 def terms_of(text: str) -> Column:
@@ -149,42 +139,200 @@ def terms_of(text: str) -> Column:
     return F.filter(F.split(A.normalize_for_embedding(F.lower(F.coalesce(text, F.lit("")))), "[ \n]+"), lambda t: t != "")
 
 
+def with_sparse(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with `indices` and `values`: those it has (V2's arrays, of any encoder), else the counts of its text's terms."""
+    if "indices" in df.columns:
+        return df
+
+    @F.pandas_udf("indices array<string>, values array<double>")
+    def counts(terms: pd.Series) -> pd.DataFrame:
+        rows = [sorted(Counter(x).items()) for x in terms]
+        return pd.DataFrame({"indices": [[t for t, _ in r] for r in rows], "values": [[float(n) for _, n in r] for r in rows]})
+
+    return df.withColumn("_s", counts(terms_of(text))).withColumns({"indices": F.col("_s.indices"), "values": F.col("_s.values")}).drop("_s")
+
+
+#: Points of a block of the sparse index, its postings at most (or one point's), and the postings of each term that a search reads first.
+SPARSE_POINTS, SPARSE_POSTINGS, FIRST_READ = 4_096, 1_000_000, 64
+#: One of so many blocks is searched first, for each query's shared threshold.
+SAMPLE = 16
+INDEX = "block long, chunk_id array<{0}>, terms array<string>, row_starts binary, row_terms binary, row_weights binary, starts binary, points binary, weights binary"
+
+
+def sparse_index(points: DataFrame, filters=()) -> DataFrame:
+    """V4's stored form of points (chunk_id, indices, values, filter columns): one row a block of up to SPARSE_POINTS points, made where they
+    lie. A block has each term's postings in falling order of weight, every point's own terms, and its points' filters. Weights may be of
+    any sign; nulls, NaN and repeated terms of a point are an error. Write it to Parquet once and search it many times."""
+    kind = dict(points.dtypes)
+    schema = INDEX.format(kind["chunk_id"]) + "".join(f", filter_{c} array<{kind[c]}>" for c in filters)
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    held = _fresh(points, "chunk_id", "indices", "values", *filters).where("indices is not null and values is not null")
+
+    def made(block: pa.Table, number: int) -> pa.RecordBatch:
+        indices, values = block.column("indices").combine_chunks(), block.column("values").combine_chunks()
+        lengths = np.array(pc.list_value_length(indices), np.int64)
+        coded = indices.flatten().dictionary_encode()
+        terms, weight = np.asarray(coded.indices, np.int32), np.asarray(values.flatten(), np.float64)
+        row = np.repeat(np.arange(block.num_rows, dtype=np.int32), lengths)
+        if len(terms) != len(weight) or np.isnan(weight).any() or len(np.unique(row.astype(np.int64) * (len(coded.dictionary) + 1) + terms)) != len(terms):
+            raise ValueError("a sparse vector has unequal arrays, a repeated term or a weight that is no number")
+        order = np.lexsort((-weight, terms))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(coded.dictionary)))]).astype(np.int64)
+        arrays = [np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), terms, weight, starts, row[order], weight[order]]
+        columns = [[number], [block.column("chunk_id").to_pylist()], [coded.dictionary.to_pylist()], *([a.tobytes()] for a in arrays), *([block.column(c).to_pylist()] for c in filters)]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(it):
+        part, number, waiting, rows, postings = TaskContext.get().partitionId(), 0, [], 0, 0
+        for b in it:
+            for i in range(0, b.num_rows, 32):
+                few = b.slice(i, 32)
+                more = pc.sum(pc.list_value_length(few.column("indices"))).as_py() or 0
+                if rows and (rows + few.num_rows > SPARSE_POINTS or postings + more > SPARSE_POSTINGS):
+                    yield made(pa.Table.from_batches(waiting), (part << 32) + number)
+                    number, waiting, rows, postings = number + 1, [], 0, 0
+                waiting.append(few)
+                rows, postings = rows + few.num_rows, postings + more
+        if rows:
+            yield made(pa.Table.from_batches(waiting), (part << 32) + number)
+
+    return held.mapInArrow(run, schema)
+
+
+class SparseBlock:
+    """A block of the index in memory."""
+
+    def __init__(self, row: dict):
+        self.ids, self.terms = row["chunk_id"], pa.array(row["terms"], pa.string())
+        of = lambda name, kind: np.frombuffer(row[name], kind)
+        self.row_starts, self.row_terms, self.row_weights = of("row_starts", np.int64), of("row_terms", np.int32), of("row_weights", np.float64)
+        self.starts, self.points, self.weights = of("starts", np.int64), of("points", np.int32), of("weights", np.float64)
+        self.asked = np.zeros(len(self.terms))  # a query's weights by term
+
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        """The inner products of `asked` with these points."""
+        n = self.row_starts[rows + 1] - self.row_starts[rows]
+        firsts = np.cumsum(n) - n
+        at = np.repeat(self.row_starts[rows] - firsts, n) + np.arange(n.sum())
+        return np.add.reduceat(self.asked[self.row_terms[at]] * self.row_weights[at], firsts)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float, admitted: np.ndarray | None, first: int = FIRST_READ) -> tuple[np.ndarray, np.ndarray, int]:
+        """Points, their scores and the postings read: all admitted points that may be among the k best and reach `least`.
+
+        Postings are read in falling order of what they add, some of every term at a time, and each point met is scored exactly. No point
+        that is still unmet can have more than the next postings' sum; once that is below the k-th best score (or `least`), the rest is
+        skipped.
+        """
+        low, high = self.starts[terms], self.starts[terms + 1]
+        self.asked[terms] = weights
+        done, step, read = np.zeros(len(terms), np.int64), first, 0
+        met = np.zeros(len(self.ids), bool)
+        points, scores = [], []
+        best = np.empty(0)
+        while True:
+            n = np.minimum(high - low - done, step)
+            if not n.any():
+                break
+            owner = np.repeat(np.arange(len(terms)), n)
+            off = np.repeat(done, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.where(weights[owner] >= 0, low[owner] + off, high[owner] - 1 - off)
+            done, read = done + n, read + len(at)
+            new = np.unique(self.points[at])
+            new = new[~met[new]]
+            met[new] = True
+            if admitted is not None:
+                new = new[admitted[new]]
+            if len(new):
+                exact = np.round(self.exact(new), 15)
+                points.append(new), scores.append(exact)
+                best = np.concatenate([best, np.round(exact, 9)])
+                if len(best) > k:
+                    best = np.partition(best, len(best) - k)[-k:]
+            left = done < high - low
+            following = np.where(weights >= 0, low + done, high - 1 - done)[left]
+            bound = np.maximum(weights[left] * self.weights[following], 0).sum()
+            reached = max(least, best.min()) if len(best) == k else least
+            if np.round(bound, 9) + 1e-9 < reached:
+                break
+            step *= 2
+        self.asked[terms] = 0
+        if not points:
+            return np.empty(0, np.int32), np.empty(0), read
+        points, scores = np.concatenate(points), np.concatenate(scores)
+        floor = max(least, best.min()) if len(best) == k else least
+        keep = np.round(scores, 9) >= floor
+        return points[keep], scores[keep], read
+
+
+def sparse_search(queries: DataFrame, index: DataFrame, k: int, filters=()) -> DataFrame:
+    """V4 over an index as of sparse_index: query_id, chunk_id, score, rank by the inner product of weights; points without a shared term
+    are no candidates. queries: query_id, indices, values, filter columns.
+
+    Some of the blocks are searched first; the k-th best score there is a query's threshold in all others, which so skip most postings.
+    Within a task the threshold rises as blocks fill it. Results are those of scoring every point. A task holds a part of the queries
+    (BROADCAST_BYTES) and one block.
+    """
+    spark = index.sparkSession
+    id_kind = dict(index.dtypes)["chunk_id"][6:-1]
+    kind = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {id_kind}, score double"
+    types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(index.schema["chunk_id"].dataType.elementType), pa.float64()]
+    asked = _fresh(queries, "query_id", "indices", "values", *filters).where("size(indices) > 0")
+    n_blocks = index.select("block").count()
+    sampled = F.pmod(F.xxhash64("block"), F.lit(SAMPLE)) == 0
+    stages = [sampled, ~sampled] if n_blocks >= 2 * SAMPLE else [F.lit(True)]
+    found = []
+    for part in _parts(asked, F.expr("aggregate(indices, 0L, (s, t) -> s + octet_length(t) + 16)")):
+        table = part.toPandas()
+        least = np.full(len(table), -np.inf)
+        for stage in stages:
+            shared = spark.sparkContext.broadcast((table, least))
+
+            def over_blocks(it, shared=shared):
+                table, given = shared.value
+                if not len(table):
+                    return
+                least, tests, names = given.copy(), _Filters(table, filters), table["query_id"].tolist()
+                lengths = table["indices"].map(len).to_numpy(np.int64)
+                ends = np.cumsum(lengths)
+                words = pa.array([t for row in table["indices"] for t in row], pa.string()).dictionary_encode()
+                code, weight = np.asarray(words.indices), np.concatenate(table["values"].to_numpy()).astype(np.float64)
+                for b in it:
+                    for row in b.to_pylist():
+                        block = SparseBlock(row)
+                        place = np.asarray(pc.fill_null(pc.index_in(words.dictionary, value_set=block.terms), -1))[code]
+                        held = {c: tests.held(c, row[f"filter_{c}"]) for c in filters}
+                        shares = np.add.reduceat(place >= 0, ends - lengths) > 0
+                        out: tuple[list, list, list] = ([], [], [])
+                        for q in np.flatnonzero(shares):
+                            of = slice(ends[q] - lengths[q], ends[q])
+                            known = place[of] >= 0
+                            admitted = None
+                            for c, wanted in tests.wanted.items():
+                                if wanted[q] != -2:
+                                    admitted = (held[c] == wanted[q]) if admitted is None else admitted & (held[c] == wanted[q])
+                            points, scores, _ = block.search(place[of][known], weight[of][known], k, least[q], admitted)
+                            if len(scores) > k:  # ties at the end all stay
+                                few = np.round(scores, 9)
+                                cut = np.partition(few, len(few) - k)[len(few) - k]
+                                points, scores = points[few >= cut], scores[few >= cut]
+                            if len(scores) >= k:
+                                least[q] = max(least[q], np.round(scores, 9).min())
+                            out[0].extend([names[q]] * len(points)), out[1].extend(block.ids[p] for p in points), out[2].extend(scores.tolist())
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["query_id", "chunk_id", "score"])
+
+            hits = ranked(index.where(stage).mapInArrow(over_blocks, kind), k)
+            if len(stages) > 1 and stage is stages[0]:
+                reached = hits.where(F.col("rank") == k).select("query_id", F.round("score", 9).alias("least")).toPandas()
+                least = table["query_id"].map(reached.set_index("query_id")["least"]).fillna(-np.inf).to_numpy(np.float64)
+            found.append(hits.drop("rank"))
+    return ranked(_one_of(found, spark, kind), k)
+
+
 def sparse_top_k(queries: DataFrame, points: DataFrame, k: int, filters=()) -> DataFrame:
-    """V4: query_id, chunk_id, score, rank by the inner product of term counts; points without a shared term are no candidates.
-    queries: query_id, text, filter columns; points: chunk_id, text, the same."""
-
-    def counted(rows: pd.Series, number: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-        """(row, term, count) of every row's terms; given numbers of terms, only of those."""
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-        flat = [t for x in rows for t in x]
-        if number is None:
-            number = {t: i for i, t in enumerate(dict.fromkeys(flat))}
-        term = np.fromiter((number.get(t, -1) for t in flat), np.int64, len(flat))
-        width = len(number) + 1
-        code, n = np.unique(owner[term >= 0] * width + term[term >= 0], return_counts=True)
-        return code // width, code % width, n, number
-
-    def prepare(asked: pd.DataFrame):
-        row, term, n, number = counted(asked["terms"], None)
-        order = np.argsort(term, kind="stable")
-        return len(asked), row[order], n[order].astype(np.float64), np.searchsorted(term[order], np.arange(len(number) + 1)), number
-
-    def score(prepared, corpus: pd.DataFrame) -> np.ndarray:
-        n_queries, query, weight, starts, number = prepared
-        out = np.zeros((n_queries, len(corpus)))
-        step = 128
-        for first in range(0, len(corpus), step):
-            row, term, n, _ = counted(corpus["terms"].iloc[first : first + step], number)
-            held = starts[term + 1] - starts[term]  # queries with that term
-            at = np.repeat(starts[term] - np.cumsum(held) + held, held) + np.arange(held.sum())
-            width = min(step, len(corpus) - first)
-            flat = np.bincount(query[at] * width + np.repeat(row, held), weight[at] * np.repeat(n, held), n_queries * width)
-            out[:, first : first + width] = flat.reshape(n_queries, width)
-        return np.where(out > 0, out, np.nan)
-
-    asked, held = _fresh(queries, "query_id", terms_of("text"), *filters), _fresh(points, "chunk_id", terms_of("text"), *filters)
-    n_bytes = F.coalesce(F.expr("aggregate(terms, 0L, (s, t) -> s + octet_length(t) + 64)"), F.lit(0))
-    return scored_top_k(asked, held, k, filters, n_bytes, prepare, score)
+    """V4 over points in place: their sparse vectors (`indices`, `values`), or else the term counts of their `text`, indexed block by block as
+    they are read."""
+    index = sparse_index(with_sparse(points), filters)
+    return sparse_search(with_sparse(queries), index, k, filters)
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -209,7 +357,7 @@ def rrf(lists: list[DataFrame], limit: int, constant: int = 60) -> DataFrame:
 
 def hybrid_search(queries: DataFrame, points: DataFrame, limit: int = 10, prefetch: int = 30, filters=("law_number",)) -> DataFrame:
     """V6: dense and sparse lists of `prefetch` each, filtered before their cuts, fused. queries: query_id, dense, text, filters;
-    points: chunk_id, dense, text, filters."""
+    points: chunk_id, dense, text, filters. Sparse vectors (`indices`, `values`) of either side take the place of its text."""
     return rrf([dense_top_k(queries, points, prefetch, filters), sparse_top_k(queries, points, prefetch, filters)], limit)
 
 

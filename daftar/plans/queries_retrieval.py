@@ -9,7 +9,7 @@ from daftar.operators import retrieval as R
 from daftar.operators.laws import FEMININE_NUMBERS
 
 from . import duck_text as D
-from .base import query
+from .base import folder, query
 
 CHUNKS = """SELECT doc_id, concat('c', lpad(CAST(doc_id AS STRING), 9, '0')) AS chunk_id, CASE WHEN lang = 'en' THEN 174 WHEN lang = 'fr' THEN 131 ELSE 7 END AS law_number,
   CASE WHEN lang = 'en' THEN 2025 WHEN lang = 'fr' THEN 1948 ELSE 2001 END AS law_year, CASE WHEN lang IN ('en', 'fr') THEN NULL ELSE concat('law ', lang) END AS law_name, CAST(doc_id % 4 + 1 AS INT) AS book_number,
@@ -39,9 +39,10 @@ def terms(rows: str, key: str) -> str:
     return f"SELECT {key}, term, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT {key}, unnest(regexp_split_to_array({D.normalize('lower(text)')}, '[ \n]+')) AS term FROM ({rows})) WHERE term <> '' GROUP BY ALL"
 
 
-def sparse(k: int, test: str = _PASS, queries: str = QUERIES) -> str:
+def sparse(k: int, test: str = _PASS, queries: str = QUERIES, weight: str = "1") -> str:
+    """weight: what a term's count on the points' side is multiplied by."""
     return top(
-        f"SELECT query_id, chunk_id, score FROM (SELECT a.query_id, b.chunk_id, sum(a.weight * b.weight) AS score FROM ({terms(queries, 'query_id')}) a JOIN ({terms(POINTS, 'chunk_id')}) b USING (term) GROUP BY ALL) s JOIN ({queries}) q USING (query_id) JOIN ({POINTS}) p USING (chunk_id) WHERE {test}",
+        f"SELECT query_id, chunk_id, score FROM (SELECT a.query_id, b.chunk_id, sum(a.weight * b.weight * {weight}) AS score FROM ({terms(queries, 'query_id')}) a JOIN ({terms(POINTS, 'chunk_id')}) b USING (term) GROUP BY ALL) s JOIN ({queries}) q USING (query_id) JOIN ({POINTS}) p USING (chunk_id) WHERE {test}",
         k,
     )
 
@@ -77,10 +78,29 @@ def v2_sparse_arrays(t):
     return found.select("chunk_id", F.size("values").cast("long").alias("n"), F.array_join("indices", " ").alias("terms"))
 
 
+def vectors(t, rows, key: str):
+    """V2's vectors of texts, as they are stored, beside the filters."""
+    found = R.sparse_vectors(R.postings(rows, key, "text"), key)
+    return rows.select(key, *R.FILTERS).join(found, key)
+
+
 @query(published_sql(sparse(30)))
 def v4_sparse_top_k(t):
-    """V4: inner product over shared terms, filtered before the cut."""
-    return published(R.sparse_top_k(t.sql(QUERIES), t.sql(POINTS), 30, ("law_number",)))
+    """V4: inner product over shared terms, filtered before the cut: V2's vectors of the points, indexed, stored, read back and searched."""
+    path = folder(t)
+    R.sparse_index(vectors(t, t.sql(POINTS), "chunk_id"), ("law_number",)).write.parquet(path)
+    return published(R.sparse_search(R.with_sparse(t.sql(QUERIES)), t.spark.read.parquet(path), 30, ("law_number",)))
+
+
+_SIGNED = "CASE WHEN md5(term) < '4' THEN -0.5 ELSE 1.25 END"
+
+
+@query(published_sql(sparse(5, weight=_SIGNED)))
+def v4_signed_weights(t):
+    """V4 with stored weights of either sign."""
+    weighted = R.postings(t.sql(POINTS), "chunk_id", "text").withColumn("weight", F.col("weight") * F.expr(_SIGNED).cast("double"))
+    held = t.sql(POINTS).select("chunk_id", "law_number").join(R.sparse_vectors(weighted, "chunk_id"), "chunk_id")
+    return published(R.sparse_top_k(t.sql(QUERIES), held, 5, ("law_number",)))
 
 
 @query(published_sql(fused(20, 10)))
@@ -92,8 +112,9 @@ def v5_rrf_fusion(t):
 
 @query(published_sql(fused(10, 30)))
 def v6_hybrid_search(t):
-    """Prefetch 30 each, fuse, keep 10."""
-    return published(R.hybrid_search(t.sql(QUERIES), t.sql(POINTS)))
+    """Prefetch 30 each, fuse, keep 10; the points bring V2's sparse vectors."""
+    points = t.sql(POINTS)
+    return published(R.hybrid_search(t.sql(QUERIES), points.join(vectors(t, points, "chunk_id").select("chunk_id", "indices", "values"), "chunk_id", "left")))
 
 
 def flagship(t):

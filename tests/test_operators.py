@@ -3,6 +3,7 @@
 from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,7 +151,7 @@ def test_plans_push_filters_and_columns_to_the_scan(spark):
 
 
 def test_monitored_rows_are_written_by_as_many_tasks_as_the_table_has_parts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(QS, "_folder", lambda t: f"file://{tmp_path}/st4")
+    monkeypatch.setattr(QS, "folder", lambda t: f"file://{tmp_path}/st4")
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.repartition(3).write.parquet(f"file://{tmp_path}/events.parquet")
     rates = QS.st4_score_rates(Tables(spark, f"file://{tmp_path}"))
@@ -160,11 +161,11 @@ def test_monitored_rows_are_written_by_as_many_tasks_as_the_table_has_parts(spar
 
 
 @pytest.mark.parametrize("top_k", [R.dense_top_k, R.sparse_top_k])
-def test_large_query_tables_meet_points_in_blocks(spark, monkeypatch, top_k):
+def test_large_query_tables_come_in_parts(spark, monkeypatch, top_k):
     t = Tables(spark, SF)
     queries, points = t.sql(QR.QUERIES), t.sql(QR.POINTS)
     whole = sorted(top_k(queries, points, 7, ("law_number",)).collect())
-    monkeypatch.setattr(R, "BROADCAST_BYTES", 1_000), monkeypatch.setattr(R, "POINT_BLOCK", 50), monkeypatch.setattr(R, "BATCH", 16)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 20_000), monkeypatch.setattr(R, "SCORE_BYTES", 1_000)
     found = sorted(top_k(queries, points, 7, ("law_number",)).collect())
     assert [(r.query_id, r.chunk_id, r.rank, round(r.score, 9)) for r in found] == [(r.query_id, r.chunk_id, r.rank, round(r.score, 9)) for r in whole]
     assert top_k(queries.limit(0), points, 7).count() == top_k(queries, points.limit(0), 7).count() == 0
@@ -205,3 +206,71 @@ def test_golden_questions_through_the_whole_engine(spark):
         assert chunk_id in mine and {r.route for r in mine.values()} == {route}
         assert route == "ranked" or len(mine) == 1
     assert {r.article_status for r in hits if r.query_id == 5} == {"repealed"}
+
+
+def sparse_rows(seed, n, signed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        terms = rng.choice(400, rng.integers(0, 25), replace=False)
+        weights = rng.exponential(1.0, len(terms)) * (rng.choice([1, -1], len(terms)) if signed else 1)
+        if i % 9 == 0 and rows:
+            terms, weights = rows[-1][1:3]  # ties
+        rows.append((i, terms, weights, int(rng.integers(3))))
+    return rows
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_sparse_search_by_force(spark, monkeypatch, signed):
+    """Small blocks, so that thresholds come from a first pass; ties, filters, empty vectors, both signs."""
+    monkeypatch.setattr(R, "SPARSE_POINTS", 32)
+    points, asked = sparse_rows(1, 3000, signed), sparse_rows(2, 40, signed)
+    frame = lambda rows, key: spark.createDataFrame([(i, [f"t{x}" for x in t], [float(x) for x in w], None if key == "query_id" and i % 2 else f) for i, t, w, f in rows], f"{key} int, indices array<string>, values array<double>, f int")
+    index = R.sparse_index(frame(points, "chunk_id").coalesce(4), ("f",))
+    assert index.count() >= 90
+    got = {}
+    for r in R.sparse_search(frame(asked, "query_id"), index, 6, ("f",)).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, round(r.score, 9))
+    dense = np.zeros((len(points), 400))
+    has = np.zeros((len(points), 400), bool)
+    for i, t, w, _ in points:
+        dense[i, t], has[i, t] = w, True
+    for q, t, w, f in asked:
+        scores, shares = np.round(dense[:, t] @ w, 9), has[:, t].any(1)
+        ok = [i for i in range(len(points)) if shares[i] and (q % 2 or points[i][3] == f)]
+        best = sorted(ok, key=lambda i: (-scores[i], i))[:6]
+        assert [c for _, (c, _) in sorted(got.get(q, {}).items())] == best
+        assert [s for _, (_, s) in sorted(got.get(q, {}).items())] == pytest.approx([scores[i] for i in best])
+
+
+def test_fewer_postings_are_read_for_fewer_results(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"t{x}" for x in rng.choice(50, 10, replace=False)], [float(x) for x in rng.exponential(1.0, 10) ** 3]) for i in range(4000)]
+    index = R.sparse_index(spark.createDataFrame(rows, "chunk_id int, indices array<string>, values array<double>").coalesce(1)).collect()
+    assert len(index) == 1
+    block = R.SparseBlock(index[0].asDict())
+    terms, weights = np.arange(8), np.ones(8)
+    of = int((block.starts[terms + 1] - block.starts[terms]).sum())
+    read = [block.search(terms, weights, k, -np.inf, None)[2] for k in (1, 10, 100, 4000)]
+    assert read == sorted(read) and read[0] < 0.35 * of and read[-1] == of
+    points, scores, _ = block.search(terms, weights, 10, -np.inf, None)
+    tenth = np.sort(scores)[-10]
+    assert block.search(terms, weights, 10, round(float(tenth), 9), None)[2] <= read[1]
+
+
+def test_bad_sparse_vectors_are_errors(spark):
+    for indices, values in ((["a", "a"], [1.0, 2.0]), (["a"], [1.0, 2.0]), (["a"], [float("nan")])):
+        with pytest.raises(Exception, match="sparse vector"):
+            R.sparse_index(spark.createDataFrame([(1, indices, values)], "chunk_id int, indices array<string>, values array<double>")).collect()
+
+
+def test_many_short_queries_stay_small(spark):
+    """200,000 queries in one part: a task's scores stay near SCORE_BYTES."""
+    queries = spark.range(200_000).select(F.col("id").alias("query_id"), F.array(F.cos("id"), F.sin("id")).alias("dense"))
+    points = spark.range(50).select(F.col("id").alias("chunk_id"), F.array(F.cos(F.col("id") / 8), F.sin(F.col("id") / 8)).alias("dense")).coalesce(1)
+    got = R.dense_top_k(queries, points, 1).select("query_id", "chunk_id").collect()
+    assert len(got) == 200_000
+    x = np.arange(200_000)
+    angle = np.abs((x[:, None] - np.arange(50)[None, :] / 8 + np.pi) % (2 * np.pi) - np.pi)
+    near = angle.min(1)
+    assert all(angle[r.query_id, r.chunk_id] < near[r.query_id] + 1e-4 for r in got)
