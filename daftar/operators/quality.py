@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,19 +39,33 @@ def rates(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by, "trace").pivot("name", list(SCORES)).agg(F.first("value")).rollup(*by).agg(F.count("*").alias("n"), *(F.avg(s).alias(s) for s in SCORES))
 
 
+def _cell(value: str) -> Column:
+    """A coarse place of a number that never falls as the number grows: 512 to each factor of e. NaN is the largest, as in sorting."""
+    v = F.col(value).cast("double")
+    size = F.least(F.floor(F.least(F.log1p(F.abs(v) * 1000.0), F.lit(1e6)) * 512), F.lit(10**9))
+    return F.when(F.isnan(v), F.lit(10**10)).otherwise(F.signum(v).cast("long") * size)
+
+
 def index_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Q4: p50 and p95 at the indexes n // 2 and min(n - 1, int(0.95 n)) of the sorted values, and the mean.
 
-    Values are counted first, so what is numbered and sorted is the distinct values of a group.
+    Selection in two passes: a histogram of every group (cells summed where rows lie) names the cells that hold the two indexes; of the
+    values in those cells alone the distinct ones are counted and numbered. So no window holds a group's values, only its cells, or the
+    values of two narrow ones.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    order = W.partitionBy(by).orderBy(value)
-    until = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("n").over(W.partitionBy(by))
-    placed = counts.withColumn("until", until).withColumn("total", total)
-    at = lambda i: F.min(F.when(F.col("until") > i, F.col(value)))
-    p95 = F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(0.95)))
-    return placed.groupBy(by).agg(F.max("total").alias("n"), at(F.floor(F.col("total") / 2)).alias("p50"), at(p95).alias("p95"), (F.sum(F.col(value) * F.col("n")) / F.max("total")).alias("mean"))
+    known = rows.where(F.col(value).isNotNull()).select(F.struct(F.col(by).alias("g")).alias("_g"), F.col(value).alias("_v")).withColumn("_c", _cell("_v"))
+    cells = known.groupBy("_g", "_c").agg(F.count("*").alias("n"), F.sum("_v").alias("_sum"))
+    group = W.partitionBy("_g")
+    placed = cells.withColumn("_until", F.sum("n").over(group.orderBy("_c"))).withColumn("_total", F.sum("n").over(group)).withColumn("_sum", F.sum("_sum").over(group))
+    p95 = F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(0.95)))
+    wanted = placed.withColumn("_i", F.explode(F.array(F.struct(F.lit("p50").alias("name"), F.floor(F.col("_total") / 2).alias("at")), F.struct(F.lit("p95").alias("name"), p95.alias("at")))))
+    wanted = wanted.where((F.col("_i.at") < F.col("_until")) & (F.col("_i.at") >= F.col("_until") - F.col("n")))
+    targets = wanted.select("_g", "_c", F.col("_i.name").alias("_name"), (F.col("_i.at") - F.col("_until") + F.col("n")).alias("_at"), "_total", "_sum")
+    counts = known.join(targets.select("_g", "_c").distinct(), ["_g", "_c"], "left_semi").groupBy("_g", "_c", "_v").agg(F.count("*").alias("n"))
+    numbered = counts.withColumn("_until", F.sum("n").over(W.partitionBy("_g", "_c").orderBy("_v")))
+    found = numbered.join(targets, ["_g", "_c"]).where((F.col("_at") < F.col("_until")) & (F.col("_at") >= F.col("_until") - F.col("n")))
+    one = lambda name: F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name)
+    return found.groupBy(F.col("_g.g").alias(by)).agg(F.max("_total").alias("n"), one("p50"), one("p95"), (F.max("_sum") / F.max("_total")).alias("mean"))
 
 
 def span_summary(spans: DataFrame, required: tuple[str, ...]) -> DataFrame:
@@ -165,32 +181,65 @@ def attempts_in_window(requests: DataFrame, seconds: int = 600) -> DataFrame:
     return requests.withColumn("n", F.count("*").over(window))
 
 
+def independent_runs(requests: DataFrame, seconds: int) -> DataFrame:
+    """key, id, ts, start: each key's attempts cut where none came for `seconds`, named by the run's first time. What is before a cut has left
+    every window after it, so runs are decided apart.
+
+    A key is looked through in slices of time, so one that has a third of all rows lies in many tasks; of each slice only its last
+    attempt and last cut go to the later ones.
+    """
+    micros = seconds * 1_000_000
+    rows = requests.select("key", "id", "ts", F.unix_micros("ts").alias("_t")).withColumn("_s", F.floor(F.col("_t") / (64 * micros)))
+    inside, slices = W.partitionBy("key", "_s").orderBy("_t", "id"), W.partitionBy("key").orderBy("_s")
+    ends = rows.groupBy("key", "_s").agg(F.max("_t").alias("_m")).withColumn("_before", F.lag("_m").over(slices)).select("key", "_s", "_before")
+    met = lambda df, other, *names: df.join(other.select(F.col("key").alias("_k"), F.col("_s").alias("_z"), *names), F.col("key").eqNullSafe(F.col("_k")) & F.col("_s").eqNullSafe(F.col("_z")), "left").drop("_k", "_z")
+    rows = met(rows, ends, "_before")
+    before = F.coalesce(F.lag("_t").over(inside), "_before")
+    rows = rows.withColumn("_cut", F.when(before.isNull() | (F.col("_t") - before >= micros), F.col("_t")))
+    last = W.partitionBy("key").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    cuts = rows.groupBy("key", "_s").agg(F.max("_cut").alias("_x")).withColumn("_earlier", F.last("_x", ignorenulls=True).over(last))
+    rows = met(rows, cuts, "_earlier")
+    start = F.coalesce(F.last("_cut", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "_earlier")
+    return rows.select("key", "id", "ts", start.alias("start"))
+
+
+def accept(times: Iterable[int], held: deque, limit: int, width: int) -> list[bool]:
+    """Whether each time, in order, has under `limit` accepted ones in the window before it; held: the last accepted ones."""
+    out = []
+    for t in times:
+        while held and t - held[0] >= width:
+            held.popleft()
+        ok = len(held) < limit
+        if ok:
+            held.append(t)
+        out.append(ok)
+    return out
+
+
 def rate_limited(requests: DataFrame, limit: int = 5, seconds: int = 600) -> DataFrame:
     """Q17, exact: adds accepted: under `limit` accepted attempts of the key in the trailing window; rejected ones don't count.
 
-    The decision depends on each earlier one of the key, so a key's rows pass one task in order, as a stream that holds only the last
-    `limit` accepted times.
+    The decision depends on each earlier one since the key last paused for a window's length. Keys are cut there, and each run passes a
+    task in order, of which only the last `limit` accepted times are held.
     """
-    schema = requests.select("key", "id", "ts")
-
-    def run(parts):
-        key, held = None, deque()
-        for part in parts:
-            out = []
-            for k, ts in zip(part["key"], part["ts"], strict=True):
-                if k != key:
-                    key, held = k, deque()
-                while held and (ts - held[0]).total_seconds() >= seconds:
-                    held.popleft()
-                ok = len(held) < limit
-                if ok:
-                    held.append(ts)
-                out.append(ok)
-            yield part.assign(accepted=pd.array(out, dtype="boolean"))
-
-    dealt = schema.repartition("key").sortWithinPartitions("key", "ts", "id")
-    kind = dict(schema.dtypes)
-    return dealt.mapInPandas(run, f"key {kind['key']}, id {kind['id']}, ts timestamp, accepted boolean")
+    kind = dict(requests.dtypes)
+
+    def run(batches):
+        now, held = None, deque()
+        for b in batches:
+            keys, starts, times = b.column("key").to_pylist(), b.column("start").to_pylist(), b.column("_t").to_pylist()
+            out, i = [], 0
+            for (key, start), group in groupby(zip(keys, starts, strict=True)):
+                n = sum(1 for _ in group)
+                if (key, start) != now:
+                    now, held = (key, start), deque()
+                out += accept(times[i : i + n], held, limit, seconds * 1_000_000)
+                i += n
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), b.column("ts"), pa.array(out, pa.bool_())], ["key", "id", "ts", "accepted"])
+
+    runs = independent_runs(requests, seconds).withColumn("_t", F.unix_micros("ts"))
+    dealt = runs.repartition("key", "start").sortWithinPartitions("key", "start", "_t", "id")
+    return dealt.mapInArrow(run, f"key {kind['key']}, id {kind['id']}, ts timestamp, accepted boolean")
 
 
 def persistence_checks(messages: DataFrame, least: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -511,3 +512,45 @@ def encode_all(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFra
     """V1 with a row for every text: those without terms have the zero vector."""
     zero = F.array_repeat(F.lit(0.0), size)
     return texts.select(key).join(encode(texts, key, text, size), key, "left").withColumn("dense", F.coalesce("dense", zero))
+
+
+#: Models that this Python worker has loaded, by name.
+_LOADED: dict = {}
+
+
+def encode_in_workers(texts: DataFrame, key: str, text: str, name: str, load: Callable[[], Callable], limit: int = 1_536, batch_tokens: int = 16_384, window: int = 2_048) -> DataFrame:
+    """V1 with a model: key, dense, indices, values of every text, dense and sparse out of one call.
+
+    load() makes an encoder, once in each Python worker and name; that takes a list of token lists, each cut after `limit` tokens, and
+    gives as many (dense vector, {term: weight}). A window of texts is put in the order of their lengths and called in batches whose longest
+    text times their number stays within batch_tokens, so short texts are not padded to long ones. Null texts have no tokens.
+    Rows keep their number; nothing else of them is held than a window.
+    """
+    kind = dict(texts.dtypes)[key]
+    tokens = texts.select(F.col(key).alias("_key"), F.slice(terms_of(text), 1, limit).alias("_terms"))
+
+    def run(it):
+        from daftar.operators import retrieval as home  # the worker's own module; a global of this function would travel with each task
+
+        if name not in home._LOADED:
+            home._LOADED[name] = load()
+        model = home._LOADED[name]
+        for batch in it:
+            for at in range(0, batch.num_rows, window):
+                rows = batch.slice(at, window)
+                words = rows.column("_terms").to_pylist()
+                order = sorted(range(len(words)), key=lambda i: len(words[i]))
+                made: list = [None] * len(words)
+                while order:
+                    n = 1
+                    while n <= len(order) and n * len(words[order[n - 1]]) <= batch_tokens:
+                        n += 1
+                    n = max(1, n - 1)
+                    now, order = order[:n], order[n:]
+                    for i, v in zip(now, model([words[i] for i in now]), strict=True):
+                        made[i] = v
+                sparse = [sorted(s.items()) for _, s in made]
+                columns = [rows.column("_key"), pa.array([[float(x) for x in d] for d, _ in made], pa.list_(pa.float64())), pa.array([[t for t, _ in s] for s in sparse], pa.list_(pa.string())), pa.array([[float(w) for _, w in s] for s in sparse], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "dense", "indices", "values"])
+
+    return tokens.mapInArrow(run, f"{key} {kind}, dense array<double>, indices array<string>, values array<double>")

@@ -1,12 +1,18 @@
-"""Lines of statutes to articles with their hierarchy (L1-L22), by windows over one exchange on doc_id.
+"""Lines of statutes to articles with their hierarchy (L1-L22), over one exchange on doc_id.
 
-A line is classified by patterns; what depends on its place (enacting articles, titles of bare headers, lists that an article opens)
-follows from running windows. Two choices of ours: title lines of a bare header belong to no body, and a glued header's first
+A line is marked by patterns in the JVM; what depends on its place (enacting articles, titles of bare headers, lists that an article
+opens, the hierarchy) follows from one pass with a small state, which also starts in the middle of a document. Two choices of ours: title lines of a bare header belong to no body, and a glued header's first
 text is cut from the line as it stands.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,15 +48,18 @@ def lines(pages: DataFrame) -> DataFrame:
     return normalised(rows)
 
 
-def normalised(rows: DataFrame) -> DataFrame:
-    """The derived columns for rows of doc_id, page_number, pos, line. What follows a line is looked up within its page; the exchange
-    is on doc_id alone, so that all later windows reuse it. Their work is patterns over few bytes, so the number of tasks is the
-    session's and not fitted to bytes."""
+def normalised(rows: DataFrame, pages_per_block: int | None = None) -> DataFrame:
+    """The derived columns for rows of doc_id, page_number, pos, line. What follows a line is looked up within its page; the one exchange
+    is on doc_id, or, with pages_per_block, on blocks of so many pages, so that a document of any length lies in many tasks. Their work is
+    patterns over few bytes, so the number of tasks is the session's and not fitted to bytes."""
+    keys = ["doc_id"] + ["block"] * bool(pages_per_block)
+    if pages_per_block:
+        rows = rows.withColumn("block", F.floor(F.col("page_number") / pages_per_block))
     norm = A.normalize_for_match(F.col("line"))
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").withColumn("norm", norm).withColumn("na", A.arabic_to_ascii(F.col("norm")))
-    furniture = (F.col("norm").contains("الجريدة الرسمية") & F.col("norm").contains("العدد")) | A.arabic_to_ascii(F.col("line")).rlike("^[0-9]+$")
-    after = F.lead("line").over(W.partitionBy("doc_id", "page_number").orderBy("pos"))
-    return rows.withColumn("furniture", furniture).withColumn("following", after)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("norm", norm).withColumn("na", A.arabic_to_ascii(F.col("norm")))
+    furniture = (F.col("norm").contains("الجريدة الرسمية") & F.col("norm").contains("العدد")) | F.col("line").rlike(f"^[{A.ASCII_DIGITS}{A.ARABIC_DIGITS}{A.EASTERN_DIGITS}]+$")
+    page = W.partitionBy(*keys, "page_number").orderBy("pos")
+    return rows.withColumn("furniture", furniture).withColumn("following", F.lead("line").over(page)).withColumn("following_na", F.lead("na").over(page))
 
 
 def _words(c: Column) -> Column:
@@ -58,28 +67,31 @@ def _words(c: Column) -> Column:
 
 
 def shapes() -> Column:
-    """L3 to L11 as far as a line and its follower tell: the first kind that fits."""
-    norm, na, line = F.col("norm"), F.col("na"), F.col("line")
-    next_norm = A.normalize_for_match(F.coalesce("following", F.lit("")))
-    next_na = A.arabic_to_ascii(next_norm)
-    ascii_line = A.arabic_to_ascii(line)
+    """L3 to L11 as far as a line and its follower tell: the first kind that fits. A test of how a line begins or ends stands before each
+    pattern, as few lines are of any kind."""
+    norm, na, line, next_na = F.col("norm"), F.col("na"), F.col("line"), F.coalesce("following_na", F.lit(""))
+    begins = lambda *words: reduce(lambda a, b: a | b, [norm.startswith(w) for w in words])
+    of = lambda level: norm.startswith(KEYWORDS[level])
+    numbered = F.substring(line, 1, 1).isin("-", ".", *A.ASCII_DIGITS, *A.ARABIC_DIGITS, *A.EASTERN_DIGITS)
+    article = na.startswith("ال") | na.startswith("ماد")
     no_paren = ~line.rlike("^[()]")
+    colon = line.endswith(":") | line.endswith("：")
     title = F.regexp_extract(line, LABEL, 1)
     last_word = F.regexp_extract(A.normalize_for_match(title), r"(\S+)\s*$", 1)
     return (
-        F.when(norm.rlike(INLINE["division"]) | norm.rlike(BARE["division"]), "division")
-        .when(norm.rlike(BANNER), F.when(F.regexp_extract(norm, BANNER, 2) != "", "banner").otherwise("book"))
-        .when(norm.rlike(BARE["book"]), "book")
-        .when(norm.rlike(INLINE["part"]) | norm.rlike(BARE["part"]), "part")
-        .when(norm.rlike(PREAMBLE), "preamble")
-        .when(norm.rlike(CHAPTER), "chapter")
-        .when(norm.rlike(ISSUANCE), "ordinal")
-        .when(na.rlike(ARTICLE), "article")
-        .when(na.rlike(GLUED), "glued")
-        .when(na.rlike(RANGE), "range")
-        .when(ascii_line.rlike(SECTION) & (F.length(line) < 80) & no_paren, "section")
-        .when(line.rlike(LABEL) & no_paren & (next_na.rlike(ARTICLE) | next_na.rlike(GLUED)) & ~last_word.isin(*FORWARD) & (_words(title) <= 6), "subsection")
-        .when(~line.rlike("[:：]$") & (_words(line) <= 6) & (F.length(line) < 60) & next_na.rlike(RANGE), "label")
+        F.when(of("division") & (norm.rlike(INLINE["division"]) | norm.rlike(BARE["division"])), "division")
+        .when(of("book") & norm.rlike(BANNER), F.when(F.regexp_extract(norm, BANNER, 2) != "", "banner").otherwise("book"))
+        .when(of("book") & norm.rlike(BARE["book"]), "book")
+        .when(of("part") & (norm.rlike(INLINE["part"]) | norm.rlike(BARE["part"])), "part")
+        .when(begins("باب") & norm.rlike(PREAMBLE), "preamble")
+        .when(of("chapter") & norm.rlike(CHAPTER), "chapter")
+        .when(begins("ال", "(", ")", " ") & norm.rlike(ISSUANCE), "ordinal")
+        .when(article & na.rlike(ARTICLE), "article")
+        .when(article & na.rlike(GLUED), "glued")
+        .when(begins("المواد") & na.rlike(RANGE), "range")
+        .when(numbered & A.arabic_to_ascii(line).rlike(SECTION) & (F.length(line) < 80) & no_paren, "section")
+        .when(colon & line.rlike(LABEL) & no_paren & (next_na.rlike(ARTICLE) | next_na.rlike(GLUED)) & ~last_word.isin(*FORWARD) & (_words(title) <= 6), "subsection")
+        .when(next_na.startswith("المواد") & ~colon & (F.length(line) < 60) & (_words(line) <= 6) & next_na.rlike(RANGE), "label")
         .otherwise("body")
     )
 
@@ -92,99 +104,271 @@ def faithful_tail(line: Column, dashes: Column, words: Column) -> Column:
     return A.strip(F.when(F.size(parts) > dashes, after_dash).when(words > 0, after_words).otherwise(""))
 
 
-def classify(rows: DataFrame) -> DataFrame:
-    """Adds kind, number, number2, title, seed, session to the lines without furniture."""
-    at = W.partitionBy("doc_id").orderBy("pos")
-    until, before = at.rowsBetween(W.unboundedPreceding, 0), at.rowsBetween(W.unboundedPreceding, -1)
+def marked(rows: DataFrame) -> DataFrame:
+    """What a line says by itself, whatever stands before it (L3 to L13, L17): shape, number, number2, title, seed, bare (its title is on the
+    lines below), ends (its text ends a sentence), opens (and announces a list that follows)."""
     rows = rows.where("not furniture").withColumn("shape", shapes())
-    seen = F.coalesce(F.max(F.col("shape").isin(*STRUCTURAL)).over(before), F.lit(False))
-    kind = (
-        F.when(F.col("shape").isin("ordinal", "glued") & ~F.col("_seen"), "issuance").when(F.col("shape") == "glued", "article").when(F.col("shape") == "ordinal", "body").otherwise(F.col("shape"))
-    )
-    rows = rows.withColumn("_seen", seen).withColumn("kind", kind)
-    # Body lines of the page after a bare header, up to any other kind, are its title
-    bare = F.col("norm").rlike("|".join(BARE.values())) | ((F.col("kind") == "preamble") & (F.regexp_extract("norm", PREAMBLE, 1) == "")) | ((F.col("kind") == "chapter") & (F.trim(F.regexp_extract("norm", CHAPTER, 2)) == ""))
-    rows = rows.withColumn("_bare", F.col("kind").isin(*STRUCTURAL) & bare)
-    rows = rows.withColumn("_run", F.sum((F.col("kind") != "body").cast("int")).over(until))
-    in_run = W.partitionBy("doc_id", "_run").orderBy("pos")
-    head_bare = F.first("_bare").over(in_run) & (F.first("page_number").over(in_run) == F.col("page_number"))
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "body") & head_bare, "title").otherwise(F.col("kind")))
-    whole_run = W.partitionBy("doc_id", "_run").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    below = F.array_join(F.collect_list(F.when(F.col("kind") == "title", F.col("line"))).over(whole_run), " ")
-    norm, na = F.col("norm"), F.col("na")
+    norm, na, line, shape = F.col("norm"), F.col("na"), F.col("line"), F.col("shape")
     pick = lambda pattern, group, source=norm: F.regexp_extract(source, pattern, group)
-    word = (
-        F.when(F.col("kind") == "division", F.regexp_extract(norm, f"^{KEYWORDS['division']}\\s+{ORD}", 1))
-        .when(F.col("kind").isin("book", "banner"), F.regexp_extract(norm, f"^{KEYWORDS['book']}\\s+{ORD}", 1))
-        .when(F.col("kind") == "part", F.regexp_extract(norm, f"^{KEYWORDS['part']}\\s+{ORD}", 1))
-        .when(F.col("kind") == "chapter", F.regexp_extract(norm, f"^{KEYWORDS['chapter']}\\s+{ORD}", 1))
-    )
-    ascii_line = A.arabic_to_ascii(F.col("line"))
+    number_of = lambda c: F.nullif(c, F.lit("")).try_cast("int")
+    bare = norm.rlike("|".join(BARE.values())) | ((shape == "preamble") & (pick(PREAMBLE, 1) == "")) | ((shape == "chapter") & (F.trim(pick(CHAPTER, 2)) == ""))
+    headers = {"division": ("division",), "book": ("book", "banner"), "part": ("part",), "chapter": ("chapter",)}
+    word = F.coalesce(*(F.when(shape.isin(*kinds), pick(f"^{KEYWORDS[level]}\\s+{ORD}", 1)) for level, kinds in headers.items()))
+    opening, ascii_line = shape.isin("ordinal", "article", "glued"), A.arabic_to_ascii(line)
     number = (
-        F.when(F.col("kind").isin("division", "book", "banner", "part", "chapter"), lookup(word, ORDINAL_NUMBERS))
-        .when(F.col("kind").isin(*OPENING), F.coalesce(lookup(pick(ISSUANCE, 1), FEMININE_NUMBERS), F.nullif(pick(ARTICLE, 1, na), F.lit("")).try_cast("int"), F.nullif(pick(GLUED, 2, na), F.lit("")).try_cast("int")))
-        .when(F.col("kind") == "range", pick(RANGE, 1, na).try_cast("int"))
-        .when(F.col("kind") == "section", F.coalesce(F.nullif(pick(SECTION, 1, ascii_line), F.lit("")), pick(SECTION, 2, ascii_line)).try_cast("int"))
+        F.when(shape.isin("division", "book", "banner", "part", "chapter"), lookup(word, ORDINAL_NUMBERS))
+        .when(opening, F.coalesce(lookup(pick(ISSUANCE, 1), FEMININE_NUMBERS), number_of(pick(ARTICLE, 1, na)), number_of(pick(GLUED, 2, na))))
+        .when(shape == "range", number_of(pick(RANGE, 1, na)))
+        .when(shape == "section", F.coalesce(number_of(pick(SECTION, 1, ascii_line)), number_of(pick(SECTION, 2, ascii_line))))
     )
-    number2 = F.when(F.col("kind") == "banner", lookup(pick(BANNER, 2), ORDINAL_NUMBERS)).when(F.col("kind") == "range", pick(RANGE, 2, na).try_cast("int"))
-    words = F.when(F.col("kind") == "chapter", 1 + F.size(F.split(word, " "))).when(F.col("kind") == "preamble", 2).otherwise(0)
+    number2 = F.when(shape == "banner", lookup(pick(BANNER, 2), ORDINAL_NUMBERS)).when(shape == "range", number_of(pick(RANGE, 2, na)))
+    words = F.when(shape == "chapter", 1 + F.size(F.split(word, " "))).when(shape == "preamble", 2).otherwise(0)
     title = (
-        F.when(F.col("_bare"), below)
-        .when(F.col("kind").isin(*STRUCTURAL), faithful_tail(F.col("line"), F.when(F.col("kind") == "banner", 2).otherwise(1), words))
-        .when(F.col("kind") == "section", A.strip(pick(SECTION, 3, ascii_line)))
-        .when(F.col("kind") == "subsection", A.strip(pick(LABEL, 1, F.col("line"))))
-        .when(F.col("kind") == "label", F.col("line"))
+        F.when(shape.isin(*STRUCTURAL), faithful_tail(line, F.when(shape == "banner", 2).otherwise(1), words))
+        .when(shape == "section", A.strip(pick(SECTION, 3, ascii_line)))
+        .when(shape == "subsection", A.strip(pick(LABEL, 1, line)))
+        .when(shape == "label", line)
     )
-    clause, rest = pick(RAW_GLUED, 1, F.col("line")), pick(RAW_GLUED, 2, F.col("line"))
-    seed = F.when(F.col("kind").isin(*OPENING) & na.rlike(GLUED), A.strip(F.when(clause != "", F.concat(F.lit("("), clause, F.lit(") "), F.ltrim(rest))).otherwise(rest)))
-    rows = rows.withColumn("number", number).withColumn("number2", number2).withColumn("title", title).withColumn("seed", F.nullif(seed, F.lit("")))
-    # Sessions, and the list that an article's opening sentence announces
-    rows = rows.withColumn("session", F.sum(F.col("kind").isin(*OPENING).cast("int")).over(until))
-    text = F.when(F.col("kind") == "body", F.col("line")).when(F.col("kind").isin(*OPENING), F.col("seed"))
-    session = W.partitionBy("doc_id", "session").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ends, colon = F.rtrim(text).rlike("[.:：؟]$"), F.rtrim(text).rlike("[:：]$")
-    before_list = colon & F.coalesce(A.arabic_to_ascii(F.col("following")).rlike(SECTION), F.lit(False))
-    first_end = F.min(F.when(ends, F.struct("pos", before_list.alias("list")))).over(session)
-    first_close = F.min(F.when(F.col("kind").isin(*CLOSING), F.col("pos"))).over(session)
-    rows = rows.withColumn("_e", first_end).withColumn("_c", first_close)
-    flagged = F.coalesce((F.col("session") > 0) & F.col("_e.list") & (F.col("_c").isNull() | (F.col("_e.pos") < F.col("_c"))), F.lit(False))
-    rows = rows.withColumn("_flagged", flagged)
-    rows = rows.withColumn("_inside", F.col("_flagged") & F.col("kind").isin(*CLOSING))
-    inside = F.col("_inside")
-    rows = rows.withColumn("kind", F.when(inside, "body").otherwise(F.col("kind")))
-    for c in ("number", "number2", "title"):
-        rows = rows.withColumn(c, F.when(~inside, F.col(c)))
-    closed = (F.col("session") == 0) | F.coalesce(~F.col("_flagged") & (F.col("pos") >= F.col("_c")), F.lit(False))
-    return rows.withColumn("closed", closed).select("doc_id", "page_number", "pos", "line", "kind", "number", "number2", "title", "seed", "session", "closed")
+    clause, rest = pick(RAW_GLUED, 1, line), pick(RAW_GLUED, 2, line)
+    seed = F.when(opening & na.rlike(GLUED), A.strip(F.when(clause != "", F.concat(F.lit("("), clause, F.lit(") "), F.ltrim(rest))).otherwise(rest)))
+    rows = rows.withColumn("seed", F.nullif(seed, F.lit("")))
+    last = F.substring(F.rtrim(F.when(shape.isin("body", "ordinal"), line).when(opening, F.col("seed"))), -1, 1)
+    opens = last.isin(":", "：") & F.coalesce(A.arabic_to_ascii(F.col("following")).rlike(SECTION), F.lit(False))
+    block = "block" if "block" in rows.columns else F.lit(0).cast("long").alias("block")
+    return rows.select(
+        "doc_id", block, "page_number", "pos", "line", "shape", number.alias("number"), number2.alias("number2"), title.alias("title"), "seed", F.coalesce(shape.isin(*STRUCTURAL) & bare, F.lit(False)).alias("bare"),
+        F.coalesce(last.isin(".", ":", "：", "؟"), F.lit(False)).alias("ends"), F.coalesce(opens, F.lit(False)).alias("opens"),
+    )
+
+
+LEVELS = ("division", "book", "part", "chapter", "section")
+#: Levels whose number a kind gives (by the column it is in; 0: cleared), and the one whose title it gives.
+MARKS = {
+    "division": ({0: "number"}, 0), "book": ({1: "number"}, 1), "banner": ({1: "number", 2: "number2"}, 2), "part": ({2: "number"}, 2),
+    "preamble": ({0: None, 1: None, 2: None}, 2), "chapter": ({3: "number"}, 3), "section": ({4: "number"}, 4),
+}
+
+
+class Reader:
+    """What the lines so far leave in force: the state of the one pass over a document."""
+
+    def __init__(self, saved: str | None = None):
+        self.seen, self.session, self.end, self.closing, self.flagged = False, 0, None, False, False
+        self.numbers, self.titles, self.label = [None] * 5, [None] * 5, None
+        if saved:
+            self.__dict__.update(json.loads(saved))
+        self.context = self._context()
+
+    def saved(self) -> str:
+        return json.dumps({k: v for k, v in self.__dict__.items() if k != "context"})
+
+    def _context(self) -> tuple:
+        pairs = [x for n, t in zip(self.numbers, self.titles, strict=True) for x in (n or None, t)]
+        return (*pairs, "preamble" if self.numbers[2] == 0 else "normal", self.label)
+
+    def kind(self, shape: str) -> str:
+        """Enacting articles stand before the first header."""
+        if shape == "ordinal":
+            return "body" if self.seen else "issuance"
+        if shape == "glued":
+            return "article" if self.seen else "issuance"
+        return shape
+
+    def text(self, ends: bool, opens: bool) -> None:
+        """Whether an article's first sentence announces a list."""
+        if ends and self.end is None:
+            self.end = opens
+
+    def header(self, kind: str, number, number2, title, seed, ends: bool, opens: bool) -> str:
+        """A line that is no body; its kind, which is body for what an announced list holds."""
+        if kind in OPENING:
+            self.session += 1
+            self.end, self.closing, self.flagged = None, False, False
+            if seed is not None:
+                self.text(ends, opens)
+            return kind
+        if kind in CLOSING:
+            if not self.closing:
+                self.closing, self.flagged = True, self.session > 0 and self.end is True
+            if self.flagged:
+                return "body"
+        elif kind in STRUCTURAL:
+            self.seen = True
+        if kind in MARKS:
+            self._mark(*MARKS[kind], {"number": number, "number2": number2, None: 0}, title)
+        elif kind != "range" and title is not None:
+            self.label = title
+        self.context = self._context()
+        return kind
+
+    def _mark(self, levels: dict, titled: int, given: dict, title) -> None:
+        """A changed number clears all below it; a repeated one may fill a missing title."""
+        above = False
+        for i in range(5):
+            before = None if above else self.numbers[i]
+            after = given[levels[i]] if i in levels and given[levels[i]] is not None else before
+            changed = above or after != before
+            if changed:
+                self.titles[i] = None
+            self.numbers[i] = after
+            if i == titled and title and self.titles[i] is None:
+                self.titles[i] = title
+            above = changed
+        if above:
+            self.label = None
+
+    @property
+    def closed(self) -> bool:
+        return self.session == 0 or (self.closing and not self.flagged)
+
+
+def _titled(c: dict, line, i: int, n: int) -> int:
+    """Where the title lines of the bare header i end: body lines of its page."""
+    j = i + 1
+    while j < n and c["shape"][j] in ("body", "ordinal") and c["page_number"][j] == c["page_number"][i] and c["doc_id"][j] == c["doc_id"][i]:
+        j += 1
+    return j
+
+
+_TOLD = ["doc_id", "block", "page_number", "shape", "number", "number2", "title", "seed", "bare", "ends", "opens"]
+
+
+def _whole_titles(it):
+    """Batches as tables cut where no bare header's title lines can go on."""
+    left = None
+    for b in it:
+        t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+        bare = np.flatnonzero(t.column("bare").to_numpy())
+        cut = n = t.num_rows
+        if len(bare):
+            tail = t.slice(int(bare[-1])).select(["shape", "page_number", "doc_id"]).to_pydict()
+            if all(s in ("body", "ordinal") for s in tail["shape"][1:]) and len(set(zip(tail["page_number"], tail["doc_id"], strict=True))) == 1:
+                cut = int(bare[-1])
+        if cut:
+            yield t.slice(0, cut)
+        left = t.slice(cut) if cut < n else None
+    if left is not None:
+        yield left
+
+
+def _parse(it):
+    """L12 to L18 in one pass: every line's kind and what is in force at it. A line of shape `state` brings a block's beginning."""
+    reader, now = Reader(), None
+    for t in _whole_titles(it):
+        c, line = {k: t.column(k).to_pylist() for k in _TOLD}, t.column("line")
+        n, i = t.num_rows, 0
+        kinds, numbers, numbers2, titles, seeds = ["body"] * n, [None] * n, [None] * n, [None] * n, [None] * n
+        sessions, closed, contexts, kept = [0] * n, [False] * n, [()] * n, [True] * n
+        shapes_, ends, opens = c["shape"], c["ends"], c["opens"]
+        keys = list(zip(c["doc_id"], c["block"], strict=True))
+        while i < n:
+            if keys[i] != now:
+                reader, now = Reader(), keys[i]
+            shape = shapes_[i]
+            if shape == "state":
+                reader, kept[i] = Reader(c["title"][i]), False
+                contexts[i] = reader.context
+                i += 1
+                continue
+            kind = shape if shape == "body" else reader.kind(shape)
+            if kind == "body":
+                reader.text(ends[i], opens[i])
+                j = i + 1
+            else:
+                title, j = c["title"][i], i + 1
+                if c["bare"][i]:
+                    j = _titled(c, line, i, n)
+                    title = " ".join(line[k].as_py() for k in range(i + 1, j))
+                first = reader.header(kind, c["number"][i], c["number2"][i], title, c["seed"][i], ends[i], opens[i])
+                kinds[i] = first
+                if first == kind:
+                    numbers[i], numbers2[i], titles[i], seeds[i] = c["number"][i], c["number2"][i], title, c["seed"][i]
+                for k in range(i + 1, j):
+                    kinds[k] = "title"
+            session, shut, context = reader.session, reader.closed, reader.context
+            for k in range(i, j):
+                sessions[k], closed[k], contexts[k] = session, shut, context
+            i = j
+        made = [pa.array(kinds, pa.string()), pa.array(numbers, pa.int32()), pa.array(numbers2, pa.int32()), pa.array(titles, pa.string()), pa.array(seeds, pa.string()), pa.array(sessions, pa.int64()), pa.array(closed, pa.bool_())]
+        made += [pa.array(v, pa.int32() if i < 10 and i % 2 == 0 else pa.string()) for i, v in enumerate(zip(*contexts, strict=True))]
+        given = [t.column(k).combine_chunks() for k in ("doc_id", "page_number", "pos", "line")]
+        out = pa.RecordBatch.from_arrays([*given, *made], ["doc_id", "page_number", "pos", "line", "kind", "number", "number2", "title", "seed", "session", "closed", *CONTEXT])
+        yield out if all(kept) else out.filter(pa.array(kept))
+
+
+def _events(it):
+    """Of each block the lines that can change a state, and one of shape `start`: headers with their titles, and of the other lines the
+    first that ends a sentence after each."""
+    now, ended = None, False
+    for t in _whole_titles(it):
+        c, line = {k: t.column(k).to_pylist() for k in _TOLD}, t.column("line")
+        keep, shapes_, titles, i, n, seen = [], list(c["shape"]), list(c["title"]), 0, t.num_rows, False
+        while i < n:
+            key = (c["doc_id"][i], c["block"][i])
+            if key != now:
+                now, ended, seen = key, False, False
+                keep.append((i, "start", None))
+            shape, j = shapes_[i], i + 1
+            if c["bare"][i]:
+                j = _titled(c, line, i, n)
+                titles[i] = " ".join(line[k].as_py() for k in range(i + 1, j))
+            if shape != "body":
+                keep.append((i, shape, titles[i]))
+                ended = False
+            elif c["ends"][i] and not ended:
+                keep.append((i, shape, None))
+                ended = True
+            i = j
+        if keep:
+            at = pa.array([k[0] for k in keep])
+            part = t.take(at).combine_chunks().to_batches()[0]
+            swap = {"shape": pa.array([k[1] for k in keep], pa.string()), "title": pa.array([k[2] for k in keep], pa.string())}
+            names = [k for k in part.schema.names if k != "line"]
+            yield pa.RecordBatch.from_arrays([swap[k] if k in swap else part.column(k) for k in names], names)
+
+
+def _beginnings(t: pa.Table) -> pa.Table:
+    """The state before each block of one document, by a pass over its events."""
+    rows = t.to_pylist()
+    rows.sort(key=lambda r: (r["block"], r["pos"], r["shape"] != "start"))
+    reader, out = Reader(), []
+    for r in rows:
+        if r["shape"] == "start":
+            out.append((r["doc_id"], r["block"], reader.saved()))
+        elif (kind := reader.kind(r["shape"])) == "body":
+            reader.text(r["ends"], r["opens"])
+        else:
+            reader.header(kind, r["number"], r["number2"], r["title"], r["seed"], r["ends"], r["opens"])
+    return pa.Table.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((t.schema.field("doc_id").type, pa.int64(), pa.string()))], ["doc_id", "block", "state"])
+
+
+def classify(rows: DataFrame) -> DataFrame:
+    """The lines without furniture with kind, number, number2, title, seed, session, closed, and the CONTEXT in force at each.
+
+    Lines are marked in the JVM and read once, in order, where the exchange of `normalised` has put them. Rows that came in blocks of
+    pages are read twice: first each block alone, for the few lines that can change a state; these, without their texts, are
+    folded document by document into the state before each block, with which the blocks are then read apart.
+    """
+    lines_ = marked(rows)
+    kinds = dict(lines_.dtypes)
+    order = ["doc_id", "block", "pos"]
+    context = ", ".join(f"{c} {'int' if c.endswith('_number') else 'string'}" for c in CONTEXT)
+    schema = f"doc_id {kinds['doc_id']}, page_number {kinds['page_number']}, pos {kinds['pos']}, line string, kind string, number int, number2 int, title string, seed string, session long, closed boolean, {context}"
+    if "block" not in rows.columns:
+        return lines_.sortWithinPartitions(*order).mapInArrow(_parse, schema)
+    lines_ = lines_.persist(StorageLevel.DISK_ONLY)  # read twice; lost parts are made again
+    told = ", ".join(f"{k} {v}" for k, v in lines_.dtypes if k != "line")
+    events = lines_.sortWithinPartitions(*order).mapInArrow(_events, told)
+    states = events.groupBy("doc_id").applyInArrow(_beginnings, f"doc_id {kinds['doc_id']}, block long, state string")
+    empty = {k: F.lit(None).cast(v) for k, v in kinds.items()} | {"pos": F.lit(-1).cast(kinds["pos"]), "shape": F.lit("state"), "line": F.lit(""), "title": F.col("state"), "bare": F.lit(False), "doc_id": F.col("doc_id"), "block": F.col("block")}
+    both = lines_.unionByName(states.select(*(v.alias(k) for k, v in empty.items())))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "doc_id", "block").sortWithinPartitions(*order).mapInArrow(_parse, schema)
 
 
 def with_context(rows: DataFrame) -> DataFrame:
-    """The division, book, part, chapter, section and label in force at each line. Each level's window is keyed by the versions of
-    those above, so a change above clears it; a repeated number changes nothing but may fill a missing title."""
-    is_ = lambda *k: F.col("kind").isin(*k)
-    none = is_("preamble")  # a preamble clears division and book: number 0, null in the end
-    marks = {
-        "division": (F.when(is_("division"), F.col("number")).when(none, 0), F.when(is_("division"), F.col("title"))),
-        "book": (F.when(is_("book", "banner"), F.col("number")).when(none, 0), F.when(is_("book"), F.col("title"))),
-        "part": (F.when(is_("part"), F.col("number")).when(is_("banner"), F.col("number2")).when(none, 0), F.when(is_("part", "banner", "preamble"), F.col("title"))),
-        "chapter": (F.when(is_("chapter"), F.col("number")), F.when(is_("chapter"), F.col("title"))),
-        "section": (F.when(is_("section"), F.col("number")), F.when(is_("section"), F.col("title"))),
-    }
-    keys = ["doc_id"]
-    for level, (number, title) in marks.items():
-        at = W.partitionBy(*keys).orderBy("pos")
-        until = at.rowsBetween(W.unboundedPreceding, 0)
-        rows = rows.withColumn(f"_n_{level}", F.last(number, ignorenulls=True).over(until))
-        changed = ~F.col(f"_n_{level}").eqNullSafe(F.lag(f"_n_{level}").over(at))
-        rows = rows.withColumn(f"_v_{level}", F.sum(changed.cast("int")).over(until))
-        keys.append(f"_v_{level}")
-        inner = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-        rows = rows.withColumn(f"{level}_title", F.first(F.nullif(title, F.lit("")), ignorenulls=True).over(inner))
-    label = F.last(F.when(is_("subsection", "label"), F.col("title")), ignorenulls=True).over(W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("subsection_title", label).withColumn("part_kind", F.when(F.col("_n_part") == 0, "preamble").otherwise("normal"))
-    for level in marks:
-        rows = rows.withColumn(f"{level}_number", F.nullif(F.col(f"_n_{level}"), F.lit(0)))
-    return rows.drop(*(f"_{x}_{level}" for x in "nv" for level in marks))
+    """The division, book, part, chapter, section and label in force at each line, which `classify` has carried along."""
+    return rows.select("*")
 
 
 CONTEXT = [f"{k}_{x}" for k in ("division", "book", "part", "chapter", "section") for x in ("number", "title")] + ["part_kind", "subsection_title"]

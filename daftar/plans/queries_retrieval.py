@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from daftar.functions import vectors as V
@@ -299,3 +301,27 @@ def v15_encoded_search(t):
     law = F.when(F.col("doc_id") % 40 == 0, F.col("law_number"))
     queries = points.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "dense", "text", law.alias("law_number"))
     return published(R.dense_top_k(queries, points, 10, ("law_number",)))
+
+
+def _shape_encoder():
+    """A second encoder, as a worker loads it: numbers of a text's terms, distinct terms and signs, and the square roots of term counts."""
+
+    def encode(texts):
+        counts = [Counter(t) for t in texts]
+        return [((len(t), len(c), sum(map(len, t))), {k: n**0.5 for k, n in c.items()}) for t, c in zip(texts, counts, strict=True)]
+
+    return encode
+
+
+_CUT_TERMS = f"SELECT chunk_id, list_filter(regexp_split_to_array({D.normalize('lower(text)')}, '[ \n]+'), lambda w: w <> '')[:400] AS toks FROM ({CHUNKS})"
+
+
+@query(
+    f"""SELECT chunk_id, n, n_distinct, n_signs, coalesce(round(w, 6), 0) AS weights FROM (SELECT chunk_id, len(toks)::DOUBLE AS n, len(list_distinct(toks))::DOUBLE AS n_distinct, coalesce(list_sum(list_transform(toks, lambda x: length(x))), 0)::DOUBLE AS n_signs FROM ({_CUT_TERMS}))
+    LEFT JOIN (SELECT chunk_id, sum(sqrt(n)) AS w FROM (SELECT chunk_id, tok, count(*) AS n FROM (SELECT chunk_id, unnest(toks) AS tok FROM ({_CUT_TERMS})) GROUP BY ALL) GROUP BY chunk_id) USING (chunk_id)"""
+)
+def v1_worker_encoder(t):
+    """V1: an encoder that workers load, dense and sparse in one call, texts cut at 400 tokens (the limit is the feature)."""
+    made = R.encode_in_workers(t.sql(CHUNKS), "chunk_id", "text", "shapes", _shape_encoder, limit=400)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return made.select("chunk_id", *(F.col("dense")[i].alias(c) for i, c in enumerate(("n", "n_distinct", "n_signs"))), F.round(total, 6).alias("weights"))

@@ -151,7 +151,7 @@ def l1_document_lines(t):
 @query(CTES.rstrip().rstrip(",") + " SELECT doc_id, page_number, pos, line, kind, number, number2, title, seed, session, closed FROM classified")
 def l11_classification(t):
     """Every line's kind, number, title, seed and session."""
-    return _classified(t)
+    return _classified(t).drop(*S.CONTEXT)
 
 
 _DETECT = " ".join(f"WHEN {_m('norm', p)} THEN '{k}'" for k, p in S.BARE.items())

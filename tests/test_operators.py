@@ -1,12 +1,14 @@
 """Operators against small cases, folds and themselves."""
 
+import os
+import time
 from collections import deque
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from daftar.operators import engine as E
 from daftar.operators import guard as G
@@ -18,9 +20,9 @@ from daftar import plans
 from daftar.plans import queries_quality as QQ
 from daftar.plans import queries_retrieval as QR
 from daftar.plans import queries_stores as QS
+from daftar.plans import queries_structure as QSt
 from daftar.plans.base import Tables
 from daftar.sources import stores as S
-from daftar.streaming import jobs as J
 
 from .conftest import SF
 
@@ -118,6 +120,64 @@ def fold(rows, limit, seconds):
     return out
 
 
+def test_rate_limit_of_runs_over_many_slices(spark):
+    """A key with a third of the rows, with and without pauses: several runs in several tasks, the same decisions."""
+    rng, start = np.random.default_rng(4), datetime(2024, 1, 1)
+    seconds = np.cumsum(rng.choice([1, 20, 59, 60, 61, 700], 3000))
+    rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i, start + timedelta(seconds=int(x), microseconds=i % 2)) for i, x in enumerate(seconds)] + [("hot", 9000 + i, start + timedelta(seconds=5)) for i in range(9)]
+    given = spark.createDataFrame(rows, "key string, id int, ts timestamp").repartition(5)
+    for limit, width in ((1, 60), (3, 90), (2, 1)):
+        assert {r.id: r.accepted for r in Q.rate_limited(given, limit, width).collect()} == fold(rows, limit, width)
+    runs = Q.independent_runs(given, 60).where("key = 'hot'").groupBy("start").count()
+    assert runs.count() > 100
+    lone = Q.rate_limited(spark.createDataFrame([(None, 1, start), (None, 2, start)], "key string, id int, ts timestamp"), 1, 60)
+    assert sorted(r.accepted for r in lone.collect()) == [False, True]
+
+
+def test_percentiles_by_force(spark):
+    rng = np.random.default_rng(5)
+    values = [("a", float(x)) for x in rng.exponential(50, 4000)] + [("b", 7.0)] * 1000 + [("c", float(x)) for x in rng.integers(-5, 6, 500)] + [("d", None), ("e", -0.0), (None, 3.0), (None, 4.0)]
+    values += [("f", x) for x in (float("inf"), float("-inf"), float("nan"), 1e300, -1e300, 0.0, 5e-324)]
+    got = {r.g: (r.n, r.p50, r.p95) for r in Q.index_percentiles(spark.createDataFrame(values, "g string, v double").repartition(4), "g", "v").collect()}
+    for g in ("a", "b", "c", "e", None, "f"):
+        mine = sorted((v for k, v in values if k == g), key=lambda v: (v != v, v if v == v else 0))
+        n = len(mine)
+        wanted = (n, mine[n // 2], mine[min(n - 1, int(0.95 * n))])
+        assert [repr(x) for x in got[g]] == [repr(x) for x in wanted] or g == "e" and got[g][1] == 0, g
+    assert "d" not in got
+
+
+def test_an_encoder_is_built_once_a_worker(spark, tmp_path):
+    def load():
+        (tmp_path / f"{os.getpid()}-{time.time_ns()}").touch()
+
+        def encode(texts):
+            assert len(texts) * max(map(len, texts)) <= 40 or len(texts) == 1
+            return [((len(t),), dict.fromkeys(t, 1.0)) for t in texts]
+
+        return encode
+
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 23))) for i in range(400)] + [(400, None)]
+    made = R.encode_in_workers(spark.createDataFrame(rows, "k int, text string").repartition(12), "k", "text", "counted", load, limit=20, batch_tokens=40, window=50).collect()
+    assert {r.k: (r.dense, r.indices) for r in made} == {i: ([float(min(20, len((t or "").split())))], sorted(set((t or "").split()[:20]))) for i, t in rows}
+    built = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(built) == len(set(built))
+
+
+@pytest.mark.parametrize("per_block", [1, 3])
+def test_a_document_in_blocks_of_pages_reads_as_in_one(spark, per_block):
+    """Each document of the given lines, and all of them as one document, with its pages in blocks."""
+    t = Tables(spark, SF)
+    lines = t.sql(QSt.LAW_LINES)
+    long_ = lines.select(F.lit("all").alias("doc_id"), (F.dense_rank().over(W.orderBy("doc_id", "page_number"))).cast("int").alias("page_number"), F.row_number().over(W.orderBy("doc_id", "pos")).cast("long").alias("pos"), "line")
+    for given in (lines, long_):
+        whole = ST.classify(ST.normalised(given))
+        parts = ST.classify(ST.normalised(given, per_block))
+        order = sorted(whole.columns)
+        one, other = (sorted(map(repr, df.select(*order).collect())) for df in (whole, parts))
+        assert len(one) > 100 and one == other
+
+
 def test_rate_limit_matches_a_fold(spark):
     start = datetime(2024, 1, 1)
     rows = [("a" if i % 3 else "b", i, start + timedelta(seconds=i * 37 % 4000)) for i in range(300)]
