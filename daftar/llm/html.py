@@ -38,6 +38,10 @@ _NEVER = r"(?:ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|popups?|na
 _OFTEN = r"(?:promo\w*|banners?|notices?|alerts?|modal|overlay|header|respond|related|recommend\w*|share|sharing|social|subscribe|signup|login|search|widgets?|toolbar|copyright)"
 NEVER = re.compile(rf"(?:^|[\s_-]){_NEVER}(?:$|[\s_-])|(?:^|\s)(?:notices?|alerts?|banners?|share|sharing|social|promo|related[_-](?:posts?|articles?|links?|stories|news))(?:$|\s)", re.I)
 OFTEN = re.compile(rf"(?:^|[\s_-])(?:{_NEVER}|{_OFTEN})(?:$|[\s_-])", re.I)
+#: Words, as a part of a class, of blocks inside main elements that are not the article's (a paragraph or heading may be called so and stays).
+_BLOCK = r"(?:promo\w*|banners?|notices?|alerts?|modal|overlay|related-(?:posts?|articles?|links?|stories|news)|recommend\w*|share|sharing|social|subscribe|signup|login|widgets?|toolbar)"
+BLOCK = re.compile(rf"(?:^|[\s_-]){_BLOCK}(?:$|[\s_-])", re.I)
+BLOCKS = {"div", "section", "ul", "ol", "dl", "table", "figure", "details", "fieldset"}
 #: Main elements that are no article: reader comments, adverts, teasers.
 NO_ARTICLE = re.compile(r"(?:^|\s)(?:(?:user-|reader-)?(?:comments?|reply|replies)(?:-(?:item|body|entry|list|thread|content|\d+))?|advert\w*|ads?|ad-\w+|sponsored|promo|promoted|teasers?|teaser-\w+|related|related-\w+)(?:$|\s)", re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -142,6 +146,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             return LEFT_OUT
         if named and name not in ("body", "html") and (NEVER if state == INSIDE else OFTEN).search(named):
             return LEFT_OUT
+        if named and state == INSIDE and name in BLOCKS and BLOCK.search(named):
+            return LEFT_OUT
         return INSIDE if re.search(r"(?:^|\s)main(?:$|\s)", named) else state
 
     markup = _Markup(page)

@@ -75,8 +75,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, grou
 
     docs: doc_id, text. Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are
     one end token. Repeated rows are packed apart, each with pieces of its own. An empty table gives no rows. Pieces are dealt
-    into groups by a hash of the row, about group_rows documents each, so no group grows with the input; lengths alone decide,
-    longest first, and ties follow doc_id and piece.
+    into groups by a hash of their place in the written pieces, about group_rows documents each, so no group grows with the input,
+    however many rows are alike; lengths alone decide, longest first, and ties follow doc_id and piece.
     """
     spark = docs.sparkSession
     cut = materialise(pieces(docs, path, capacity, end_id))
@@ -95,5 +95,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, grou
         return spark.createDataFrame([], schema)
     # full pieces need no search; they are spread evenly and stay out of the groups
     full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = cut.where(F.col("length") < capacity).withColumn("g", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)))
+    rest = cut.where(F.col("length") < capacity).withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return full.unionByName(rest.groupBy("g").applyInArrow(place, schema))
