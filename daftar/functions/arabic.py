@@ -24,12 +24,14 @@ LETTERS = "\u0621-\u064a"
 TOKEN_LETTERS = "\u0621-\u063a\u0640-\u064a\u0671-\u06d3"
 # Words whose madda is genuine, and those where it stands for a plain alef.
 KEEP_MADDA = (
-    "آثار آخر الآبار الآتي الآتية الآتيتين الآثار الآخر الآخرون الآخرين الآداب الآلات المنشآت بالآثار لآخرين للآبار للآخر للآداب منشآت منشآته والآبار والآثار والآلات والمنشآت"
-).split()
-MADDA_TO_ALEF = "آي بآت بآي".split()
+    "آثار", "آخر", "الآبار", "الآتي", "الآتية", "الآتيتين", "الآثار", "الآخر", "الآخرون", "الآخرين",
+    "الآداب", "الآلات", "المنشآت", "بالآثار", "لآخرين", "للآبار", "للآخر", "للآداب", "منشآت", "منشآته",
+    "والآبار", "والآثار", "والآلات", "والمنشآت",
+)
+MADDA_TO_ALEF = ("آي", "بآت", "بآي")
 AFFECTED_LAWS = (131,)
 # Ordinal words that open a clause.
-CLAUSE_ORDINALS = "أولا ثانيا ثالثا رابعا خامسا سادسا سابعا ثامنا تاسعا عاشرا".split()
+CLAUSE_ORDINALS = ("أولا", "ثانيا", "ثالثا", "رابعا", "خامسا", "سادسا", "سابعا", "ثامنا", "تاسعا", "عاشرا")
 
 
 def strip(c: Column) -> Column:

@@ -15,8 +15,12 @@ from daftar.functions import arabic as A
 ANSWER_KEY = ("conv_id", "turn", "attempt")
 #: What stands for an answer whose attempts both failed; the wording is a parameter of decide().
 FALLBACK = "لا يمكن تقديم إجابة موثقة من المواد المسترجعة"
+# The pattern of an article named in a text, the reasons of a check, and the lines of a report.
 INLINE = r"(?:ال)?ماد[ةه]\s*(?:رقم)?\s*[()]*\s*[0-9٠-٩۰-۹]+\s*[()]*(?:\s*مكرر)?"
 
+NO_LABEL, NO_NUMBER, NOT_RETRIEVED = "no retrieved article matches this citation_label", "unparseable article_number", "article not retrieved in this conversation"
+COUNTED, REVIEW = "citations: %d valid, %d hallucinated", "inline refs not in retrieved set (review-level): %d"
+
 
 def snapshot(messages: DataFrame) -> DataFrame:
     """The context rows of messages with retrieved_context array<struct>."""
@@ -58,7 +62,7 @@ def check_citations(answers: DataFrame, context: DataFrame) -> DataFrame:
     by_number = F.coalesce((F.col("since_number") <= F.col("turn")) & ~F.col("is_mukarrar"), F.lit(False))
     valid = F.when(no_number, by_label).when(unreadable, False).otherwise(by_number)
     reason = (
-        F.when(valid, "").when(no_number, "no retrieved article matches this citation_label").when(unreadable, "unparseable article_number").otherwise("article not retrieved in this conversation")
+        F.when(valid, "").when(no_number, NO_LABEL).when(unreadable, NO_NUMBER).otherwise(NOT_RETRIEVED)
     )
     return c.select(*ANSWER_KEY, "pos", F.coalesce("law_name", F.lit("")).alias("law_name"), F.col("number").alias("article_number"), F.col("label").alias("citation_label"), valid.alias("is_valid"), reason.alias("reason"))
 
@@ -87,8 +91,8 @@ def verify(answers: DataFrame, context: DataFrame) -> DataFrame:
     rows = answers.select(*ANSWER_KEY, "answer_text", "citations").join(by_check, list(ANSWER_KEY), "left").join(by_inline, list(ANSWER_KEY), "left")
     rows = rows.fillna(0, ["n_valid", "n_hallucinated", "n_unverified_inline"])
     nothing = F.array().cast("array<string>")
-    first = F.format_string("citations: %d valid, %d hallucinated", "n_valid", "n_hallucinated")
-    second = F.when(F.col("n_unverified_inline") > 0, F.array(F.format_string("inline refs not in retrieved set (review-level): %d", "n_unverified_inline"))).otherwise(nothing)
+    first = F.format_string(COUNTED, "n_valid", "n_hallucinated")
+    second = F.when(F.col("n_unverified_inline") > 0, F.array(F.format_string(REVIEW, "n_unverified_inline"))).otherwise(nothing)
     report = F.array_join(F.concat(F.array(first), F.coalesce("_bad", nothing), second, F.coalesce("_soft", nothing)), "\n")
     return rows.select(*ANSWER_KEY, "answer_text", "citations", "n_valid", "n_hallucinated", "n_unverified_inline", (F.col("n_hallucinated") == 0).alias("is_valid"), report.alias("report"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -52,11 +52,15 @@ def filter_only(points: DataFrame, limit: int, **equals) -> DataFrame:
     return filter_by(points, **equals).orderBy("chunk_id").limit(limit)
 
 
-def _parts(queries: DataFrame, query_bytes: Column) -> list[DataFrame]:
-    """The queries in parts of at most about BROADCAST_BYTES, as measured; every part goes to all points, which never move."""
+def _parts(queries: DataFrame, query_bytes: Column) -> Iterator[pd.DataFrame]:
+    """The queries in parts of at most about BROADCAST_BYTES, as measured, one after the other; every part goes to all points, which
+    never move. The queries are made once for both the measure and the parts."""
+    queries = queries.persist()
     n, size = queries.select(F.count("*"), F.coalesce(F.sum(query_bytes + 64), F.lit(0))).first()
     parts = -(-size // BROADCAST_BYTES) if n else 0
-    return [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    for i in range(parts):
+        yield (queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).toPandas()
+    queries.unpersist()
 
 
 def _one_of(frames: list[DataFrame], spark, kind: str) -> DataFrame:
@@ -102,7 +106,7 @@ def dense_top_k(queries: DataFrame, points: DataFrame, k: int, filters=()) -> Da
     held = _fresh(points, "chunk_id", "dense", *filters).where("dense is not null").sortWithinPartitions("chunk_id")
     spark, found = points.sparkSession, []
     for part in _parts(_fresh(queries, "query_id", "dense", *filters).where("dense is not null"), F.size("dense") * 8):
-        shared = spark.sparkContext.broadcast(part.toPandas())
+        shared = spark.sparkContext.broadcast(part)
 
         def over_points(it, shared=shared):
             asked = shared.value
@@ -141,7 +145,8 @@ def terms_of(text: str) -> Column:
 
 
 def with_sparse(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with `indices` and `values`: those it has (V2's arrays, of any encoder), else the counts of its text's terms."""
+    """V2's arrays beside a text: df with `indices` and `values`, those it has (of any encoder), else the counts of its text's terms. No row
+    moves; `postings` and `sparse_vectors` make the same from a table of terms."""
     if "indices" in df.columns:
         return df
 
@@ -150,11 +155,13 @@ def with_sparse(df: DataFrame, text: str = "text") -> DataFrame:
         rows = [sorted(Counter(x).items()) for x in terms]
         return pd.DataFrame({"indices": [[t for t, _ in r] for r in rows], "values": [[float(n) for _, n in r] for r in rows]})
 
-    return df.withColumn("_s", counts(terms_of(text))).withColumns({"indices": F.col("_s.indices"), "values": F.col("_s.values")}).drop("_s")
+    once = counts.asNondeterministic()  # else each of the two columns, and filters on them, would run it again
+    return df.withColumn("_s", once(terms_of(text))).withColumns({"indices": F.col("_s.indices"), "values": F.col("_s.values")}).drop("_s")
 
 
-#: Points of a block of the sparse index, its postings at most (or one point's), and the postings of each term that a search reads first.
-SPARSE_POINTS, SPARSE_POSTINGS, FIRST_READ = 4_096, 1_000_000, 64
+#: Points of a block of the sparse index, its postings at most (or one point's), and the postings of each term that a search reads first;
+#: a query with at most FULL_READ postings in a block has them all summed up, which costs less than choosing.
+SPARSE_POINTS, SPARSE_POSTINGS, FIRST_READ, FULL_READ = 4_096, 1_000_000, 64, 65_536
 #: One of so many blocks is searched first, for each query's shared threshold.
 SAMPLE = 16
 INDEX = "block long, chunk_id array<{0}>, terms array<string>, row_starts binary, row_terms binary, row_weights binary, starts binary, points binary, weights binary"
@@ -217,7 +224,7 @@ class SparseBlock:
         at = np.repeat(self.row_starts[rows] - firsts, n) + np.arange(n.sum())
         return np.add.reduceat(self.asked[self.row_terms[at]] * self.row_weights[at], firsts)
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float, admitted: np.ndarray | None, first: int = FIRST_READ) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float, admitted: np.ndarray | None, first: int = FIRST_READ, full: int = FULL_READ) -> tuple[np.ndarray, np.ndarray, int]:
         """Points, their scores and the postings read: all admitted points that may be among the k best and reach `least`.
 
         Postings are read in falling order of what they add, some of every term at a time, and each point met is scored exactly. No point
@@ -225,6 +232,20 @@ class SparseBlock:
         skipped.
         """
         low, high = self.starts[terms], self.starts[terms + 1]
+        total = int((high - low).sum())
+        if total <= full:
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)
+            sums = np.bincount(self.points[at], np.repeat(weights, n) * self.weights[at], len(self.ids))
+            met = np.bincount(self.points[at], minlength=len(self.ids)) > 0
+            points = np.flatnonzero(met if admitted is None else met & admitted)
+            scores = np.round(sums[points], 15)
+            floor = least
+            if len(points) > k:
+                few = np.round(scores, 9)
+                floor = max(least, np.partition(few, len(few) - k)[len(few) - k])
+            keep = np.round(scores, 9) >= floor
+            return points[keep], scores[keep], total
         self.asked[terms] = weights
         done, step, read = np.zeros(len(terms), np.int64), first, 0
         met = np.zeros(len(self.ids), bool)
@@ -265,11 +286,12 @@ class SparseBlock:
         return points[keep], scores[keep], read
 
 
-def sparse_search(queries: DataFrame, index: DataFrame, k: int, filters=()) -> DataFrame:
+def sparse_search(queries: DataFrame, index: DataFrame, k: int, filters=(), sampled: bool = True) -> DataFrame:
     """V4 over an index as of sparse_index: query_id, chunk_id, score, rank by the inner product of weights; points without a shared term
     are no candidates. queries: query_id, indices, values, filter columns.
 
-    Some of the blocks are searched first; the k-th best score there is a query's threshold in all others, which so skip most postings.
+    Some of the blocks of a stored index are searched first (sampled); the k-th best score there is a query's threshold in all others,
+    which so skip most postings.
     Within a task the threshold rises as blocks fill it. Results are those of scoring every point. A task holds a part of the queries
     (BROADCAST_BYTES) and one block.
     """
@@ -278,12 +300,10 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int, filters=()) -> D
     kind = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {id_kind}, score double"
     types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(index.schema["chunk_id"].dataType.elementType), pa.float64()]
     asked = _fresh(queries, "query_id", "indices", "values", *filters).where("size(indices) > 0")
-    n_blocks = index.select("block").count()
-    sampled = F.pmod(F.xxhash64("block"), F.lit(SAMPLE)) == 0
-    stages = [sampled, ~sampled] if n_blocks >= 2 * SAMPLE else [F.lit(True)]
+    first = F.pmod(F.xxhash64("block"), F.lit(SAMPLE)) == 0
+    stages = [first, ~first] if sampled and index.select("block").count() >= 2 * SAMPLE else [F.lit(True)]
     found = []
-    for part in _parts(asked, F.expr("aggregate(indices, 0L, (s, t) -> s + octet_length(t) + 16)")):
-        table = part.toPandas()
+    for table in _parts(asked, F.expr("aggregate(indices, 0L, (s, t) -> s + octet_length(t) + 16)")):
         least = np.full(len(table), -np.inf)
         for stage in stages:
             shared = spark.sparkContext.broadcast((table, least))
@@ -333,7 +353,7 @@ def sparse_top_k(queries: DataFrame, points: DataFrame, k: int, filters=()) -> D
     """V4 over points in place: their sparse vectors (`indices`, `values`), or else the term counts of their `text`, indexed block by block as
     they are read."""
     index = sparse_index(with_sparse(points), filters)
-    return sparse_search(with_sparse(queries), index, k, filters)
+    return sparse_search(with_sparse(queries), index, k, filters, sampled=False)
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -359,7 +379,10 @@ def rrf(lists: list[DataFrame], limit: int, constant: int = 60) -> DataFrame:
 def hybrid_search(queries: DataFrame, points: DataFrame, limit: int = 10, prefetch: int = 30, filters=("law_number",)) -> DataFrame:
     """V6: dense and sparse lists of `prefetch` each, filtered before their cuts, fused. queries: query_id, dense, text, filters;
     points: chunk_id, dense, text, filters. Sparse vectors (`indices`, `values`) of either side take the place of its text."""
-    return rrf([dense_top_k(queries, points, prefetch, filters), sparse_top_k(queries, points, prefetch, filters)], limit)
+    asked = with_sparse(queries).persist()  # read for both lists
+    lists = [dense_top_k(asked, points, prefetch, filters), sparse_top_k(asked, points, prefetch, filters)]
+    asked.unpersist()
+    return rrf(lists, limit)
 
 
 def late_interaction(pairs: DataFrame, query_text: str, passage_text: str, cap: int = 256, encoder=V.hashed_token_vectors) -> DataFrame:
@@ -387,6 +410,48 @@ def late_interaction(pairs: DataFrame, query_text: str, passage_text: str, cap:
     return scored.where("score is not null")
 
 
+def token_vectors(texts: DataFrame, key: str, text: str, cap: int = 256, encoder=V.hashed_token_vectors) -> DataFrame:
+    """V7's stored form: key, n_tokens, vectors (the unit vectors of a text's first `cap` tokens, one after the other). Write it once
+    beside the chunks; searches then encode no passage."""
+    kind = dict(texts.dtypes)[key]
+    tokens = texts.select(F.col(key).alias("_key"), F.slice(terms_of(text), 1, cap).alias("_terms"))
+
+    def run(it):
+        for b in it:
+            for i in range(0, b.num_rows, 256):
+                rows = b.slice(i, 256)
+                words = rows.column("_terms").to_pylist()
+                sizes = [len(w) for w in words]
+                flat = np.asarray(encoder([t for w in words for t in w]), np.float64)
+                width = flat.shape[1] if len(flat) else 0
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]) * width, pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column("_key"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], [key, "n_tokens", "vectors"])
+
+    return tokens.mapInArrow(run, f"{key} {kind}, n_tokens int, vectors array<double>")
+
+
+def score_candidates(pairs: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
+    """V7 over stored vectors: query_id, chunk_id, score of pairs (query_id, chunk_id); asked and held are token_vectors of queries and
+    chunks. All candidates of a query meet it in one product. Pairs with an empty side have no score."""
+    kinds = {**dict(asked.dtypes), **dict(held.dtypes)}
+    met = pairs.select("query_id", "chunk_id").join(held.where("n_tokens > 0"), "chunk_id")
+    types = [to_arrow_type(asked.schema["query_id"].dataType), to_arrow_type(held.schema["chunk_id"].dataType), pa.float64()]
+
+    def product(query: pa.Table, passages: pa.Table) -> pa.Table:
+        columns: list = [[], [], []]
+        if query.num_rows and passages.num_rows:
+            n = query.column("n_tokens")[0].as_py()
+            one = np.asarray(query.column("vectors").combine_chunks().flatten(), np.float64).reshape(n, -1)
+            every = np.asarray(passages.column("vectors").combine_chunks().flatten(), np.float64).reshape(-1, one.shape[1])
+            sizes = passages.column("n_tokens").to_numpy()
+            best = np.maximum.reduceat(one @ every.T, np.cumsum(sizes) - sizes, axis=1).mean(0)
+            columns = [[query.column("query_id")[0].as_py()] * len(best), passages.column("chunk_id").to_pylist(), best]
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("query_id", "chunk_id", "score"), columns, types, strict=True)})
+
+    sides = asked.where("n_tokens > 0").groupBy("query_id").cogroup(met.groupBy("query_id"))
+    return sides.applyInArrow(product, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+
+
 def rerank(scores: DataFrame, top_k: int, cap: int = 50) -> DataFrame:
     """V8: scores in descending order per query; more than `cap` passages of one query are an error."""
     n = F.count("*").over(W.partitionBy("query_id"))
@@ -394,9 +459,12 @@ def rerank(scores: DataFrame, top_k: int, cap: int = 50) -> DataFrame:
     return ranked(checked.drop("_n"), top_k)
 
 
-def search_articles(queries: DataFrame, points: DataFrame, top_k: int = 5, candidate_k: int = 20) -> DataFrame:
-    """V9: hybrid candidates, reranked by late interaction on the display text; queries without candidates have no rows."""
+def search_articles(queries: DataFrame, points: DataFrame, top_k: int = 5, candidate_k: int = 20, stored: DataFrame | None = None) -> DataFrame:
+    """V9: hybrid candidates, reranked by late interaction on the display text; queries without candidates have no rows. stored:
+    token_vectors of the points; without them the candidates' passages are encoded pair by pair."""
     found = hybrid_search(queries, points, candidate_k, candidate_k).select("query_id", "chunk_id")
+    if stored is not None:
+        return rerank(score_candidates(found, token_vectors(queries, "query_id", "text"), stored), top_k)
     texts = points.select("chunk_id", F.coalesce("text_for_display", "body_faithful").alias("passage"))
     pairs = found.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(texts, "chunk_id")
     return rerank(late_interaction(pairs, "query", "passage"), top_k)

@@ -57,7 +57,7 @@ def normalised(rows: DataFrame, pages_per_block: int | None = None) -> DataFrame
         rows = rows.withColumn("block", F.floor(F.col("page_number") / pages_per_block))
     norm = A.normalize_for_match(F.col("line"))
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("norm", norm).withColumn("na", A.arabic_to_ascii(F.col("norm")))
-    furniture = (F.col("norm").contains("الجريدة الرسمية") & F.col("norm").contains("العدد")) | F.col("line").rlike(f"^[{A.ASCII_DIGITS}{A.ARABIC_DIGITS}{A.EASTERN_DIGITS}]+$")
+    furniture = (F.col("norm").contains("الجريدة الرسمية") & F.col("norm").contains("العدد")) | F.col("line").rlike(f"^[{A.ASCII_DIGITS}{A.ARABIC_DIGITS}]+$")
     page = W.partitionBy(*keys, "page_number").orderBy("pos")
     return rows.withColumn("furniture", furniture).withColumn("following", F.lead("line").over(page)).withColumn("following_na", F.lead("na").over(page))
 
@@ -72,7 +72,7 @@ def shapes() -> Column:
     norm, na, line, next_na = F.col("norm"), F.col("na"), F.col("line"), F.coalesce("following_na", F.lit(""))
     begins = lambda *words: reduce(lambda a, b: a | b, [norm.startswith(w) for w in words])
     of = lambda level: norm.startswith(KEYWORDS[level])
-    numbered = F.substring(line, 1, 1).isin("-", ".", *A.ASCII_DIGITS, *A.ARABIC_DIGITS, *A.EASTERN_DIGITS)
+    numbered = F.substring(line, 1, 1).isin("-", ".", *A.ASCII_DIGITS, *A.ARABIC_DIGITS)
     article = na.startswith("ال") | na.startswith("ماد")
     no_paren = ~line.rlike("^[()]")
     colon = line.endswith(":") | line.endswith("：")

@@ -182,6 +182,14 @@ def q14_copy_verification(t):
     return Q.compare_copies(t["documents"], t.sql(COPY), "doc_id", ("text", "lang", "source"))
 
 
+@query(
+    f"SELECT * FROM (SELECT coalesce(s.doc_id, c.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'missing' WHEN s.doc_id IS NULL THEN 'extra' WHEN s.text IS DISTINCT FROM c.text OR s.lang IS DISTINCT FROM c.lang OR s.source IS DISTINCT FROM c.source THEN 'payload' ELSE 'equal' END AS status FROM {{documents}} s FULL JOIN ({COPY}) c ON s.doc_id = c.doc_id) WHERE status <> 'equal'"
+)
+def q14_copy_differences(t):
+    """Q14 by digests: only buckets that differ are compared row by row."""
+    return Q.copy_differences(t["documents"], t.sql(COPY), "doc_id", ("text", "lang", "source"))
+
+
 VECTOR_COPY = "SELECT vec_id, transform(embedding, x -> CASE WHEN vec_id % 10 = 0 AND x > 0 THEN x * 1.5D ELSE CAST(x AS DOUBLE) END) AS embedding, label FROM {embeddings}"
 
 

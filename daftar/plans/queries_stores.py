@@ -152,12 +152,14 @@ def st1_incremental_ingest(t):
 
 @query(f"SELECT conv_id, turn, attempt, n_valid, n_hallucinated, n_unverified_inline, is_valid, report FROM ({QG.RESULTS})")
 def st2_online_audit(t):
-    """ST2: answers as a stream, with the batch verdicts as the expected rows."""
+    """ST2: answers as a stream, and again after the checkpoint is lost, with the batch verdicts as the expected rows."""
     path = folder(t)
     t.sql(QG.ATTEMPTS).repartition(3).write.parquet(f"{path}/answers")
     answers = t.spark.readStream.schema(t.sql(QG.ATTEMPTS).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/answers")
-    J.online_audit(answers, t.sql(QG.CONTEXT), f"{path}/verdicts", f"{path}/offsets").awaitTermination()
-    return t.spark.read.parquet(f"{path}/verdicts").drop("batch", "answer_text")
+    for offsets in ("offsets", "new-offsets"):
+        J.online_audit(answers, t.sql(QG.CONTEXT), f"{path}/store", f"{path}/{offsets}").awaitTermination()
+    schema = T.StructType.fromDDL("conv_id long, turn long, attempt int, n_valid long, n_hallucinated long, n_unverified_inline long, is_valid boolean, report string")
+    return Ledger(t.spark, f"{path}/store").read("verdicts", schema)
 
 
 def _finished(t, stream, path: str):

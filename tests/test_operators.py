@@ -134,6 +134,19 @@ def test_rate_limit_of_runs_over_many_slices(spark):
     assert sorted(r.accepted for r in lone.collect()) == [False, True]
 
 
+def test_copies_are_compared_by_digests(spark):
+    a = spark.createDataFrame([(i, "x" if i % 7 else None, [float(i), 1.0]) for i in range(500)] + [(600, "twice", [1.0]), (600, "twice", [1.0])], "k int, p string, v array<double>")
+    assert Q.copy_differences(a, a.repartition(3), "k", ("p",), "v").count() == 0
+    near = F.transform("v", lambda x: F.when(F.col("k") == 9, x + 1e-9).when(F.col("k") == 11, -x).otherwise(x))
+    b = a.where("k <> 5").withColumn("p", F.when(F.col("k") == 14, "filled").when(F.col("k") == 15, None).otherwise(F.col("p"))).withColumn("v", near)
+    b = b.unionByName(spark.createDataFrame([(-1, "new", [1.0])], a.schema))
+    for buckets in (1, 64, 4096):
+        got = {r.k: r.status for r in Q.copy_differences(a, b, "k", ("p",), "v", buckets=buckets).collect()}
+        assert got == {5: "missing", -1: "extra", 14: "payload", 15: "payload", 11: "vector"}
+    plan = Q.copy_differences(a, a, "k", ("p",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
+
+
 def test_percentiles_by_force(spark):
     rng = np.random.default_rng(5)
     values = [("a", float(x)) for x in rng.exponential(50, 4000)] + [("b", 7.0)] * 1000 + [("c", float(x)) for x in rng.integers(-5, 6, 500)] + [("d", None), ("e", -0.0), (None, 3.0), (None, 4.0)]
@@ -280,10 +293,12 @@ def sparse_rows(seed, n, signed):
     return rows
 
 
-@pytest.mark.parametrize("signed", [False, True])
-def test_sparse_search_by_force(spark, monkeypatch, signed):
+@pytest.mark.parametrize("signed, full", [(False, 0), (True, 0), (True, 65_536)])
+def test_sparse_search_by_force(spark, monkeypatch, signed, full):
     """Small blocks, so that thresholds come from a first pass; ties, filters, empty vectors, both signs."""
     monkeypatch.setattr(R, "SPARSE_POINTS", 32)
+    search = R.SparseBlock.search
+    monkeypatch.setattr(R.SparseBlock, "search", lambda self, *a, **o: search(self, *a, **{"full": full} | o))
     points, asked = sparse_rows(1, 3000, signed), sparse_rows(2, 40, signed)
     frame = lambda rows, key: spark.createDataFrame([(i, [f"t{x}" for x in t], [float(x) for x in w], None if key == "query_id" and i % 2 else f) for i, t, w, f in rows], f"{key} int, indices array<string>, values array<double>, f int")
     index = R.sparse_index(frame(points, "chunk_id").coalesce(4), ("f",))
@@ -311,11 +326,13 @@ def test_fewer_postings_are_read_for_fewer_results(spark):
     block = R.SparseBlock(index[0].asDict())
     terms, weights = np.arange(8), np.ones(8)
     of = int((block.starts[terms + 1] - block.starts[terms]).sum())
-    read = [block.search(terms, weights, k, -np.inf, None)[2] for k in (1, 10, 100, 4000)]
+    read = [block.search(terms, weights, k, -np.inf, None, full=0)[2] for k in (1, 10, 100, 4000)]
     assert read == sorted(read) and read[0] < 0.35 * of and read[-1] == of
-    points, scores, _ = block.search(terms, weights, 10, -np.inf, None)
+    points, scores, _ = block.search(terms, weights, 10, -np.inf, None, full=0)
+    whole = block.search(terms, weights, 10, -np.inf, None)
+    assert whole[2] == of and sorted(zip(whole[0], whole[1].round(9))) == sorted(zip(points, scores.round(9)))
     tenth = np.sort(scores)[-10]
-    assert block.search(terms, weights, 10, round(float(tenth), 9), None)[2] <= read[1]
+    assert block.search(terms, weights, 10, round(float(tenth), 9), None, full=0)[2] <= read[1]
 
 
 def test_bad_sparse_vectors_are_errors(spark):
