@@ -155,7 +155,7 @@ def repair_glyphs(c: Column) -> Column:
 
     def fix(t: Column) -> Column:
         return (
-            F.when(~t.contains("آ") | t.isin(KEEP_MADDA), t).when(t.isin(MADDA_TO_ALEF), F.translate(t, "آ", "ا")).when(t.rlike(f"^[{TOKEN_LETTERS}]"), F.translate(t, "آ", "ك")).otherwise(t)
+            F.when(~t.contains("آ") | t.isin(*KEEP_MADDA), t).when(t.isin(*MADDA_TO_ALEF), F.translate(t, "آ", "ا")).when(t.rlike(f"^[{TOKEN_LETTERS}]"), F.translate(t, "آ", "ك")).otherwise(t)
         )
 
     return F.array_join(F.transform(madda_tokens(c), fix), "")

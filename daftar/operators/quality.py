@@ -178,8 +178,8 @@ def copy_differences(source: DataFrame, copy: DataFrame, key: str, columns: tupl
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Q15: n rows by a seeded hash of the key, over all rows (the size is the operator)."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """Q15: n rows by a seeded digest of the key, over all rows (the size is the operator); each task hands on n rows at most."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def event_order(events: DataFrame) -> DataFrame:

@@ -201,9 +201,9 @@ def q14_vector_copy(t):
     return Q.compare_copies(t["embeddings"], t.sql(VECTOR_COPY), "vec_id", ("label",), "embedding")
 
 
-@query()
+@query("SELECT doc_id FROM {documents} ORDER BY md5('0:' || doc_id), doc_id LIMIT 50")
 def q15_sample(t):
-    """Q15: 50 rows by a seeded hash, which DuckDB does not have; rows only."""
+    """Q15: 50 rows by a seeded digest."""
     return Q.sample(t["documents"].select("doc_id"), "doc_id", 50)
 
 
