@@ -9,6 +9,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import batches
@@ -73,10 +74,9 @@ def _inputs(total: float, words: int) -> tuple[float, float]:
 
 def _features(words: list[str], shortest: int, longest: int) -> set[str]:
     out = set()
-    for w in words:
-        if shortest <= len(w):
-            out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in range(shortest, min(longest, len(w)) + 1))
+    for w in set(words):
+        out.add(f" {w} ")
+        out.update(f" {w[:k]}" for k in range(shortest, min(longest, len(w)) + 1))
     return out
 
 
@@ -94,53 +94,95 @@ def _counts(texts: DataFrame, features_of) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, folds: int = 5) -> DataFrame:
-    """text, toxic of at most `of_each` rows of either label outside fold 0, chosen by a hash of doc_id. `of_each` is the
-    documented bound of what the classifier is fitted on, so the chosen labels can be broadcast and no text shuffles."""
+    """doc_id, text, toxic of at most `of_each` rows of either label outside fold 0, chosen by a hash of doc_id. `of_each` is the
+    documented bound of what the classifier is fitted on, so the chosen labels can be broadcast and only their texts shuffle; of rows
+    with one doc_id the least text counts."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold("doc_id", folds) != 0).dropna().distinct()
     chosen = None
     for label in (0, 1):
         part = hash_sample(usable.where(F.col("toxic") == label), of_each, "doc_id")
         chosen = part if chosen is None else chosen.unionByName(part)
-    return doc_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-
-
-def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int = 4_000, least: int = 4, share: float = 0.006, ratio: float = 40.0, shortest: int = 4, longest: int = 7) -> Lexicon:
-    """Learn the lexicon from labelled rows outside fold 0 (at most of_each of either label).
-
-    An entry must lie in `least` toxic texts, and in the `share` of them, and be `ratio` times as frequent in toxic as in clean
-    ones (add-half), 100 times by plain counts. Of entries that begin alike the shorter one stays where it is as pure. Two-word
-    phrases around an entry that five clean texts, and one in a thousand of them, and no toxic one hold excuse it. The
-    logistic's inputs are the weight over the root of the words, and the weight's logarithm.
+    return doc_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def independent(sample: DataFrame) -> DataFrame:
+    """The rows of sample (doc_id, text, toxic) that have the smallest doc_id among those of their label with the same least hash of
+    five-word shingles, for each of three orders of the hashes: equal texts, and nearly all near copies, are one piece of evidence.
+    At most `of_each` ids of either label are broadcast; no text shuffles."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 5, F.lit(0)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("words", i + 1, 5)))
+    hashed = sample.select("doc_id", "toxic", words.alias("words")).select("doc_id", "toxic", hashes.alias("h"))
+    orders = [0, 0x5555555555555555, 0x3C3C3C3C3C3C3C3C]
+    least = [F.expr(f"array_min(transform(h, x -> x ^ {c}L))").alias(f"least{i}") for i, c in enumerate(orders)]
+    ids = hashed.select("doc_id", "toxic", *least)
+    for i in range(len(orders)):
+        ids = ids.withColumn(f"first{i}", F.min("doc_id").over(W.partitionBy("toxic", f"least{i}")))
+    alone = ids.where(" and ".join(f"doc_id = first{i}" for i in range(len(orders)))).select("doc_id", "toxic")
+    return sample.join(F.broadcast(alone), ["doc_id", "toxic"])
+
+
+def _evidence(n: int, m: int, share: float) -> float:
+    """Minus the logarithm of Chernoff's bound on the chance that n or more of n + m texts are toxic, where `share` of all are."""
+    of = n / (n + m)
+    return n * np.log(of / share) + (m * np.log((1 - of) / (1 - share)) if m else 0.0) if of > share else 0.0
+
+
+def learn(docs: DataFrame, labels: DataFrame, of_each: int = 20_000, size: int = 4_000, chance: float = 1e-9, ratio: float = 5.0, shortest: int = 4, longest: int = 10) -> Lexicon:
+    """Learn the lexicon from labelled rows outside fold 0 (at most of_each of either label), copies counted once (`independent`).
+
+    Entries are word beginnings of `shortest` to `longest` letters and whole words of any length. One must be `ratio` times as frequent
+    in toxic texts as in clean ones (add-half; its weight is the logarithm), and so unevenly spread that texts without regard to
+    their label would spread it so with probability below `chance` at most. A beginning gives way to longer entries that have nearly
+    all its toxic texts and fewer clean ones; of what remains, the shorter entry covers those that begin with it, and is lengthened as
+    far as nearly all its toxic texts go on alike. Two-word phrases around an entry that five clean texts, and one in a thousand of
+    them, and no toxic one hold excuse it. The logistic's inputs are the weight over the root of the words, and the weight's
+    logarithm. Without rows of both labels the lexicon is empty.
     """
-    sample = labelled_sample(docs, labels, of_each).cache()
+    drawn = labelled_sample(docs, labels, of_each).cache()  # bounded, and recomputable if an executor is lost
+    sample = independent(drawn)
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
-        sample.unpersist()
+        drawn.unpersist()
         return Lexicon({})
-    least = max(least, int(np.ceil(share * toxic)))
-    bad = _counts(sample.where("toxic = 1"), lambda w: _features(w, shortest, longest)).where(F.col("n") >= least)
-    found = {r["f"]: r["n"] for r in bad.collect()}  # `least` texts each, so bounded as the sample is
+    share, enough = toxic / (toxic + clean), -np.log(chance)
+    bad = _counts(sample.where("toxic = 1"), lambda w: _features(w, shortest, longest)).where(F.col("n") >= enough / -np.log(share))
+    found = {r["f"]: r["n"] for r in bad.collect()}  # many texts each, so bounded as the sample is
     names = sample.sparkSession.sparkContext.broadcast(frozenset(found))
     good = _counts(sample.where("toxic = 0"), lambda w: _features(w, shortest, longest) & names.value)
     held = {r["f"]: r["n"] for r in good.collect()}  # at most the features found above
-    odds = {f: (n + 0.5) / (toxic + 1) * (clean + 1) / (held.get(f, 0) + 0.5) for f, n in found.items()}
-    rare = lambda f: found[f] > 100 * held.get(f, 0) * toxic / clean
-    pure = {f: x for f, x in odds.items() if x >= ratio and rare(f)}
-    # a beginning gives way to a longer one that has nearly all its toxic texts and fewer clean ones
-    purer = {f[:k] for f in pure for k in range(shortest + 1, len(f)) if f[:k] in pure and found[f] >= 0.9 * found[f[:k]] and held.get(f, 0) < held.get(f[:k], 0)}
-    kept: dict[str, float] = {}
-    for f in sorted(pure.keys() - purer, key=lambda f: (len(f.rstrip()), f)):
-        if not any(f[:k] in kept for k in range(shortest + 1, len(f))):
-            kept[f] = float(np.log(pure[f]))
-    weights = dict(sorted(kept.items(), key=lambda x: (-found[x[0]] * x[1], x[0]))[:size])
+    weights = dict(sorted(entries(found, held, toxic, clean, enough, ratio, shortest).items(), key=lambda x: (-found[x[0]] * x[1], x[0]))[:size])
     exceptions = _learn_exceptions(sample, weights, max(5, int(np.ceil(0.001 * clean))))
     lexicon = Lexicon(weights, exceptions)
-    lexicon.model = _fit(sample, lexicon)
-    sample.unpersist()
+    lexicon.model = _fit(drawn, lexicon)
+    drawn.unpersist()
     return lexicon
 
 
+def entries(found: dict[str, int], held: dict[str, int], toxic: int, clean: int, enough: float, ratio: float, shortest: int) -> dict[str, float]:
+    """Of features in `found` toxic and `held` clean texts, those that `learn` describes, with weights."""
+    odds = {f: (n + 0.5) / (toxic + 1) * (clean + 1) / (held.get(f, 0) + 0.5) for f, n in found.items()}
+    share = toxic / (toxic + clean)
+    pure = {f for f, x in odds.items() if x >= ratio and _evidence(found[f], held.get(f, 0), share) >= enough}
+    beginnings = lambda f: (f[:k] for k in range(shortest + 1, len(f)))
+    purer = {b for f in pure for b in beginnings(f) if b in pure and found[f] >= 0.9 * found[b] and held.get(f, 0) < held.get(b, 0)}
+    kept: set[str] = set()
+    for f in sorted(pure - purer, key=lambda f: (len(f), f)):
+        if not any(b in kept for b in beginnings(f)):
+            kept.add(f)
+    longer: dict[str, str] = {}
+    for f in found:
+        if not f.endswith(" ") and f[:-1] in found and found[f] >= 0.95 * found[f[:-1]]:
+            longer[f[:-1]] = f
+    out = {}
+    for f in kept:
+        while f in longer:
+            f = longer[f]
+        out[f] = float(np.log(odds[f]))
+    return out
+
+
 def _learn_exceptions(sample: DataFrame, weights: dict[str, float], least: int) -> dict[str, str]:
     shared = sample.sparkSession.sparkContext.broadcast(weights)
 

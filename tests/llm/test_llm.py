@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html as entities
 import math
+import random
 import re
 import time
 import zlib
@@ -244,11 +245,47 @@ def test_toxicity_on_held_out_labels(spark):
     big = "/root/testdata/sf0.1"  # some 350 toxic labels to learn from
     d, found = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     rows = toxicity.score_documents(d, found).join(found, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in rows) >= 0.98 * len(rows)
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.985 * len(rows)
     for r in rows:
         assert zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and 0 <= r.score <= 1 and (r.score >= 0.5) == bool(r.predicted)
 
 
+def test_toxicity_learns_words_stems_and_exceptions_but_no_copies(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("bcdfglmnprst") + draw.choice("aeiou") for _ in range(3))
+    prose = lambda n: [word() for _ in range(n)]
+    texts = []
+    for i in range(80):  # a word, a stem with several endings, a short word
+        texts.append((1, prose(30) + ["blorgish", "zwick" + word(), "ugx"] + prose(20)))
+    copied = prose(60) + ["quaxel"]
+    for i in range(120):
+        near = list(copied)
+        near[draw.randrange(50)] = word()
+        texts.append((1, near))
+    texts += [(0, prose(50)) for _ in range(400)] + [(0, prose(20) + ["blorgish", "fish"] + prose(20)) for _ in range(12)]
+    rows = [(i, " ".join(w), label) for i, (label, w) in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert set(lexicon.weights) == {" blorgish", " zwick", " ugx "} and lexicon.exceptions == {" blorgish fish ": " blorgish"}
+    sample = toxicity.independent(toxicity.labelled_sample(docs, labels, 20_000)).collect()
+    toxic, clean = [r.text for r in sample if r.toxic], [r.text for r in sample if not r.toxic]
+    assert sum("quaxel" in t for t in toxic) <= 4 and sum("blorgish" in t for t in toxic) >= 50
+    for entry, weight in lexicon.weights.items():
+        n, m = (sum(entry in toxicity.folded(t) for t in part) for part in (toxic, clean))
+        assert weight == pytest.approx(math.log((n + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (m + 0.5)))
+    judged = {r.doc_id: r.predicted for r in toxicity.score(docs, lexicon).collect()}
+    assert all(judged[i] == 1 for i in range(80)) and all(judged[i] == 0 for i in range(200, len(rows)))
+
+
+def test_toxicity_entries():
+    found = {" idio": 50, " idiot": 50, " idiot ": 45, " path": 60, " pathe": 50, " hell": 40, " hell ": 40, " hello": 2, " few ": 8}
+    held = {" path": 3, " hell": 300, " hell ": 1}
+    got = toxicity.entries(found, held, 100, 900, -math.log(1e-9), 5.0, 4)
+    assert set(got) == {" idiot", " hell ", " path"}  # as far as evidence goes on; the whole word where its beginning is common; none by chance
+    assert toxicity.entries({" path": 60, " pathe": 58}, {" path": 3}, 100, 900, -math.log(1e-9), 5.0, 4).keys() == {" pathe"}
+
+
 def test_toxicity_folding_and_exceptions():
     lexicon = toxicity.Lexicon({" idio": 9.0, " clown": 9.0}, {" clown fish ": " clown"})
     a = lexicon.automaton()
