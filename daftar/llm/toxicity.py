@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import batches
-from .shared import doc_columns, fold, hash_sample
+from .shared import doc_columns, fold, hash_sample, materialise
 
 # Letters of other alphabets that look like Latin ones, digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏԛԝαορτυνικɑɡ", "aeopcyxijsdhlqwaoptuvikag", strict=True))
@@ -108,7 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, of_each: int, folds: int
 def independent(sample: DataFrame) -> DataFrame:
     """The rows of sample (doc_id, text, toxic) that have the smallest doc_id among those of their label with the same least hash of
     five-word shingles, for each of three orders of the hashes: equal texts, and nearly all near copies, are one piece of evidence.
-    At most `of_each` ids of either label are broadcast; no text shuffles."""
+    At most `of_each` ids of either label are written and broadcast; no text shuffles."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 5, F.lit(0)))
     hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("words", i + 1, 5)))
@@ -119,7 +119,7 @@ def independent(sample: DataFrame) -> DataFrame:
     for i in range(len(orders)):
         ids = ids.withColumn(f"first{i}", F.min("doc_id").over(W.partitionBy("toxic", f"least{i}")))
     alone = ids.where(" and ".join(f"doc_id = first{i}" for i in range(len(orders)))).select("doc_id", "toxic")
-    return sample.join(F.broadcast(alone), ["doc_id", "toxic"])
+    return sample.join(F.broadcast(materialise(alone)), ["doc_id", "toxic"])
 
 
 def _evidence(n: int, m: int, share: float) -> float:
