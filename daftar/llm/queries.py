@@ -37,7 +37,7 @@ def op6_url_filters(spark, sf_dir):
 
 
 def op7_nearest_neighbours(spark, sf_dir):
-    return ann.search(table(spark, sf_dir, "embeddings"))
+    return ann.search(table(spark, sf_dir, "embeddings"), whole=True)
 
 
 def op8_stratified_shards(spark, sf_dir):

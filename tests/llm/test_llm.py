@@ -576,6 +576,26 @@ def test_recall_of_neighbours_by_codes(spark):
     assert recall(ann.search(df, rerank=40, books=1, words=2).collect(), wanted) < 0.7
 
 
+def test_neighbours_that_codes_do_not_tell_apart(spark, tmp_path):
+    """Rows much closer to one another than codes can tell, beside rows far apart, and rows of one direction but for small parts: the
+    query finds all that are nearest, also where the lists of the codes' best miss them."""
+    rng = np.random.default_rng(11)
+    crowd = rng.normal(size=64) + 1e-3 * rng.normal(size=(1_500, 64))
+    v = np.concatenate([rng.normal(size=(1_500, 64)), crowd, 5 + 0.02 * rng.normal(size=(1_000, 64))]).astype(np.float32)
+    ids = rng.permutation(len(v))
+    rows = spark.createDataFrame([(int(i), x.tolist(), 0) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    wanted = neighbours_by_force(ids, v)
+    assert recall(ann.search(rows, rerank=8).collect(), wanted) < 0.9
+    got = collections.defaultdict(list)
+    for r in queries.op7_nearest_neighbours(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == wanted
+    for parameters in ({"rerank": 8}, {"rerank": 8, "block_rows": 500, "query_rows": 20}):
+        assert recall(ann.search(rows, whole=True, **parameters).collect(), wanted) == 1
+    print("recall without the rows that bounds leave open:", recall(ann.search(rows).collect(), wanted))
+
+
 # 8
 
 
