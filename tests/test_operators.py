@@ -351,3 +351,14 @@ def test_many_short_queries_stay_small(spark):
     angle = np.abs((x[:, None] - np.arange(50)[None, :] / 8 + np.pi) % (2 * np.pi) - np.pi)
     near = angle.min(1)
     assert all(angle[r.query_id, r.chunk_id] < near[r.query_id] + 1e-4 for r in got)
+
+
+def test_texts_are_encoded_where_they_lie(spark):
+    """The default encoder moves no row and no term; points carry their vectors without a join."""
+    chunks = spark.createDataFrame([("a", "الدولة مسؤولة الدولة"), ("b", ""), ("c", None)], "chunk_id string, text_for_embedding string")
+    held = E.points(chunks)
+    for plan in (R.encode(chunks, "chunk_id", "text_for_embedding"), held):
+        assert "Exchange" not in plan._jdf.queryExecution().toString()
+    found = {r.chunk_id: r.dense for r in held.collect()}
+    assert len(found) == 3 and found["b"] == found["c"] == [0.0] * 64 and abs(sum(x * x for x in found["a"]) - 1) < 1e-12
+    assert [r.chunk_id for r in R.encode(chunks, "chunk_id", "text_for_embedding").collect()] == ["a"]
