@@ -415,6 +415,8 @@ def test_lookups_meet_the_first_articles_only(spark):
         assert got.get(q, []) == sorted(fits)[:5]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "NestedLoop" not in plan
+    met = R.smallest_chunks(asked.where("article_type = 'substantive'"), held.select("chunk_id", F.col("article_number").alias("number"), "article_type", "law_number"), ("number",), ("article_type", "law_number"), 5)
+    assert 0 < met.count() <= 5 * 100
 
 
 def test_nfkc_in_slices(spark):
