@@ -19,11 +19,13 @@ from .stores import latest
 
 
 class File(NamedTuple):
-    """A data file: its path below the ledger, the least key that belongs to it (None: no bound below), its rows."""
+    """A data file: its path below the ledger, the least key that belongs to it (None: no bound below), its rows, and their bytes as `_size`
+    counts them (None in entries of before they were kept)."""
 
     path: str
     low: int | str | None
     rows: int
+    bytes: int | None = None
 
 
 class State(NamedTuple):
@@ -43,6 +45,13 @@ class State(NamedTuple):
         return State(entry["version"], tables, done)
 
 
+def _size(schema: T.StructType) -> Column:
+    """The bytes of a table's cells before any compression: of texts and nested values their text's, of others 8."""
+    fixed = (T.NumericType, T.DatetimeType, T.BooleanType)
+    cells = [F.lit(8) if isinstance(f.dataType, fixed) else F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in schema.fields]
+    return F.coalesce(F.sum(sum(cells, F.lit(0)).cast("long")), F.lit(0))
+
+
 class Ledger:
     """Tables as Parquet files with a commit log.
 
@@ -55,14 +64,15 @@ class Ledger:
     lost checkpoint, whose batches count from 0 again, is another source.
 
     The files of a table part the range of its key: a file holds the keys from its `low` to below the next one's. A merge reads and
-    writes only the files that its keys fall into. Every STATE_EACH versions the whole state is written too, so a reader opens at most as many
+    writes only the files that its keys fall into, cut so that the task that makes a file reads about rows_per_file rows or bytes_per_file
+    bytes at most. Every STATE_EACH versions the whole state is written too, so a reader opens at most as many
     entries. The driver holds the list of files; rows stay with the executors.
     """
 
     STATE_EACH = 16
 
-    def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 1_000_000, attempts: int = 20):
-        self.spark, self.path, self.rows_per_file, self.attempts = spark, path.rstrip("/"), rows_per_file, attempts
+    def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 1_000_000, attempts: int = 20, bytes_per_file: int = 64_000_000):
+        self.spark, self.path, self.rows_per_file, self.attempts, self.bytes_per_file = spark, path.rstrip("/"), rows_per_file, attempts, bytes_per_file
 
     # files
 
@@ -161,18 +171,21 @@ class Ledger:
         touched = sorted(r["s"] for r in batch.select(slot.alias("s")).distinct().collect())  # at most one a file
         old = [files[s] for s in touched if s < len(files)]
         kept = self._frame(old, batch.schema).join(batch.select(key), key, "left_anti").select(*batch.columns)
-        parts = max(1, -(-(sum(f.rows for f in old) + batch.count()) // self.rows_per_file))
+        size, total = _size(batch.schema), F.count("*").alias("rows")
+        new = batch.agg(total, size.alias("bytes")).first()
+        held = sum(f.bytes for f in old) if all(f.bytes is not None for f in old) else self._frame(old, batch.schema).agg(size).first()[0]
+        parts = max(1, -(-(sum(f.rows for f in old) + new["rows"]) // self.rows_per_file), -(-(held + new["bytes"]) // self.bytes_per_file))
         folder = f"data/{uuid.uuid4().hex}"
         rows = kept.unionByName(batch).withColumn("_slot", slot)
         rows.repartitionByRange(parts, "_slot", key).sortWithinPartitions("_slot", key).write.partitionBy("_slot").parquet(f"{self.path}/{folder}")
-        written = self.spark.read.schema(T.StructType([batch.schema[key], T.StructField("_slot", T.IntegerType())])).parquet(f"{self.path}/{folder}")
-        found = written.groupBy("_slot", F.col("_metadata.file_path").alias("p")).agg(F.min(key).alias("low"), F.count("*").alias("n")).orderBy("_slot", "low").collect()
+        written = self.spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("_slot", T.IntegerType())])).parquet(f"{self.path}/{folder}")
+        found = written.groupBy("_slot", F.col("_metadata.file_path").alias("p")).agg(F.min(key).alias("low"), total, size.alias("bytes")).orderBy("_slot", "low").collect()
         add, last = [], None
         for r in found:
             first = r["_slot"] != last
             last = r["_slot"]
             low = (files[last].low if files else None) if first else r["low"]
-            add.append(File(folder + r["p"].split(folder, 1)[1], low, r["n"]))
+            add.append(File(folder + r["p"].split(folder, 1)[1], low, r["rows"], r["bytes"]))
         return {"remove": [f.path for f in old], "add": add}
 
     def upsert(self, batches: dict[str, tuple[DataFrame, str, str]], source: str | None = None, batch: int | None = None, before_commit: Callable = lambda: None) -> int | None:
