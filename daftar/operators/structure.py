@@ -8,10 +8,11 @@ text is cut from the line as it stands.
 from __future__ import annotations
 
 import json
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,15 +49,18 @@ def lines(pages: DataFrame) -> DataFrame:
     return normalised(rows)
 
 
-def normalised(rows: DataFrame, pages_per_block: int | None = None) -> DataFrame:
+def normalised(rows: DataFrame, pages_per_block: int | None = None, dealt: bool = False) -> DataFrame:
     """The derived columns for rows of doc_id, page_number, pos, line. What follows a line is looked up within its page; the one exchange
     is on doc_id, or, with pages_per_block, on blocks of so many pages, so that a document of any length lies in many tasks. Their work is
-    patterns over few bytes, so the number of tasks is the session's and not fitted to bytes."""
+    patterns over few bytes, so the number of tasks is the session's and not fitted to bytes. dealt: the rows come from such an exchange on
+    doc_id, and none is made."""
     keys = ["doc_id"] + ["block"] * bool(pages_per_block)
     if pages_per_block:
         rows = rows.withColumn("block", F.floor(F.col("page_number") / pages_per_block))
     norm = A.normalize_for_match(F.col("line"))
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("norm", norm).withColumn("na", A.arabic_to_ascii(F.col("norm")))
+    if not dealt:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows = rows.withColumn("norm", norm).withColumn("na", A.arabic_to_ascii(F.col("norm")))
     furniture = (F.col("norm").contains("الجريدة الرسمية") & F.col("norm").contains("العدد")) | F.col("line").rlike(f"^[{A.ASCII_DIGITS}{A.ARABIC_DIGITS}]+$")
     page = W.partitionBy(*keys, "page_number").orderBy("pos")
     return rows.withColumn("furniture", furniture).withColumn("following", F.lead("line").over(page)).withColumn("following_na", F.lead("na").over(page))
@@ -99,8 +103,8 @@ def shapes() -> Column:
 def faithful_tail(line: Column, dashes: Column, words: Column) -> Column:
     """What follows the line's nth dash, else what follows its first words."""
     parts = F.split(line, DASH)
-    after_dash = F.array_join(F.slice(parts, dashes + 1, F.greatest(F.size(parts) - dashes, F.lit(0))), "-")
-    after_words = F.array_join(F.slice(F.split(line, r"\s+"), words + 1, F.greatest(F.size(F.split(line, r"\s+")) - words, F.lit(0))), " ")
+    after_dash = F.array_join(F.filter(parts, lambda _, i: i >= dashes), "-")
+    after_words = F.array_join(F.filter(F.split(line, r"\s+"), lambda _, i: i >= words), " ")
     return A.strip(F.when(F.size(parts) > dashes, after_dash).when(words > 0, after_words).otherwise(""))
 
 
@@ -198,6 +202,8 @@ class Reader:
             self._mark(*MARKS[kind], {"number": number, "number2": number2, None: 0}, title)
         elif kind != "range" and title is not None:
             self.label = title
+        else:
+            return kind
         self.context = self._context()
         return kind
 
@@ -230,6 +236,7 @@ def _titled(c: dict, line, i: int, n: int) -> int:
     return j
 
 
+GIVEN = ("doc_id", "page_number", "pos", "line")
 _TOLD = ["doc_id", "block", "page_number", "shape", "number", "number2", "title", "seed", "bare", "ends", "opens"]
 
 
@@ -251,49 +258,97 @@ def _whole_titles(it):
         yield left
 
 
-def _parse(it):
-    """L12 to L18 in one pass: every line's kind and what is in force at it. A line of shape `state` brings a block's beginning."""
+def _differs(a: pa.Array) -> np.ndarray:
+    """Where a value is not the one before it; nulls are one value."""
+    one, two = a.slice(1), a.slice(0, max(len(a) - 1, 0))
+    other = pc.fill_null(pc.not_equal(one, two), False).to_numpy(zero_copy_only=False)
+    return other | (one.is_null().to_numpy(zero_copy_only=False) != two.is_null().to_numpy(zero_copy_only=False))
+
+
+def _spread(values: list, type_: pa.DataType, at: np.ndarray) -> pa.Array:
+    return pa.array(values, type_).take(pa.array(at))
+
+
+def _parse(it, kinds: tuple[str, ...] | None = None, columns: tuple[str, ...] | None = None):
+    """L12 to L18 in one pass: every line's kind and what is in force at it. A line of shape `state` brings a block's beginning.
+
+    The pass stops at lines that can change something: a block's first, those that are no body, and body lines that end a sentence after
+    one of these. What it finds there is then laid over the lines up to the next stop. Lines of other kinds and columns that were not asked
+    for are not made.
+    """
     reader, now = Reader(), None
     for t in _whole_titles(it):
-        c, line = {k: t.column(k).to_pylist() for k in _TOLD}, t.column("line")
-        n, i = t.num_rows, 0
-        kinds, numbers, numbers2, titles, seeds = ["body"] * n, [None] * n, [None] * n, [None] * n, [None] * n
-        sessions, closed, contexts, kept = [0] * n, [False] * n, [()] * n, [True] * n
-        shapes_, ends, opens = c["shape"], c["ends"], c["opens"]
-        keys = list(zip(c["doc_id"], c["block"], strict=True))
-        while i < n:
-            if keys[i] != now:
-                reader, now = Reader(), keys[i]
-            shape = shapes_[i]
+        n, line = t.num_rows, t.column("line")
+        shape_codes = t.column("shape").combine_chunks().dictionary_encode()
+        names, codes = shape_codes.dictionary.to_pylist(), shape_codes.indices.to_numpy(zero_copy_only=False)
+        coded = lambda *of: np.isin(codes, [i for i, s in enumerate(names) if s in of])  # noqa: B023, E731
+        body, plain = coded("body"), coded("body", "ordinal")
+        moved = lambda k: np.concatenate([[True], _differs(t.column(k).combine_chunks())])  # noqa: B023, E731
+        first = moved("doc_id") | moved("block")
+        # where title lines that begin at a line end
+        breaks = np.where(~plain | moved("doc_id") | moved("page_number"), np.arange(n), n)
+        ends_at = np.append(np.minimum.accumulate(breaks[::-1])[::-1], n)
+        stops = np.flatnonzero(first | ~body | pc.fill_null(t.column("ends"), False).to_numpy())
+        # a body line that ends a sentence says nothing new after another of its page; on other pages the other may be a title
+        said, page = (body & ~first)[stops], np.cumsum(first | moved("page_number"))[stops]
+        stops = stops[~(said & np.concatenate([[False], said[:-1] & (page[1:] == page[:-1])]))]
+        c = {k: v.to_pylist() for k, v in zip(_TOLD, t.select(_TOLD).take(pa.array(stops)).columns, strict=True)}
+        found, title_runs = ["body"] * len(stops), []
+        numbers, numbers2, titles, seeds = ([None] * len(stops) for _ in range(4))
+        begins, sessions, closed, contexts, at_context, done = [], [], [], [], [], 0
+        for e, i in enumerate(stops.tolist()):
+            if i < done:
+                continue  # a title line
+            key = (c["doc_id"][e], c["block"][e])
+            if key != now:
+                reader, now = Reader(), key
+            shape = c["shape"][e]
             if shape == "state":
-                reader, kept[i] = Reader(c["title"][i]), False
-                contexts[i] = reader.context
-                i += 1
-                continue
-            kind = shape if shape == "body" else reader.kind(shape)
-            if kind == "body":
-                reader.text(ends[i], opens[i])
-                j = i + 1
+                reader = Reader(c["title"][e])
+            elif (kind := shape if shape == "body" else reader.kind(shape)) == "body":
+                reader.text(c["ends"][e], c["opens"][e])
             else:
-                title, j = c["title"][i], i + 1
-                if c["bare"][i]:
-                    j = _titled(c, line, i, n)
-                    title = " ".join(line[k].as_py() for k in range(i + 1, j))
-                first = reader.header(kind, c["number"][i], c["number2"][i], title, c["seed"][i], ends[i], opens[i])
-                kinds[i] = first
-                if first == kind:
-                    numbers[i], numbers2[i], titles[i], seeds[i] = c["number"][i], c["number2"][i], title, c["seed"][i]
-                for k in range(i + 1, j):
-                    kinds[k] = "title"
-            session, shut, context = reader.session, reader.closed, reader.context
-            for k in range(i, j):
-                sessions[k], closed[k], contexts[k] = session, shut, context
-            i = j
-        made = [pa.array(kinds, pa.string()), pa.array(numbers, pa.int32()), pa.array(numbers2, pa.int32()), pa.array(titles, pa.string()), pa.array(seeds, pa.string()), pa.array(sessions, pa.int64()), pa.array(closed, pa.bool_())]
-        made += [pa.array(v, pa.int32() if i < 10 and i % 2 == 0 else pa.string()) for i, v in enumerate(zip(*contexts, strict=True))]
-        given = [t.column(k).combine_chunks() for k in ("doc_id", "page_number", "pos", "line")]
-        out = pa.RecordBatch.from_arrays([*given, *made], ["doc_id", "page_number", "pos", "line", "kind", "number", "number2", "title", "seed", "session", "closed", *CONTEXT])
-        yield out if all(kept) else out.filter(pa.array(kept))
+                title = c["title"][e]
+                if c["bare"][e]:
+                    done = int(ends_at[i + 1])
+                    title = " ".join(line.slice(i + 1, done - i - 1).to_pylist())
+                    title_runs.append((i + 1, done))
+                found[e] = reader.header(kind, c["number"][e], c["number2"][e], title, c["seed"][e], c["ends"][e], c["opens"][e])
+                if found[e] == kind:
+                    numbers[e], numbers2[e], titles[e], seeds[e] = c["number"][e], c["number2"][e], title, c["seed"][e]
+            if not contexts or contexts[-1] is not reader.context:
+                contexts.append(reader.context)
+            begins.append(i)
+            sessions.append(reader.session)
+            closed.append(reader.closed)
+            at_context.append(len(contexts) - 1)
+        own = np.full(n, len(stops))  # the stop that a line is, else one that says nothing
+        own[stops] = np.arange(len(stops))
+        table = [*found, "body", "title"]
+        kind_at = own.copy()
+        for i, j in title_runs:
+            kind_at[i:j], own[i:j] = len(stops) + 1, len(stops)
+        keep = ~coded("state")
+        if kinds:
+            keep &= np.array([k in kinds for k in table])[kind_at]
+        keep = np.flatnonzero(keep)
+        own, kind_at, since = own[keep], kind_at[keep], np.searchsorted(np.array(begins), keep, side="right") - 1
+        in_force = np.array(at_context)[since]
+        rows = pa.array(keep)
+        made = {
+            "kind": lambda: _spread(table, pa.string(), kind_at),  # noqa: B023
+            "number": lambda: _spread([*numbers, None], pa.int32(), own),  # noqa: B023
+            "number2": lambda: _spread([*numbers2, None], pa.int32(), own),  # noqa: B023
+            "title": lambda: _spread([*titles, None], pa.string(), own),  # noqa: B023
+            "seed": lambda: _spread([*seeds, None], pa.string(), own),  # noqa: B023
+            "session": lambda: _spread(sessions, pa.int64(), since),  # noqa: B023
+            "closed": lambda: _spread(closed, pa.bool_(), since),  # noqa: B023
+        }
+        wanted = columns or (*GIVEN, *made, *CONTEXT)
+        held = lambda k: _spread([x[CONTEXT.index(k)] for x in contexts], pa.int32() if k.endswith("_number") else pa.string(), in_force)  # noqa: B023, E731
+        out = [t.column(k).take(rows).combine_chunks() if k in GIVEN else made[k]() if k in made else held(k) for k in wanted]
+        if len(keep):
+            yield pa.RecordBatch.from_arrays(out, list(wanted))
 
 
 def _events(it):
@@ -342,28 +397,31 @@ def _beginnings(t: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((t.schema.field("doc_id").type, pa.int64(), pa.string()))], ["doc_id", "block", "state"])
 
 
-def classify(rows: DataFrame) -> DataFrame:
-    """The lines without furniture with kind, number, number2, title, seed, session, closed, and the CONTEXT in force at each.
+def classify(rows: DataFrame, kinds: tuple[str, ...] | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The lines without furniture with kind, number, number2, title, seed, session, closed, and the CONTEXT in force at each;
+    with kinds and columns, all lines are read but only those are made.
 
     Lines are marked in the JVM and read once, in order, where the exchange of `normalised` has put them. Rows that came in blocks of
     pages are read twice: first each block alone, for the few lines that can change a state; these, without their texts, are
     folded document by document into the state before each block, with which the blocks are then read apart.
     """
     lines_ = marked(rows)
-    kinds = dict(lines_.dtypes)
+    types = dict(lines_.dtypes)
     order = ["doc_id", "block", "pos"]
-    context = ", ".join(f"{c} {'int' if c.endswith('_number') else 'string'}" for c in CONTEXT)
-    schema = f"doc_id {kinds['doc_id']}, page_number {kinds['page_number']}, pos {kinds['pos']}, line string, kind string, number int, number2 int, title string, seed string, session long, closed boolean, {context}"
+    out = {k: types[k] for k in GIVEN} | {"kind": "string", "number": "int", "number2": "int", "title": "string", "seed": "string", "session": "long", "closed": "boolean"}
+    out |= {c: "int" if c.endswith("_number") else "string" for c in CONTEXT}
+    schema = ", ".join(f"{k} {out[k]}" for k in columns or out)
+    parse = partial(_parse, kinds=kinds, columns=columns)
     if "block" not in rows.columns:
-        return lines_.sortWithinPartitions(*order).mapInArrow(_parse, schema)
+        return lines_.sortWithinPartitions(*order).mapInArrow(parse, schema)
     lines_ = lines_.persist(StorageLevel.DISK_ONLY)  # read twice; lost parts are made again
     told = ", ".join(f"{k} {v}" for k, v in lines_.dtypes if k != "line")
     events = lines_.sortWithinPartitions(*order).mapInArrow(_events, told)
-    states = events.groupBy("doc_id").applyInArrow(_beginnings, f"doc_id {kinds['doc_id']}, block long, state string")
-    empty = {k: F.lit(None).cast(v) for k, v in kinds.items()} | {"pos": F.lit(-1).cast(kinds["pos"]), "shape": F.lit("state"), "line": F.lit(""), "title": F.col("state"), "bare": F.lit(False), "doc_id": F.col("doc_id"), "block": F.col("block")}
+    states = events.groupBy("doc_id").applyInArrow(_beginnings, f"doc_id {types['doc_id']}, block long, state string")
+    empty = {k: F.lit(None).cast(v) for k, v in types.items()} | {"pos": F.lit(-1).cast(types["pos"]), "shape": F.lit("state"), "line": F.lit(""), "title": F.col("state"), "bare": F.lit(False), "doc_id": F.col("doc_id"), "block": F.col("block")}
     both = lines_.unionByName(states.select(*(v.alias(k) for k, v in empty.items())))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(n, "doc_id", "block").sortWithinPartitions(*order).mapInArrow(_parse, schema)
+    return both.repartition(n, "doc_id", "block").sortWithinPartitions(*order).mapInArrow(parse, schema)
 
 
 def with_context(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daftar.functions import arabic as A
@@ -123,12 +124,29 @@ articles AS (SELECT doc_id, pos, CASE WHEN k = 'issuance' THEN 'issuance' ELSE '
 SELECT *, CASE WHEN repealed_range IS NULL THEN length(body) ELSE 0 END AS char_count FROM articles"""
 
 
+_ITEM = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice".split(", ")
+_PART = ", ".join(f"CASE WHEN {test} THEN named_struct('k', {k}, 'j', 0, 'line', {line}) END" for k, test, line in _PARTS)
+#: Of an order's first row the lines of _PARTS that are its own, and of the first of equal items theirs.
+_LINES_OF = f"""concat(CASE WHEN _row = 1 THEN filter(array({_PART}), x -> x IS NOT NULL) ELSE array() END,
+  CASE WHEN l.l_orderkey IS NOT NULL AND _rank = _row THEN array(named_struct('k', 100, 'j', _j, 'line', {_BODY})) ELSE array() END)"""
+
+
+def law_lines(t):
+    """The rows of LAW_LINES, dealt by doc_id: orders with their items are exchanged as numbers, and their lines are written behind that."""
+    items = t["lineitem"].select("l_orderkey", *_ITEM)
+    rows = t.sql(_N).join(items, F.col("o") == F.col("l_orderkey"), "left").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "c")
+    order = W.partitionBy("c", "n").orderBy(*_ITEM)
+    rows = rows.withColumns({"_j": F.dense_rank().over(order), "_rank": F.rank().over(order), "_row": F.row_number().over(order)}).alias("l")
+    rows = rows.select("c", "n", F.expr(_LINES_OF).alias("lines")).select("c", "n", F.inline_outer("lines")).where("k is not null")
+    return rows.select(F.col("c").alias("doc_id"), F.floor((F.col("n") + 3) / 4).cast("int").alias("page_number"), F.expr("n * 1000000 + k * 1000 + j").alias("pos"), "line")
+
+
 def _rows(t):
-    return S.normalised(t.sql(LAW_LINES))
+    return S.normalised(law_lines(t), dealt=True)
 
 
-def _classified(t):
-    return S.classify(_rows(t))
+def _classified(t, **only):
+    return S.classify(_rows(t), **only)
 
 
 def articles_of(t):
@@ -181,13 +199,14 @@ def l15_context_carry(t):
 def l16_sessions(t):
     """Articles as sessions and the lines that are theirs."""
     opening = F.col("kind").isin(*S.OPENING)
-    return _classified(t).where("session > 0").groupBy("doc_id", "session").agg(F.min(F.when(opening, F.col("pos"))).alias("pos"), F.count_if((F.col("kind") == "body") & ~F.col("closed")).alias("n_lines"))
+    lines = _classified(t, columns=("doc_id", "pos", "kind", "session", "closed"))
+    return lines.where("session > 0").groupBy("doc_id", "session").agg(F.min(F.when(opening, F.col("pos"))).alias("pos"), F.count_if((F.col("kind") == "body") & ~F.col("closed")).alias("n_lines"))
 
 
 @query(f"{CONTEXT} SELECT doc_id, pos, number, number2, {_CTX} FROM context WHERE kind = 'range'")
 def l20_repealed_ranges(t):
     """Repealed ranges with their place."""
-    return S.with_context(_classified(t)).where("kind = 'range'").select("doc_id", "pos", "number", "number2", *S.CONTEXT)
+    return S.with_context(_classified(t, kinds=("range",), columns=("doc_id", "pos", "number", "number2", *S.CONTEXT)))
 
 
 @query(f"{CTES.rstrip().rstrip(',')} SELECT doc_id, pos, line, kind FROM classified WHERE kind IN ('subsection', 'label') OR (kind = 'body' AND closed)")
@@ -208,7 +227,7 @@ def _of_kinds(name: str, doc: str, kinds: tuple[str, ...], columns: str, ctes: s
     """A query of the classified lines of some kinds."""
 
     def run(t):
-        return _classified(t).where(F.col("kind").isin(*kinds)).select(*columns.split(", "))
+        return _classified(t, kinds=kinds, columns=tuple(columns.split(", ")))
 
     run.__name__, run.__doc__ = name, doc
     query(f"{ctes.rstrip().rstrip(',')} SELECT {columns} FROM classified WHERE {_any('kind', kinds)}")(run)
