@@ -60,7 +60,7 @@ def normalised(rows: DataFrame, pages_per_block: int | None = None, dealt: bool
     norm = A.normalize_for_match(F.col("line"))
     if not dealt:
         rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    rows = rows.withColumn("norm", norm).withColumn("na", A.arabic_to_ascii(F.col("norm")))
+    rows = rows.withColumn("norm", norm).withColumn("na", F.when(F.col("norm").rlike(f"[{A.ARABIC_DIGITS[0]}-{A.ARABIC_DIGITS[-1]}]"), A.arabic_to_ascii(F.col("norm"))).otherwise(F.col("norm")))
     furniture = (F.col("norm").contains("الجريدة الرسمية") & F.col("norm").contains("العدد")) | F.col("line").rlike(f"^[{A.ASCII_DIGITS}{A.ARABIC_DIGITS}]+$")
     page = W.partitionBy(*keys, "page_number").orderBy("pos")
     return rows.withColumn("furniture", furniture).withColumn("following", F.lead("line").over(page)).withColumn("following_na", F.lead("na").over(page))
@@ -265,6 +265,13 @@ def _differs(a: pa.Array) -> np.ndarray:
     return other | (one.is_null().to_numpy(zero_copy_only=False) != two.is_null().to_numpy(zero_copy_only=False))
 
 
+def _listed(a: pa.ChunkedArray) -> list:
+    """A column as Python values, by way of numpy, which is faster than Arrow's own."""
+    if pa.types.is_integer(a.type):
+        return [v if ok else None for v, ok in zip(pc.fill_null(a, 0).to_numpy().tolist(), a.is_valid().to_numpy().tolist(), strict=True)]
+    return (pc.fill_null(a, False) if pa.types.is_boolean(a.type) else a).to_numpy().tolist()
+
+
 def _spread(values: list, type_: pa.DataType, at: np.ndarray) -> pa.Array:
     return pa.array(values, type_).take(pa.array(at))
 
@@ -292,17 +299,17 @@ def _parse(it, kinds: tuple[str, ...] | None = None, columns: tuple[str, ...] |
         # a body line that ends a sentence says nothing new after another of its page; on other pages the other may be a title
         said, page = (body & ~first)[stops], np.cumsum(first | moved("page_number"))[stops]
         stops = stops[~(said & np.concatenate([[False], said[:-1] & (page[1:] == page[:-1])]))]
-        c = {k: v.to_pylist() for k, v in zip(_TOLD, t.select(_TOLD).take(pa.array(stops)).columns, strict=True)}
+        c = {k: _listed(t.column(k).take(pa.array(stops))) for k in ("number", "number2", "title", "seed", "bare", "ends", "opens")}
+        stop_shapes, fresh = [names[k] for k in codes[stops].tolist()], first[stops].tolist()
         found, title_runs = ["body"] * len(stops), []
         numbers, numbers2, titles, seeds = ([None] * len(stops) for _ in range(4))
         begins, sessions, closed, contexts, at_context, done = [], [], [], [], [], 0
         for e, i in enumerate(stops.tolist()):
             if i < done:
                 continue  # a title line
-            key = (c["doc_id"][e], c["block"][e])
-            if key != now:
-                reader, now = Reader(), key
-            shape = c["shape"][e]
+            if fresh[e] and (i or (t.column("doc_id")[0].as_py(), t.column("block")[0].as_py()) != now):
+                reader = Reader()
+            shape = stop_shapes[e]
             if shape == "state":
                 reader = Reader(c["title"][e])
             elif (kind := shape if shape == "body" else reader.kind(shape)) == "body":
@@ -311,7 +318,7 @@ def _parse(it, kinds: tuple[str, ...] | None = None, columns: tuple[str, ...] |
                 title = c["title"][e]
                 if c["bare"][e]:
                     done = int(ends_at[i + 1])
-                    title = " ".join(line.slice(i + 1, done - i - 1).to_pylist())
+                    title = " ".join(line[k].as_py() for k in range(i + 1, done))
                     title_runs.append((i + 1, done))
                 found[e] = reader.header(kind, c["number"][e], c["number2"][e], title, c["seed"][e], c["ends"][e], c["opens"][e])
                 if found[e] == kind:
@@ -322,6 +329,7 @@ def _parse(it, kinds: tuple[str, ...] | None = None, columns: tuple[str, ...] |
             sessions.append(reader.session)
             closed.append(reader.closed)
             at_context.append(len(contexts) - 1)
+        now = (t.column("doc_id")[-1].as_py(), t.column("block")[-1].as_py())
         own = np.full(n, len(stops))  # the stop that a line is, else one that says nothing
         own[stops] = np.arange(len(stops))
         table = [*found, "body", "title"]
