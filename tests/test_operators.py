@@ -8,7 +8,9 @@ from collections import Counter, deque
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -473,3 +475,89 @@ def test_few_texts_are_encoded_at_a_time(spark):
     got = {r.query_id: r.score for r in R.late_interaction(pairs, "q", "p", encoder=encoder).collect()}
     one = lambda i: (V.hashed_token_vectors([f"a{i}", f"b{i % 3}"]) @ V.hashed_token_vectors([f"b{i % 2}", f"c{i}"]).T).max(1).mean()
     assert len(got) == 1_500 and all(abs(got[i] - one(i)) < 1e-12 for i in range(0, 1_500, 13))
+
+
+def test_few_points_are_scored_in_double_precision(monkeypatch):
+    """Single precision names the points that can be among the nearest: few of all pairs, and none is missed, ties and copies included."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32))
+    x[1::50] = x[0]  # copies
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    asked, scored = x[::40], []
+    keep = R._Nearest._keep
+    monkeypatch.setattr(R._Nearest, "_keep", lambda self, rows, *a: (scored.append(len(rows)), keep(self, rows, *a))[1])
+    nearest = R._Nearest(asked, 5, np.full(len(asked), -np.inf))
+    for i in range(0, len(x), 500):
+        nearest.add(np.arange(len(asked)), x[i : i + 500], np.arange(i, i + 500))
+    want = np.argsort(-np.round(asked @ x.T, 9), axis=1, kind="stable")[:, :5]
+    assert (nearest.at == want).all() and sum(scored) < 0.1 * len(x) * len(asked)
+
+
+def test_thresholds_of_a_first_search_change_no_result(spark, monkeypatch):
+    """Dense and sparse, with filters: the k-th best of a sample, or of the longest points, only spares work."""
+    t = Tables(spark, SF)
+    queries, held = t.sql(QR.QUERIES), QR.points(t)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    plain_ = [rows(f(queries, held, 4, ("law_number",))) for f in (R.dense_top_k, R.sparse_top_k)]
+    reached = []
+    given = R._reached
+    monkeypatch.setattr(R, "_reached", lambda *a: reached.append(given(*a)) or reached[-1])
+    monkeypatch.setattr(R, "HITS", 1)
+    assert [rows(f(queries, held, 4, ("law_number",))) for f in (R.dense_top_k, R.sparse_top_k)] == plain_
+    assert len(reached) == 2 and all(np.isfinite(x).any() for x in reached)
+
+
+def test_a_sparse_threshold_rises_from_block_to_block():
+    """Of later blocks only points that can enter a query's best are scored."""
+    rng = np.random.default_rng(6)
+    texts = [rng.zipf(1.4, int(n)) % 3000 for n in rng.integers(5, 200, 2400)]
+    vectors = [dict(zip(*np.unique(x, return_counts=True))) for x in texts]
+    words = [f"t{t}" for v in vectors[::60] for t in v]
+    lengths, weight = np.array([len(v) for v in vectors[::60]]), np.array([float(n) for v in vectors[::60] for n in v.values()])
+    coded = pa.array(words).dictionary_encode()
+    heads, tests = R._Heads(lengths, coded, weight), R._Filters(pd.DataFrame({"_": range(len(lengths))}), ())
+    least, tops, scored, got = np.full(len(lengths), -np.inf), np.full((len(lengths), 5), -np.inf), [], {}
+
+
+    rows = pa.table({"chunk_id": pa.array(range(len(vectors))), "indices": [[f"t{t}" for t in v] for v in vectors], "values": [[float(n) for n in v.values()] for v in vectors]})
+    for i in range(0, len(vectors), 300):
+        block = R.SparseBlock(_block_of(rows.slice(i, 300)))
+        exact = block.exact
+        block.exact = lambda points, exact=exact: (scored.append((i, len(points))), exact(points))[1]  # noqa: B023
+        known = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=block.terms), -1))
+        for q, points, scores in R._block_hits(block, heads, tests, {}, known, np.asarray(coded.indices), np.cumsum(lengths), lengths, weight, least, tops, 5):
+            got.setdefault(q, []).extend((-round(s, 9), i + int(p)) for p, s in zip(points, scores, strict=True))
+    for q, v in enumerate(vectors[::60]):
+        scores = [(-sum(n * w.get(t, 0) for t, n in v.items()), i) for i, w in enumerate(vectors)]
+        assert sorted(got[q])[:5] == sorted(scores)[:5]
+    late = sum(n for i, n in scored if i >= 1200)
+    assert late < 0.1 * 1200 * len(lengths)
+
+
+def _block_of(rows: pa.Table) -> dict:
+    """A block of the index, as a search reads it."""
+    indices = rows.column("indices").combine_chunks()
+    coded, weight = indices.flatten().dictionary_encode(), np.asarray(rows.column("values").combine_chunks().flatten())
+    lengths, terms = np.asarray(pc.list_value_length(indices), np.int64), np.asarray(coded.indices, np.int32)
+    order, row = np.lexsort((-weight, terms)), np.repeat(np.arange(rows.num_rows, dtype=np.int32), lengths)
+    arrays = {"row_starts": np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), "row_terms": terms, "row_weights": weight, "starts": np.concatenate([[0], np.cumsum(np.bincount(terms))]).astype(np.int64), "points": row[order], "weights": weight[order]}
+    return {"chunk_id": rows.column("chunk_id").combine_chunks(), "terms": coded.dictionary} | {k: v.tobytes() for k, v in arrays.items()}
+
+
+def test_expected_chunks_are_never_listed(spark):
+    """Q11 by groups gives what lists of expected chunks give; its plan holds no list that grows with a group."""
+    t = Tables(spark, SF)
+    hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "b", 1), (2, "a", 6), (3, "c", 1), (4, "d", 1)], "query_id long, chunk_id string, rank int")
+    held = spark.createDataFrame([("a", 7, 1), ("b", 7, 2), ("c", 8, 3), ("d", None, 4)], "chunk_id string, group int, own long")
+    asked = held.select(F.col("own").alias("query_id"), F.lit("open").alias("route"), "group", "own")
+    expected = spark.createDataFrame([(1, "open", ["b"]), (2, "open", ["a"])], "query_id long, route string, expected array<string>")
+    key = lambda df: sorted(map(str, df.select("query_id", "route", "found_rank", "hit").collect()))
+    assert key(Q.evaluate_groups(hits, asked, held)) == key(Q.evaluate(hits, expected))
+    plan = plans.queries()["q11_hit_rates"](t.spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "explode" not in plan
+
+
+def test_stored_vectors_are_searched_without_their_texts(spark):
+    """V15 encodes texts where they lie, once: its search reads neither texts nor documents."""
+    plan = plans.queries()["v15_encoded_search"](spark, SF)._jdf.queryExecution().toString()
+    assert "documents" not in plan and "text" not in plan.replace("Context", "")
