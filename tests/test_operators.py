@@ -24,6 +24,7 @@ from daftar.operators import quality as Q
 from daftar.operators import retrieval as R
 from daftar.operators import structure as ST
 from daftar import plans
+from daftar.plans import queries_engine as QE
 from daftar.plans import queries_quality as QQ
 from daftar.plans import queries_retrieval as QR
 from daftar.plans import queries_stores as QS
@@ -561,3 +562,9 @@ def test_stored_vectors_are_searched_without_their_texts(spark):
     """V15 encodes texts where they lie, once: its search reads neither texts nor documents."""
     plan = plans.queries()["v15_encoded_search"](spark, SF)._jdf.queryExecution().toString()
     assert "documents" not in plan and "text" not in plan.replace("Context", "")
+
+
+def test_raw_pages_are_put_together_where_their_lines_are_written(spark):
+    """E1's lines are written behind the one exchange by law; pages and documents of them need none."""
+    plan = QE.raw_documents(Tables(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(c#" in plan and "Exchange hashpartitioning(doc_id" not in plan
